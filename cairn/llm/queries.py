@@ -9,6 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import shared_folder
+from .media import media_features, stored_media
+from .quality_rules import oracle_sql as quality_sql, quality_rules
+from .secret_scan import digest, joined_spans, secret_scan
+from .source_mixing import mix_sources
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
 
@@ -28,15 +32,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan(documents(spark, sf_dir), owner="source", repository=F.concat_ws("/", "source", "lang"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest(F.col("base_spans")).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"), "n_owned", "n_owner_specific", "n_widely_copied")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary_path(), limit=2048)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "shard", "passes")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/cairn-token-files-{uuid.uuid4().hex}"
     write_token_files(documents(spark, sf_dir), path, vocabulary_path(), end_id=2)
     return read_token_files(spark, path, whole=False).drop("ids")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op8_token_files)}
-ORACLE: dict[str, str] = {}
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(stored_media(documents(spark, sf_dir))).drop("tiles")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op3_token_counts, op5_quality_rules, op7_source_mixing, op8_token_files, op9_media_columns)}
+ORACLE: dict[str, str] = {"op5_quality_rules": quality_sql()}
