@@ -82,9 +82,9 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE and its inverse, modulo 2**64, to the powers 0 to n - 1."""
     if len(_POWERS.get("up", ())) < n:
-        n = 1 << max(16, int(n - 1).bit_length())
+        held = 1 << max(16, int(n - 1).bit_length())
         for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            out = np.full(n, base, np.uint64)
+            out = np.full(held, base, np.uint64)
             out[0] = 1
             _POWERS[key] = np.multiply.accumulate(out)
     return _POWERS["up"][:n], _POWERS["down"][:n]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import shared_folder
 from .media import media_features, stored_media
+from .near_duplicates import near_duplicates
 from .quality_rules import oracle_sql as quality_sql, quality_rules
 from .secret_scan import digest, joined_spans, secret_scan
 from .source_mixing import mix_sources
@@ -41,6 +42,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary_path(), limit=2048)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), width=3, per=85, of=100)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -59,5 +64,5 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(stored_media(documents(spark, sf_dir))).drop("tiles")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op3_token_counts, op5_quality_rules, op7_source_mixing, op8_token_files, op9_media_columns)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op3_token_counts, op4_minhash_near_dedup, op5_quality_rules, op7_source_mixing, op8_token_files, op9_media_columns)}
 ORACLE: dict[str, str] = {"op5_quality_rules": quality_sql()}
