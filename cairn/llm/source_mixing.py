@@ -14,13 +14,17 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE_RUN, SPACES, WORD
+from .common import SPACE_RUN, SPACES, WORD, staged
+from .graph import runs
 
 BLOCK = 64
 PASSES = 2
-SHARD_ROWS = 256
+SHARD_ROWS = 512
+_PARTS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+_OUT = ["doc_id", "source", "size", "source_size", "target", "shard", "passes", "parts", "taken"]
 
 
 def word_count(text: Column) -> Column:
@@ -126,7 +130,7 @@ def mix_sources(
     """
     spark = docs.sparkSession
     words = word_count(F.col(text_col).cast("string")) if size is None else F.coalesce(size.cast("long"), F.lit(0))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"))
+    rows = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size")), "sizes")
     sums = {r.source: (r.n, r.rows) for r in rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()}
     names = sorted((s for s in sums if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sums)
     shards = max(1, -(-sum(n for _, n in sums.values()) // shard_rows))
@@ -148,15 +152,20 @@ def mix_sources(
 
     won = cells.groupBy("shard").applyInPandas(quotas, "shard long, rank int, quota long")
 
-    def pick(key, rows: pd.DataFrame, won: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", "doc_id", "size"], kind="stable").reset_index(drop=True)
-        whole, taken, parts = _picked(rows["size"].to_numpy(), int(won["quota"].iloc[0]) if len(won) else 0, block, seed, int(key[0]) * 131 + int(key[1]))
-        return rows.drop(columns=["order", "rank"]).assign(passes=whole, parts=[[{"begin": a, "end": b} for a, b in p] for p in parts], taken=taken)
-
-    ordered = dealt.withColumn("order", F.xxhash64(F.lit(seed + 1), "doc_id"))
-    return (
-        ordered.groupBy("shard", "rank").cogroup(won.groupBy("shard", "rank")).applyInPandas(pick, "doc_id long, source string, size long, source_size long, target double, shard long, passes long, parts array<struct<begin:long,end:long>>, taken long")
-    )
+    def pick(batches):
+        for table in runs(batches, 2):
+            key, quota = [table.column(k)[0].as_py() for k in range(2)], table.column("quota")[0].as_py()
+            sizes = table.column("size").to_numpy()
+            whole, taken, parts = _picked(sizes, quota, block, seed, key[0] * 131 + key[1])
+            out = {"passes": pa.array(whole, pa.int64()), "parts": pa.array([[{"begin": a, "end": b} for a, b in p] for p in parts], _PARTS), "taken": pa.array(taken, pa.int64())}
+            for name, column in out.items():
+                table = table.append_column(name, column)
+            yield from table.select(_OUT).combine_chunks().to_batches()
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.join(won, ["shard", "rank"]).withColumn("order", F.xxhash64(F.lit(seed + 1), "doc_id"))
+    ordered = ordered.select("shard", "rank", "order", "doc_id", "source", "size", "source_size", "target", "quota").repartition(n, "shard", "rank").sortWithinPartitions("shard", "rank", "order", "doc_id", "size")
+    return ordered.mapInArrow(pick, "doc_id long, source string, size long, source_size long, target double, shard long, passes long, parts array<struct<begin:long,end:long>>, taken long")
 
 
 def mixed_documents(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
