@@ -15,6 +15,10 @@ SPACES = b" \t\n\v\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch at most: batches carry whole texts, and JVM and Python hold some of them each.
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _STAGED: list[tuple[SparkSession, str]] = []
 
 
@@ -29,6 +33,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def text_rows(docs: DataFrame, *columns) -> DataFrame:
+    """These columns of docs, for a task in Python; lowers the session's Arrow batches to BATCH_ROWS rows."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_KEY, "10000")) <= BATCH_ROWS:
+        conf.set(_BATCH_KEY, str(BATCH_ROWS))
+    return docs.select(*columns)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: what follows never recomputes it, whichever executors are lost."""
     spark = df.sparkSession

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import staged
+from .common import staged, text_rows
 
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
@@ -160,7 +160,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 media.append(encode_netpbm(np.frombuffer(raw, np.uint8).reshape(-1, width)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, n_bytes long, media binary")
+    return text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, n_bytes long, media binary")
 
 
 def media_features(rows: DataFrame, media_col: str = "media", tile: int | None = None) -> DataFrame:

@@ -52,13 +52,15 @@ RULES = (
 _BLANK = SPACES.decode()
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stop_words: tuple[str, ...] = tuple(STOP_WORDS)) -> DataFrame:
-    """doc_id and the counts that rules name; a null text counts as empty, an empty text has 0 of everything."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stop_words: tuple[str, ...] = tuple(STOP_WORDS), whole: bool = False) -> DataFrame:
+    """doc_id and the counts that rules name; a null text counts as empty, an empty text has 0 of everything. `whole`: with all of docs' columns in one, `_row`."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_text"))
-    rows = rows.select("doc_id", "_text", F.trim(F.col("_text"), F.lit(_BLANK)).alias("_bare"))
+    held = ["_row"] * whole
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_text"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")] * whole))
+    rows = rows.select("doc_id", *held, "_text", F.trim(F.col("_text"), F.lit(_BLANK)).alias("_bare"))
     rows = rows.select(
         "doc_id",
+        *held,
         F.when(F.col("_bare") == "", F.array().cast("array<string>")).otherwise(F.split("_bare", SPACE_RUN)).alias("_words"),
         F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD)).alias("_lines"),
         F.length(F.translate("_text", _BLANK, "")).cast("long").alias("word_chars"),
@@ -66,6 +68,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     )
     rows = rows.select(
         "doc_id",
+        *held,
         "word_chars",
         "n_symbols",
         F.size("_words").cast("long").alias("n_words"),
@@ -92,7 +95,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows come out one for one, repeated and null ids included. Empty and null texts fail the base
     (under 50 words). An empty table gives an empty result. Other columns are not read.
     """
-    rows = features(docs, id_col, text_col)
+    return judged(features(docs, id_col, text_col), rules)
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs that the rules keep, columns as they were; no join, rows carry themselves."""
+    # A number that is not a function of the row keeps the filter above the projections: pushed
+    # below them, it would take their expressions along and count windows once for each window.
+    rows = judged(features(docs, id_col, text_col, whole=True), rules).withColumn("_n", F.monotonically_increasing_id())
+    return rows.where(F.col("kept") & (F.col("_n") >= 0)).select("_row.*")
+
+
+def judged(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Rows of `features` with the base's and the table's verdicts."""
     base = F.col("n_words") < LEAST_WORDS
     for rule in BASE:
         base = base | rule.failed()

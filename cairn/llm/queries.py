@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import shared_folder
 from .media import media_features, stored_media
 from .near_duplicates import near_duplicates
+from .packing import pack
 from .quality_rules import oracle_sql as quality_sql, quality_rules
 from .secret_scan import digest, joined_spans, secret_scan
 from .source_mixing import mix_sources
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
+from .weak_labels import quality_classifier
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -50,6 +52,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), capacity=2048, per_source=2)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "shard", "passes")
 
@@ -64,5 +70,9 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(stored_media(documents(spark, sf_dir))).drop("tiles")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op3_token_counts, op4_minhash_near_dedup, op5_quality_rules, op7_source_mixing, op8_token_files, op9_media_columns)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op3_token_counts, op4_minhash_near_dedup, op5_quality_rules, op6_best_fit_packing, op7_source_mixing, op8_token_files, op9_media_columns, op10_quality_classifier)}
 ORACLE: dict[str, str] = {"op5_quality_rules": quality_sql()}
