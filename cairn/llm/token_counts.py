@@ -6,10 +6,12 @@ a pre-token among them counts one. Only the rest is merged, each distinct one on
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .wordpieces import encodings, pre_tokens, read_vocabulary
+from .common import slices, text_rows, utf8
+from .wordpieces import pieces, read_vocabulary
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -23,23 +25,13 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 2048, id_co
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def count(batches):
-        table = encodings(shared, "count", len)
+        table = pieces(shared)
         for batch in batches:
-            n_bytes, n_tokens, n_whole = [], [], []
-            whole = table.whole
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                found = pre_tokens(text)
-                if found is None:
-                    n_bytes.append(len(text.encode()))
-                    n_tokens.append(len(table.ids(text)))
-                    n_whole.append(0)
-                else:
-                    n_bytes.append(len(text) if text.isascii() else len(text.encode()))
-                    n_tokens.append(sum(map(table.__getitem__, found)))
-                    n_whole.append(sum(map(whole.__contains__, found)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_whole, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "n_whole"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+            for part in slices(batch, 1, 1 << 20):
+                raw, at = utf8(part.column(1))
+                _, n_tokens, n_whole = table.encode(raw, at)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(n_tokens, pa.int64()), pa.array(n_whole, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "n_whole"])
+
+    rows = text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, n_whole long")
     return out.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

@@ -17,38 +17,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from . import rans
-from .common import staged
-from .wordpieces import encodings, pre_tokens, read_vocabulary
+from .common import slices, staged, text_rows, utf8
+from .wordpieces import pieces, read_vocabulary
 
 BLOCKS = "shard int, block int, first long, n long, doc_ids binary, lengths binary, payloads array<binary>"
 _NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
 _TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()))
 
 
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u2").tobytes()
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _spread(held: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(bytes(held[8:]), int.from_bytes(held[:8], "little"), asbytes=True)
 
 
 def encoded(docs: DataFrame, vocabulary_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, ids (zlib over little-endian uint16), n; and a task's counts of each id as rows with a null doc_id and n = -1."""
+    """doc_id, ids (zstd over little-endian uint16), n; and a task's counts of each id as rows with a null doc_id and n = -1."""
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
-    end = _packed([end_id])
 
     def encode(batches):
-        table = encodings(shared, "ids", _packed)
+        table = pieces(shared)
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            ids, n = [], []
-            for text in batch.column(1):
-                found = pre_tokens(text := text.as_py() or "")
-                raw = (b"".join(map(table.__getitem__, found)) if found is not None else _packed(table.ids(text))) + end
-                counts += np.bincount(np.frombuffer(raw, "<u2"), minlength=1 << 16)
-                ids.append(zlib.compress(raw, 1))
-                n.append(len(raw) // 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(n, pa.int64())], names=["doc_id", "ids", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary()), pa.array([-1], pa.int64())], names=["doc_id", "ids", "n"])
+            for part in slices(batch, 1, 1 << 20):
+                ids, n, _ = table.encode(*utf8(part.column(1)))
+                ids = np.insert(ids, np.cumsum(n), np.uint16(end_id))
+                counts += np.bincount(ids, minlength=1 << 16)
+                at = np.cumsum(np.concatenate([[0], n + 1]))
+                packed = [_squeezed(ids[a:z].tobytes()) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary()), pa.array(n + 1, pa.int64())], names=["doc_id", "ids", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([_squeezed(counts.tobytes())], pa.binary()), pa.array([-1], pa.int64())], names=["doc_id", "ids", "n"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary, n long")
+    return text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary, n long")
 
 
 def frequency_table(rows: DataFrame) -> np.ndarray:
@@ -58,13 +60,13 @@ def frequency_table(rows: DataFrame) -> np.ndarray:
         total = np.zeros(1 << 16, np.int64)
         for batch in frames:
             for x in batch.column(0):
-                total += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["ids"])
+                total += np.frombuffer(_spread(x.as_py()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([_squeezed(total.tobytes())], pa.binary())], names=["ids"])
 
     counts = rows.where("n = -1").select("ids")
     total = np.zeros(1 << 16, np.int64)
     for row in counts.repartition(32).mapInArrow(add, "ids binary").toLocalIterator():
-        total += np.frombuffer(zlib.decompress(row.ids), np.int64)
+        total += np.frombuffer(_spread(row.ids), np.int64)
     return rans.normalised(total)
 
 
@@ -98,7 +100,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
 
         for batch in batches:
             for doc_id, raw in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.frombuffer(zlib.decompress(raw.as_py()), "<u2")
+                ids = np.frombuffer(_spread(raw.as_py()), "<u2")
                 held.append(ids)
                 doc_ids.append(doc_id.as_py())
                 lengths.append(len(ids))
