@@ -15,6 +15,7 @@ from .packing import pack
 from .quality_rules import oracle_sql as quality_sql, quality_rules
 from .secret_scan import digest, joined_spans, secret_scan
 from .source_mixing import mix_sources
+from .substring_dedup import without_repeats
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
 from .weak_labels import quality_classifier
@@ -40,6 +41,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", digest(F.col("base_spans")).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"), "n_owned", "n_owner_specific", "n_widely_copied")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(documents(spark, sf_dir), width=200).drop("kept")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary_path(), limit=2048)
 
@@ -74,5 +79,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op3_token_counts, op4_minhash_near_dedup, op5_quality_rules, op6_best_fit_packing, op7_source_mixing, op8_token_files, op9_media_columns, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op2_suffix_array_dedup, op3_token_counts, op4_minhash_near_dedup, op5_quality_rules, op6_best_fit_packing, op7_source_mixing, op8_token_files, op9_media_columns, op10_quality_classifier)}
 ORACLE: dict[str, str] = {"op5_quality_rules": quality_sql()}
