@@ -143,8 +143,15 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     out += [(doc, low + a, low + z + width - 1) for a, z in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] or [pa.array([], pa.int64())] * 3, names=["doc", "low", "high"])
 
-        # A shard is a run of whole groups of keys: equal strings have equal keys.
+        # A shard is a run of whole groups: equal strings have equal keys. Two pairs of blocks of one
+        # key share segments, which must not meet themselves.
+        last = None
         for group in runs(batches, 3):
+            key = group.column("key")[0].as_py()
+            if held and key == last:
+                yield flush()
+                held, size = [], 0
+            last = key
             held.append(group.select(["n", "doc", "low", "bytes"]))
             size += group.column("bytes").nbytes
             if size >= SHARD_BYTES:
