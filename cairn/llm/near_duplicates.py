@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import superminhash
-from .common import shingles, slices, staged, utf8, word_hashes, words
+from .common import shingles, slices, staged, text_rows, utf8, word_hashes, words
 from .graph import blocked, components, runs, spanning
 
 #: 40 bands of 6: a pair at 0.85 shares no band with probability 6e-9.
@@ -52,7 +52,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, width: int, slots: int
                 sketch = superminhash.sketch(signature[:, :SKETCH])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(counts, pa.int64()), lists, pa.array([x.tobytes() if n else None for x, n in zip(sketch, counts, strict=True)], pa.binary())], names=["doc_id", "h1", "h2", "n_shingles", "bands", "sketch"])
 
-    rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows_in = text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows_in.mapInArrow(profile, "doc_id long, h1 long, h2 long, n_shingles long, bands array<long>, sketch binary")
 
 
@@ -155,19 +155,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = staged(profiles(docs, id_col, text_col, width), "profiles")
     known = seen.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = staged(known.join(classes, ["h1", "h2"]).where("doc_id = rep").select(F.col("doc_id").alias("id"), "bands", "sketch"), "reps")
+    reps = staged(known.join(classes.hint("merge"), ["h1", "h2"]).where("doc_id = rep").select(F.col("doc_id").alias("id"), "bands", "sketch"), "reps")
     banded = reps.select("id", F.explode("bands").alias("bucket"))
     # Buckets of the same members, as the bands of a small family are, are looked at once.
     sums = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")).where("n > 1")
     buckets = sums.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    members = banded.join(buckets, "bucket").join(reps.select("id", "sketch"), "id")
+    members = banded.join(buckets.hint("merge"), "bucket").join(reps.select("id", "sketch").hint("merge"), "id")
     maybe = sketch_edges(blocked(members, ["bucket"], "n", "id", BUCKET), int(SKETCH * per / of - 6 * (SKETCH * per / of * (1 - per / of)) ** 0.5))
     families = components(maybe).withColumnRenamed("component", "family")
     sizes = families.groupBy("family").agg(F.count("*").alias("n"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    held = texts.join(families.join(sizes, "family"), "id")
+    texts = text_rows(docs, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # Families grow with the corpus: never a side to broadcast.
+    held = texts.join(families.join(sizes, "family").hint("merge"), "id")
     found = components(set_edges(blocked(held, ["family"], "n", "id", FAMILY), width, per, of))
-    rows = seen.select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2"], "left").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    rows = seen.select("doc_id", "h1", "h2", "n_shingles").join(classes.hint("merge"), ["h1", "h2"], "left").join(found.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -175,4 +176,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with one document of each group left, columns as they were; ids must be unique."""
     gone = near_duplicates(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col].cast("long") == gone["_gone"], "left_anti")
