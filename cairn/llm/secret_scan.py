@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import staged
+from .common import staged, text_rows
 
 # The base patterns; letters in the names of `assign` in either case, ASCII only.
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -85,7 +85,7 @@ def secret_scan(
     as_col = lambda x: F.col(x) if isinstance(x, str) else x
     who = F.coalesce(as_col(owner).cast("string"), F.lit("\0"))
     where = who if repository is None else F.coalesce(as_col(repository).cast("string"), F.lit("\0"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(who).alias("owner"), F.xxhash64(who, where).alias("repository"), F.col(text_col).cast("string").alias("text"))
+    rows = text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(who).alias("owner"), F.xxhash64(who, where).alias("repository"), F.col(text_col).cast("string").alias("text"))
 
     def scan(batches):
         for batch in batches:
@@ -139,7 +139,7 @@ def redacted(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_c
 
     done = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(text_col, a["at"] + 1, F.length(text_col))))
     kept = [F.when(F.col("spans").isNull(), F.col(c)).otherwise(done).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return docs.join(spans, docs[id_col].cast("long") == spans["_id"], "left").select(*kept)
+    return docs.join(spans.hint("merge"), docs[id_col].cast("long") == spans["_id"], "left").select(*kept)
 
 
 def digest(spans: Column) -> Column:
