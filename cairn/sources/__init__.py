@@ -1,0 +1,12 @@
+"""Sources and sinks. `register(spark)` makes the formats `tree` and `archive` known to a session."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def register(spark: SparkSession) -> None:
+    from .datasource import ArchiveSource, TreeSource
+
+    spark.dataSource.register(TreeSource)
+    spark.dataSource.register(ArchiveSource)
