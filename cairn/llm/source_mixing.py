@@ -148,14 +148,16 @@ def mix_sources(
         here = cells["here"].to_numpy()
         blocks = block_count(here, block)
         votes = cells["target"].to_numpy() / np.maximum(cells["source_size"].to_numpy(), 1) * blocks
-        return cells[["shard", "rank"]].assign(quota=apportioned(votes, int(votes.sum() + 0.5), passes * blocks))
+        return cells[["shard", "rank", "here"]].assign(quota=apportioned(votes, int(votes.sum() + 0.5), passes * blocks))
 
-    won = cells.groupBy("shard").applyInPandas(quotas, "shard long, rank int, quota long")
+    won = cells.groupBy("shard").applyInPandas(quotas, "shard long, rank int, here long, quota long")
 
     def pick(batches):
         for table in runs(batches, 2):
             key, quota = [table.column(k)[0].as_py() for k in range(2)], table.column("quota")[0].as_py()
             sizes = table.column("size").to_numpy()
+            if int(sizes.sum()) != table.column("here")[0].as_py():
+                raise AssertionError("a cell came in parts")
             whole, taken, parts = _picked(sizes, quota, block, seed, key[0] * 131 + key[1])
             out = {"passes": pa.array(whole, pa.int64()), "parts": pa.array([[{"begin": a, "end": b} for a, b in p] for p in parts], _PARTS), "taken": pa.array(taken, pa.int64())}
             for name, column in out.items():
@@ -164,7 +166,10 @@ def mix_sources(
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = dealt.join(won, ["shard", "rank"]).withColumn("order", F.xxhash64(F.lit(seed + 1), "doc_id"))
-    ordered = ordered.select("shard", "rank", "order", "doc_id", "source", "size", "source_size", "target", "quota").repartition(n, "shard", "rank").sortWithinPartitions("shard", "rank", "order", "doc_id", "size")
+    ordered = ordered.select("shard", "rank", "order", "doc_id", "source", "size", "source_size", "target", "here", "quota")
+    # By a hash of the keys: by the keys themselves, the planner would drop this exchange for the
+    # join's, whose partitions adaptive execution may then split or read in another way.
+    ordered = ordered.repartition(n, F.xxhash64("shard", "rank")).sortWithinPartitions("shard", "rank", "order", "doc_id", "size")
     return ordered.mapInArrow(pick, "doc_id long, source string, size long, source_size long, target double, shard long, passes long, parts array<struct<begin:long,end:long>>, taken long")
 
 
