@@ -20,8 +20,8 @@ from . import superminhash
 from .common import shingles, slices, staged, text_rows, utf8, word_hashes, words
 from .graph import blocked, components, runs, spanning
 
-#: 40 bands of 6: a pair at 0.85 shares no band with probability 6e-9.
-SLOTS, ROWS = 240, 6
+#: Values of a signature, and the chance that a pair at the threshold may share no band: at 0.85 that is 40 bands of 6.
+SLOTS, MISSED = 240, 1e-8
 SKETCH = 128
 BUCKET, FAMILY = 512, 1024
 
@@ -35,7 +35,12 @@ def _sets(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[list[np.ndarray]
     return [np.unique(each[z - k : z]) for k, z in zip(n, cut, strict=True)], [hashes[z - k : z].tobytes() for k, z in zip(counts, edges, strict=True)]
 
 
-def profiles(docs: DataFrame, id_col: str, text_col: str, width: int, slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
+def band_rows(similarity: float, slots: int = SLOTS) -> int:
+    """The most values to a band with which a pair of this similarity is missed no more often than MISSED."""
+    return max((r for r in range(1, slots + 1) if slots % r == 0 and (1 - similarity**r) ** (slots // r) <= MISSED), default=1)
+
+
+def profiles(docs: DataFrame, id_col: str, text_col: str, width: int, rows: int, slots: int = SLOTS) -> DataFrame:
     """doc_id, h1 and h2 (128 bits of the word sequence), n_shingles, bands, sketch."""
 
     def profile(batches):
@@ -52,8 +57,8 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, width: int, slots: int
                 sketch = superminhash.sketch(signature[:, :SKETCH])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(counts, pa.int64()), lists, pa.array([x.tobytes() if n else None for x, n in zip(sketch, counts, strict=True)], pa.binary())], names=["doc_id", "h1", "h2", "n_shingles", "bands", "sketch"])
 
-    rows_in = text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows_in.mapInArrow(profile, "doc_id long, h1 long, h2 long, n_shingles long, bands array<long>, sketch binary")
+    texts = text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(profile, "doc_id long, h1 long, h2 long, n_shingles long, bands array<long>, sketch binary")
 
 
 def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -152,7 +157,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document; a null id is linked with nothing and kept. An empty table gives an empty result.
     Columns of other names are not read.
     """
-    seen = staged(profiles(docs, id_col, text_col, width), "profiles")
+    seen = staged(profiles(docs, id_col, text_col, width, band_rows(per / of)), "profiles")
     known = seen.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = staged(known.join(classes.hint("merge"), ["h1", "h2"]).where("doc_id = rep").select(F.col("doc_id").alias("id"), "bands", "sketch"), "reps")
