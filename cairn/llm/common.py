@@ -41,6 +41,17 @@ def text_rows(docs: DataFrame, *columns) -> DataFrame:
     return docs.select(*columns)
 
 
+def fenced(df: DataFrame) -> DataFrame:
+    """df behind a projection that filters stay above.
+
+    Pushed below projections, a filter takes their expressions along; where a lambda names a computed
+    array, it would compute that array again for each element. A field that is not a function of the
+    row keeps the projection whole.
+    """
+    held = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns), F.monotonically_increasing_id().alias("_n")).alias("_fence"))
+    return held.select(*(F.col("_fence").getField(c).alias(c) for c in df.columns))
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: what follows never recomputes it, whichever executors are lost."""
     spark = df.sparkSession

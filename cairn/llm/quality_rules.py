@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE_RUN, SPACES, WORD
+from .common import SPACE_RUN, SPACES, WORD, fenced
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = """
@@ -100,10 +100,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that the rules keep, columns as they were; no join, rows carry themselves."""
-    # A number that is not a function of the row keeps the filter above the projections: pushed
-    # below them, it would take their expressions along and count windows once for each window.
-    rows = judged(features(docs, id_col, text_col, whole=True), rules).withColumn("_n", F.monotonically_increasing_id())
-    return rows.where(F.col("kept") & (F.col("_n") >= 0)).select("_row.*")
+    return judged(features(docs, id_col, text_col, whole=True), rules).where("kept").select("_row.*")
 
 
 def judged(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -113,7 +110,7 @@ def judged(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         base = base | rule.failed()
     failed = F.filter(F.array(*(F.when(rule.failed(), F.lit(rule.name)) for rule in rules)), lambda x: x.isNotNull())
     rows = rows.withColumn("base_failed", base).withColumn("failed", failed)
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    return fenced(rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)))
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
