@@ -26,8 +26,8 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 #: Runs are maximal, so asking for 16 at once is the same as dropping shorter matches.
 HEX = re.compile("[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "owned")
-#: Candidates: runs of key characters that hold a digit, of this length or more.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Candidates: runs of key characters of this length or more; `=` parts a name from its value.
+RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 _DIGIT = re.compile("[0-9]")
 _PLACEHOLDER = re.compile("example|sample|placeholder|changeme|dummy|your[_-]|xxxx|1234567|abcdef", re.IGNORECASE)
 
@@ -129,7 +129,7 @@ def joined_spans(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span replaced by `mark`, overlapping spans as one; ids must be unique. Columns and their order stay."""
-    spans = scanned.where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), "spans")
+    spans = scanned.where(F.size("spans") > 0).select(F.col("doc_id").alias("_cairn_id"), F.col("spans").alias("_cairn_spans"))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(a, x):
@@ -137,9 +137,9 @@ def redacted(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_c
         more = F.concat(a["out"], F.substring(text_col, a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0))), F.lit(mark))
         return F.struct(F.when(apart, more).otherwise(a["out"]).alias("out"), F.greatest(a["at"], x["end"]).alias("at"))
 
-    done = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(text_col, a["at"] + 1, F.length(text_col))))
-    kept = [F.when(F.col("spans").isNull(), F.col(c)).otherwise(done).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return docs.join(spans.hint("merge"), docs[id_col].cast("long") == spans["_id"], "left").select(*kept)
+    done = F.aggregate("_cairn_spans", start, step, lambda a: F.concat(a["out"], F.substring(text_col, a["at"] + 1, F.length(text_col))))
+    kept = [F.when(F.col("_cairn_spans").isNull(), F.col(c)).otherwise(done).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    return docs.join(spans.hint("merge"), docs[id_col].cast("long") == spans["_cairn_id"], "left").select(*kept)
 
 
 def digest(spans: Column) -> Column:

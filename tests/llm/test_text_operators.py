@@ -72,6 +72,14 @@ def test_ownership(spark):
     assert clean[1].text == "see [SECRET] here" and clean[9].text == "[SECRET]" and clean[21].text is None and clean[22].text == "[SECRET] [SECRET]" and clean[3].text == rows[3][1]
 
 
+def test_redaction_beside_clashing_names(spark):
+    d = cases.docs(spark)
+    out = redacted(d, secret_scan(d))
+    assert out.columns == d.columns
+    for r in out.collect():
+        assert not _base(r.text or "") and r.spans == "x"
+
+
 def test_repeated_rows_and_empty_tables(spark):
     d = cases.docs(spark, [(3, "one", "s0"), (None, "token = abcdefghijklmnop", None)])
     assert secret_scan(d).count() == d.count() and quality_rules(d).count() == d.count() and token_counts(d, PATH).count() == d.count()
