@@ -13,8 +13,8 @@ def fold_hardlinks(entries: DataFrame) -> DataFrame:
     """Files of one (dev, inode): the first path keeps its content, later ones become `hardlink` with link_target, size 0 and the first's atime.
 
     entries: path, type, dev, inode, mode, uid, gid, size, atime, mtime. `conflict` marks an alias
-    whose metadata differ from the first's; an operation must not go on with one. Only files with
-    more than one path are sorted; entries that are alone in their (dev, inode) pass by.
+    whose metadata differ from the first's; an operation must not go on with one. One window, one
+    shuffle by (dev, inode): a group is the paths of one inode.
     """
     keys = ["dev", "inode"]
     w = W.partitionBy(*keys, "type").orderBy("path")
