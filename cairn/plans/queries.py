@@ -6,8 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import scalars as S
+import hashlib
+
+import pyarrow as pa
+
+from ..functions import ciphers, scalars as S
+from ..functions.codecs import COMPRESS, DECOMPRESS
 from ..functions.paths import ancestors, basename, depth, extension, is_hidden, is_safe, parent
+from ..sources import archive
 from ..operators import bytes as raw_bytes, catalog, delta, history, restore, select, validate
 from ..streaming.coalesce import triggers
 from . import bindings as B
@@ -381,3 +387,58 @@ f AS (SELECT user_id, min(t) AS t FROM e GROUP BY user_id UNION ALL SELECT f.use
 def coalesced_triggers(spark, sf_dir):
     e = B.table(spark, sf_dir, "events").select("user_id", B.micros("ts").alias("ts_us"))
     return triggers(e, 24 * HOUR, source="user_id")
+
+
+# --- codecs and archives ------------------------------------------------------------------------
+_CODECS = ("none", "rle", "huffman", "lz77", "chacha20", "aes256")
+
+
+@query(f"SELECT item_id, codec, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size FROM benchmark, (SELECT unnest({list(_CODECS)!r}) AS codec)")
+def codec_round_trip(spark, sf_dir):
+    """Every codec and cipher there and back; a row's bytes are a block of their own, so rows go in parallel."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw, salt = text.encode(), item.to_bytes(16, "little", signed=True)
+                for name in _CODECS:
+                    if name in COMPRESS:
+                        back = DECOMPRESS[name](COMPRESS[name](raw), len(raw))
+                    else:
+                        back = ciphers.crypt(name, "secret", salt, ciphers.crypt(name, "secret", salt, raw))
+                    out.append((item, name, hashlib.sha256(back).hexdigest(), len(back)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.string(), pa.string(), pa.int64())], names=["item_id", "codec", "sha256", "size"])
+
+    return B.table(spark, sf_dir, "benchmark").select("item_id", "text").mapInArrow(run, "item_id long, codec string, sha256 string, size long")
+
+
+@query("""SELECT 'r/' || (item_id % 4) || '/' || item_id || '.txt' AS path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256 FROM benchmark""")
+def archive_round_trip(spark, sf_dir):
+    """An archive for each of four folders, built, authenticated, decoded: files and digests as they went in."""
+
+    def run(rows):
+        rows = rows.sort_values("path")
+        folder = rows["path"].iloc[0].rsplit("/", 1)[0]
+        entries = [archive.Entry("r", 2, 0o755), archive.Entry(folder, 2, 0o755)] + [archive.Entry(p, 1, size=len(t.encode()), content=t.encode()) for p, t in zip(rows["path"], rows["text"], strict=True)]
+        data = archive.build(entries, "index", "lz77", "chacha20", "secret", bytes(16))
+        back = [e for e in archive.decode(data, "secret")[1] if e.type_id == 1]
+        return rows[["path"]].assign(size=[e.size for e in back], sha256=[hashlib.sha256(e.content).hexdigest() for e in back])
+
+    b = B.table(spark, sf_dir, "benchmark").withColumn("path", F.concat(F.lit("r/"), F.col("item_id") % 4, F.lit("/"), F.col("item_id"), F.lit(".txt")))
+    return b.groupBy(F.substring_index("path", "/", 2).alias("g")).applyInPandas(run, "path string, size long, sha256 string")
+
+
+@query(f"""WITH {B.ENTRIES_SQL}, a AS (SELECT path, type FROM entries UNION ALL SELECT DISTINCT string_split(path, '/')[1], 'directory' FROM entries WHERE uid % 3 > 0 UNION ALL SELECT DISTINCT array_to_string(string_split(path, '/')[1:2], '/'), CASE WHEN status = 'P' THEN 'file' ELSE 'directory' END FROM entries)
+SELECT path, array_to_string(string_split(path, '/')[1:-2], '/') = '' OR EXISTS (SELECT 1 FROM a p WHERE p.path = array_to_string(string_split(a.path, '/')[1:-2], '/') AND p.type = 'directory') AS attached FROM a""")
+def attach_tree(spark, sf_dir):
+    e = B.entries(spark, sf_dir)
+    up = ancestors("path")
+    top = e.where("uid % 3 > 0").select(F.get(up, F.lit(0)).alias("path"), F.lit("directory").alias("type")).distinct()
+    second = e.select(F.get(up, F.lit(1)).alias("path"), F.when(F.col("status") == "P", "file").otherwise("directory").alias("type")).distinct()
+    return select.attach(e.select("path", "type").unionByName(top).unionByName(second)).select("path", "attached")
+
+
+@query(f"WITH {B.HISTORY_SQL} SELECT count(*) AS snapshots, CAST(sum(id) AS BIGINT) AS entry_count, CAST(sum(size) AS BIGINT) AS input_bytes FROM history")
+def snapshot_totals(spark, sf_dir):
+    return history.snapshot_totals(B.history(spark, sf_dir).select(F.col("id").alias("entry_count"), F.col("size").alias("input_bytes")))

@@ -1,4 +1,4 @@
-"""Sources and sinks. `register(spark)` makes the formats `tree` and `archive` known to a session."""
+"""Sources and sinks. `register(spark)` makes the formats `tree`, `archive` and `tree_changes` known to a session."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import SparkSession
 
 
 def register(spark: SparkSession) -> None:
-    from .datasource import ArchiveSource, TreeSource
+    from .datasource import ArchiveSource, ChangeSource, TreeSource
 
     spark.dataSource.register(TreeSource)
     spark.dataSource.register(ArchiveSource)
+    spark.dataSource.register(ChangeSource)

@@ -62,3 +62,26 @@ def test_watch():
 
     with pytest.raises(OSError):
         watch(broken, lambda s: False, 0.01)
+
+
+def test_changes_of_a_tree(spark, tmp_path):
+    from cairn.sources import register
+
+    register(spark)
+    top = tmp_path / "top"
+    top.mkdir()
+    (top / "a").write_bytes(b"1")
+    q = spark.readStream.format("tree_changes").load(str(top)).writeStream.format("memory").queryName("changed").option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        q.processAllAvailable()
+        assert spark.table("changed").count() == 0
+        (top / "a").write_bytes(b"22")
+        for _ in range(100):
+            q.processAllAvailable()
+            if spark.table("changed").count():
+                break
+            time.sleep(0.1)
+        rows = spark.table("changed").collect()
+        assert len(rows) >= 1 and rows[0].source == str(top)
+    finally:
+        q.stop()
