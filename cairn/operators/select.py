@@ -20,11 +20,11 @@ def normalize_includes(paths: DataFrame) -> DataFrame:
 def select(entries: DataFrame, includes: DataFrame) -> DataFrame:
     """Entries that are included, lie below an included path, or above one. No includes: everything."""
     chosen = normalize_includes(includes)
-    up = chosen.select(F.explode(ancestors("path")).alias("path")).distinct()
-    exact_or_above = entries.join(chosen.unionByName(up).distinct(), "path", "left_semi")
-    lineage = entries.select("path", F.explode(ancestors("path")).alias("_up"))
-    below = lineage.join(chosen.select(F.col("path").alias("_up")), "_up", "left_semi").select("path").distinct()
-    kept = exact_or_above.select("path").unionByName(below).distinct()
+    above = chosen.select(F.explode(ancestors("path")).alias("_p"), F.lit(False).alias("_c"))
+    look = chosen.select(F.col("path").alias("_p"), F.lit(True).alias("_c")).unionByName(above).groupBy("_p").agg(F.bool_or("_c").alias("_c"))
+    # A path is kept if it is included or above an include, or if one of its ancestors is included.
+    probes = entries.select("path", F.explode(F.concat(ancestors("path"), F.array("path"))).alias("_p"))
+    kept = probes.join(look, "_p").where(F.col("_c") | (F.col("_p") == F.col("path"))).select("path").distinct()
     return entries.join(kept, "path", "left_semi")
 
 
