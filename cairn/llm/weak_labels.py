@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import mixed, shingles, slices, text_rows, utf8, word_hashes, words
 from .quality_rules import STOP_WORDS
 
-#: Rows that the scorer is fitted on, those of least hash of id and text.
+#: Rows that the scorer is fitted on, about: those of least hash of id and text.
 FIT_ROWS = 6000
 BUCKETS = 1 << 15
 _SYMBOL, _UPPER, _LETTER = (np.zeros(256, np.int64) for _ in range(3))
@@ -27,6 +27,9 @@ _UPPER[65:91] = 1
 _LETTER[65:91] = _LETTER[97:123] = 1
 
 
+_SAMPLE = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+
 def _stop_hashes() -> np.ndarray:
     raw = " ".join(STOP_WORDS).encode()
     one = np.frombuffer(raw, np.uint8)
@@ -145,7 +148,7 @@ def fitted_scorer(features: tuple[np.ndarray, np.ndarray, np.ndarray], goal: np.
 def quality_classifier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, least: float = 0.4) -> DataFrame:
     """doc_id, label (posterior of good from the votes alone), score (the scorer's probability of good), kept (score >= least).
 
-    The posteriors come from all rows; the scorer is fitted on `fit_rows` of them, chosen by hash,
+    The posteriors come from all rows; the scorer is fitted on `fit_rows` of them, a share of all hashes,
     with both classes weighed alike; every row is scored on its whole text. Null and empty texts get
     the corpus' share of good as both and are kept if that is enough. Rows come out one for one,
     repeated and null ids included. An empty table gives an empty result. Other columns are not read.
@@ -161,12 +164,16 @@ def quality_classifier(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # At most 3 ** len(LABELLERS) rows.
     counts = {r.pattern: r.n for r in rows.select("text").mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
     share, _, posterior = fitted_labels(counts)
-    sample = rows.withColumn("order", F.xxhash64("doc_id", "text")).orderBy("order", "doc_id").limit(fit_rows)
+    # A share of all hashes, so no row is sorted or moved to be left out; equal rows share a hash, hence the limit.
+    most = min(2**63 - 1, 2**64 * fit_rows // max(1, sum(counts.values())) - 2**63)
+    sample = rows.where(F.xxhash64("doc_id", "text") <= F.lit(most)).limit(2 * fit_rows)
     prior = float(share[0])
 
     def fit(batches):
         parts, goals, base = [], [], 0
-        for batch in batches:
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else _SAMPLE.empty_table()
+        for batch in table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks().to_batches() if table.num_rows else ():
             for part in slices(batch, 1):
                 raw, at = utf8(part.column(1))
                 table = ratios(raw, at)
@@ -182,7 +189,7 @@ def quality_classifier(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         w = fitted_scorer(tuple(np.concatenate(x) for x in zip(*parts, strict=True)), goal, importance)
         yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f8").tobytes()], pa.binary())], names=["w"])
 
-    fitted = sample.select("doc_id", "text").coalesce(1).mapInArrow(fit, "w binary").collect()
+    fitted = sample.select("doc_id", "text").repartition(1).mapInArrow(fit, "w binary").collect()
     shared = spark.sparkContext.broadcast(np.frombuffer(bytes(fitted[0].w), "<f8") if fitted else np.zeros(BUCKETS + 1))
 
     def score(batches):
