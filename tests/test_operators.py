@@ -63,6 +63,15 @@ def test_delta_over_versions(spark):
         delta.apply_delta(d, cut.where("id <> 1")).collect()
 
 
+def test_binary_blocks(spark):
+    raw = bytes(range(256)) * 5
+    df = spark.createDataFrame([(1, bytearray(raw)), (2, bytearray())], "id long, content binary")
+    rows = delta.blocks(df, 500).orderBy("block_no").collect()
+    assert [(r.block_no, r.len, bytes(r.content)) for r in rows] == [(0, 500, raw[:500]), (1, 500, raw[500:1000]), (2, 280, raw[1000:])]
+    text = spark.createDataFrame([(1, "é😀\n" * 50)], "id long, content string")
+    assert [r.content for r in delta.blocks(text, 64).orderBy("block_no").collect()] == ["é😀\n" * 21 + "é", "😀\n" + "é😀\n" * 20 + "é😀", "\n" + "é😀\n" * 7]
+
+
 def test_space_needed_equals_the_fold(spark):
     rng = random.Random(4)
     steps = [(v, k, rng.randrange(50), rng.choice([0, 0, 90])) for v in range(6) for k in range(40)]
