@@ -159,7 +159,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     seen = staged(profiles(docs, id_col, text_col, width, band_rows(per / of)), "profiles")
     known = seen.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    # Staged, so that the joins deal out both sides anew and a class of most rows can be split.
+    classes = staged(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = staged(known.join(classes.hint("merge"), ["h1", "h2"]).where("doc_id = rep").select(F.col("doc_id").alias("id"), "bands", "sketch"), "reps")
     banded = reps.select("id", F.explode("bands").alias("bucket"))
     # Buckets of the same members, as the bands of a small family are, are looked at once.
