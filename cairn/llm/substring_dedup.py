@@ -26,7 +26,7 @@ WIDTH = 200
 GRAM = 32
 #: Windows of a segment at most: longer runs, as of one repeated byte, are cut.
 RUN = 2048
-KEY_SEGMENTS = 512
+KEY_SEGMENTS = 1024
 SHARD_BYTES = 512 << 10
 
 
@@ -104,12 +104,15 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc, low, high: byte spans covered by `width`-byte strings that start in more than one place; docs: doc (one number a row), text. Spans may overlap."""
     every = staged(_segment_rows(docs, width), "segments")
     own = F.shiftright("place", _SIZE).bitwiseAND(1) == 1
-    keys = every.groupBy("key").agg(F.count("*").alias("n"), F.max(own).alias("own")).where("n > 1 OR own").select("key")
+    # Sums are staged before they are joined back: the joins then deal out both sides anew, and a key
+    # of most rows can be split.
+    keys = staged(every.groupBy("key").agg(F.count("*").alias("n"), F.max(own).alias("own")).where("n > 1 OR own").select("key"), "keys")
     met = staged(every.join(keys.hint("merge"), "key"), "met")
     texts = met.groupBy("key", "digest").agg(F.count("*").alias("n"), F.max(own).alias("own"), F.min(F.struct("doc", "place")).alias("one"))
-    kinds = texts.groupBy("key").agg(F.count("*").alias("kinds"))
-    told = staged(texts.join(kinds.hint("merge"), "key").select("key", "digest", "n", "own", "kinds", "one.*"), "texts")
-    whole = met.join(told.where("n > 1").select("key", "digest").hint("merge"), ["key", "digest"])
+    texts = staged(texts.select("key", "digest", "n", "own", "one.*"), "texts")
+    kinds = staged(texts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    told = texts.join(kinds.hint("merge"), "key", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
+    whole = met.join(texts.where("n > 1").select("key", "digest").hint("merge"), ["key", "digest"])
     # A segment met once is looked at if its key has others, or repeats within it.
     looked = told.where("kinds > 1 OR (own AND n = 1)")
     by_doc = looked.groupBy("doc").agg(F.collect_list(F.struct("key", "digest", "n", "kinds", "place")).alias("wanted"))

@@ -88,7 +88,7 @@ def _doubled(names: np.ndarray, depth: int | None) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: n - h] = rank[h:] + 1
         key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get equal ranks, so their order does not matter
         step = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         rank[order] = step
         h *= 2
@@ -154,13 +154,16 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, room: np.ndarray) -> tuple[np
     other = before[mine]
     most = np.minimum(room[mine], room[other])
     raw = np.concatenate([s.astype(np.uint8), np.zeros(8, np.uint8)])
-    block = np.lib.stride_tricks.as_strided(raw, (n + 1, 8), (1, 1))
+    # Eight bytes from each place as one number, the first byte lowest.
+    block = np.ascontiguousarray(np.lib.stride_tricks.as_strided(raw, (n + 1, 8), (1, 1))).view("<u8")[:, 0]
     length = np.zeros(len(mine), np.int64)
     live = np.flatnonzero(most > 0)
     while len(live):
-        a, b = np.minimum(mine[live] + length[live], n), np.minimum(other[live] + length[live], n)
-        equal = block[a] == block[b]
-        run = np.where(equal.all(axis=1), 8, np.argmin(equal, axis=1))
+        differ = block[np.minimum(mine[live] + length[live], n)] ^ block[np.minimum(other[live] + length[live], n)]
+        run = np.full(len(live), 8)
+        some = np.flatnonzero(differ)
+        x = differ[some]
+        run[some] = np.log2((x & (~x + np.uint64(1))).astype(np.float64)).astype(np.int64) // 8  # the lowest bit that differs
         length[live] += run
         live = live[(run == 8) & (length[live] < most[live])]
     start = np.zeros(n, np.int64)
