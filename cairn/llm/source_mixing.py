@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE_RUN, SPACES, WORD, staged
+from .common import SPACE_RUN, SPACES, WORD, fenced, staged
 from .graph import runs
 
 BLOCK = 64
@@ -176,8 +176,12 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mix itself, with the columns of docs: a document's row once for each pass, and once more for each word range taken besides, cut to it. Ids must be unique in docs."""
     plan = mix.where(F.col("taken") > 0).select(F.col("doc_id").alias("_cairn_id"), F.col("passes").alias("_cairn_passes"), F.col("parts").alias("_cairn_parts"))
-    whole = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_cairn_passes"), F.lit(1)).cast("int")), lambda _: F.lit(None).cast("struct<begin:bigint,end:bigint>"))
-    copies = F.concat(F.when(F.col("_cairn_passes") > 0, whole).otherwise(F.array().cast("array<struct<begin:bigint,end:bigint>>")), "_cairn_parts")
-    rows = docs.join(plan.hint("merge"), docs[id_col].cast("long") == plan["_cairn_id"]).withColumn("_cairn_part", F.explode(copies))
-    some = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD + SPACE_RUN.replace("+", "*")), F.lit(0)), F.col("_cairn_part.begin").cast("int") + 1, (F.col("_cairn_part.end") - F.col("_cairn_part.begin")).cast("int")), "")
-    return rows.select(*(F.when(F.col("_cairn_part").isNull(), F.col(c)).otherwise(some).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    # Words once for each document, however many ranges it has; behind a fence, or the lambda below
+    # would find them again for each range.
+    words = F.when(F.size("_cairn_parts") > 0, F.regexp_extract_all(F.col(text_col), F.lit(WORD + SPACE_RUN.replace("+", "*")), F.lit(0)))
+    rows = fenced(docs.join(plan.hint("merge"), docs[id_col].cast("long") == plan["_cairn_id"]).withColumn("_cairn_words", words))
+    whole = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_cairn_passes"), F.lit(1)).cast("int")), lambda _: F.lit(None).cast("string"))
+    cut = F.transform("_cairn_parts", lambda p: F.array_join(F.slice("_cairn_words", p["begin"].cast("int") + 1, (p["end"] - p["begin"]).cast("int")), ""))
+    copies = F.concat(F.when(F.col("_cairn_passes") > 0, whole).otherwise(F.array().cast("array<string>")), F.coalesce(cut, F.array().cast("array<string>")))
+    out = rows.withColumn("_cairn_text", F.explode(copies))
+    return out.select(*(F.coalesce(F.col("_cairn_text"), F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
