@@ -148,7 +148,12 @@ def tiles(pixels: np.ndarray, size: int = 64) -> list[np.ndarray]:
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 64) -> DataFrame:
-    """doc_id, n_bytes, media: each text's UTF-8 bytes, zeros up to a positive multiple of `width`, as a grey P5 image `width` wide."""
+    """doc_id, n_bytes, media: each text's UTF-8 bytes, zeros up to a positive multiple of `width`, as a grey P5 image `width` wide.
+
+    Null and empty texts are one row of zeros. Equal texts give equal images, whatever their ids. Rows
+    come out one for one, repeated and null ids included; an empty table gives an empty result.
+    Columns of other names are not read.
+    """
 
     def encode(batches):
         for batch in batches:
