@@ -58,14 +58,27 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/cairn-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cairn_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a staged table that nothing yet to be computed reads."""
+    spark, path = table.sparkSession, table._cairn_path
+    _delete(spark, path)
+    _STAGED[:] = [x for x in _STAGED if x[1] != path]
 
 
 def release(spark: SparkSession) -> None:
     """Delete the staged tables of this session; results that still read them must be written first."""
     for owner, path in [x for x in _STAGED if x[0] is spark]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
         _STAGED.remove((owner, path))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -16,18 +16,22 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     the result is a star for each component. Degrees are summed within tasks before they are
     shuffled, and the joins back are split at run time where one node has most edges.
     """
+    # Least neighbours are dealt out at random before they are joined back: the join then deals out
+    # both sides by itself, and a node with most of the edges can be split.
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = _print(now)
     for _ in range(most_rounds):
         if not seen[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select("u", "v", "m")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")).repartition(n)
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).repartition(n)
+        small = large.join(low.hint("merge"), "u").select("u", "v", "m")
         turned = small.select(F.explode(F.array(F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = staged(turned, "edges")
+        before, now = now, staged(turned, "edges")
+        discard(before)
         if (then := _print(now)) == seen:
             break
         seen = then
