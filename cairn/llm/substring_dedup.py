@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mixed, slices, staged, text_rows, utf8
+from .common import discard, mixed, slices, staged, text_rows, utf8
 from .graph import blocked, runs
 from .suffix_array import repeated
 
@@ -108,6 +108,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # of most rows can be split.
     keys = staged(every.groupBy("key").agg(F.count("*").alias("n"), F.max(own).alias("own")).where("n > 1 OR own").select("key"), "keys")
     met = staged(every.join(keys.hint("merge"), "key"), "met")
+    discard(every)
+    discard(keys)
     texts = met.groupBy("key", "digest").agg(F.count("*").alias("n"), F.max(own).alias("own"), F.min(F.struct("doc", "place")).alias("one"))
     texts = staged(texts.select("key", "digest", "n", "own", "one.*"), "texts")
     kinds = staged(texts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
