@@ -41,12 +41,12 @@ def band_rows(similarity: float, slots: int = SLOTS) -> int:
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, width: int, rows: int, slots: int = SLOTS) -> DataFrame:
-    """doc_id, h1 and h2 (128 bits of the word sequence), n_shingles, bands, sketch."""
+    """doc_id, digest (of the text as it is), h1 and h2 (128 bits of the word sequence), n_shingles, bands, sketch."""
 
     def profile(batches):
         for batch in batches:
-            for part in slices(batch, 1):
-                sets, sequences = _sets(*utf8(part.column(1)), width)
+            for part in slices(batch, 2):
+                sets, sequences = _sets(*utf8(part.column(2)), width)
                 counts = np.array([len(x) for x in sets])
                 signature = superminhash.signatures(np.concatenate(sets) if sets else np.zeros(0, np.uint64), counts, slots)
                 digests = b"".join(xxhash.xxh3_128_digest(x) for x in sequences)
@@ -55,10 +55,10 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, width: int, rows: int,
                 offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(counts > 0, band.shape[1], 0))]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(band[counts > 0].reshape(-1)))
                 sketch = superminhash.sketch(signature[:, :SKETCH])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(counts, pa.int64()), lists, pa.array([x.tobytes() if n else None for x, n in zip(sketch, counts, strict=True)], pa.binary())], names=["doc_id", "h1", "h2", "n_shingles", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(counts, pa.int64()), lists, pa.array([x.tobytes() if n else None for x, n in zip(sketch, counts, strict=True)], pa.binary())], names=["doc_id", "digest", "h1", "h2", "n_shingles", "bands", "sketch"])
 
-    texts = text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(profile, "doc_id long, h1 long, h2 long, n_shingles long, bands array<long>, sketch binary")
+    texts = text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(profile, "doc_id long, digest long, h1 long, h2 long, n_shingles long, bands array<long>, sketch binary")
 
 
 def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -153,15 +153,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are runs of non-space characters with A-Z as a-z; a set has the text's distinct runs of
     `width` words, or its whole sequence where it is shorter. Two documents are linked if
     of * |intersection| >= per * |union|, on full sets. Null and empty texts and those of spaces have
-    an empty set, no links, and are kept. Rows come out one for one; rows of one id count as one
-    document; a null id is linked with nothing and kept. An empty table gives an empty result.
-    Columns of other names are not read.
+    an empty set, no links, and are kept. Rows come out one for one, n_shingles of each row's own text;
+    rows of one id count as one document, linked by any of their texts; a null id is linked with
+    nothing and kept. An empty table gives an empty result. Columns of other names are not read.
     """
-    seen = staged(profiles(docs, id_col, text_col, width, band_rows(per / of)), "profiles")
+    # A row's own number: ids may repeat, and the row that stands for a class must be one.
+    seen = staged(profiles(docs, id_col, text_col, width, band_rows(per / of)).withColumn("row", F.monotonically_increasing_id()), "profiles")
     known = seen.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # Staged, so that the joins deal out both sides anew and a class of most rows can be split.
-    classes = staged(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = staged(known.join(classes.hint("merge"), ["h1", "h2"]).where("doc_id = rep").select(F.col("doc_id").alias("id"), "bands", "sketch"), "reps")
+    classes = staged(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by("row", "doc_id").alias("node")), "classes")
+    reps = staged(known.join(classes.select("h1", "h2", "node").hint("merge"), ["h1", "h2"]).where("row = node").select(F.col("node").alias("id"), "doc_id", "digest", "bands", "sketch"), "reps")
     banded = reps.select("id", F.explode("bands").alias("bucket"))
     # Buckets of the same members, as the bands of a small family are, are looked at once.
     sums = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")).where("n > 1")
@@ -170,13 +171,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     maybe = sketch_edges(blocked(members, ["bucket"], "n", "id", BUCKET), int(SKETCH * per / of - 6 * (SKETCH * per / of * (1 - per / of)) ** 0.5))
     families = components(maybe).withColumnRenamed("component", "family")
     sizes = families.groupBy("family").agg(F.count("*").alias("n"))
-    texts = text_rows(docs, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # Families grow with the corpus: never a side to broadcast.
-    held = texts.join(families.join(sizes, "family").hint("merge"), "id")
-    found = components(set_edges(blocked(held, ["family"], "n", "id", FAMILY), width, per, of))
-    rows = seen.select("doc_id", "h1", "h2", "n_shingles").join(classes.hint("merge"), ["h1", "h2"], "left").join(found.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = families.join(sizes, "family").join(reps.select("id", "doc_id", "digest").hint("merge"), "id").withColumnRenamed("id", "node")
+    texts = text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"), F.col(text_col).cast("string").alias("text"))
+    # Families grow with the corpus: never a side to broadcast. Of repeated rows one is read, in the order and the tasks of the join.
+    held = texts.join(named.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).withColumnRenamed("doc_id", "id")
+    # An id of several texts is in the class of each.
+    owned = staged(seen.select("doc_id", "h1", "h2", "n_shingles").join(classes.select("h1", "h2", "rep").hint("merge"), ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "owned")
+    several = staged(owned.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id"), "several")
+    same = owned.join(several.hint("merge"), "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = components(set_edges(blocked(held, ["family"], "n", "node", FAMILY), width, per, of).unionByName(same))
+    rows = owned.join(found.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left")
+    return rows.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -86,6 +86,34 @@ def test_awkward_rows(spark):
     assert out.columns == cases.docs(spark).columns and out.count() == near_duplicates(cases.docs(spark)).where("kept").count()
 
 
+def grouped_rows(rows, width=3, per=85):
+    """(id, size of its set, smallest id reachable) of each row, sorted; rows of one id are one document."""
+    by_row = plain_groups({k: text for k, (i, text) in enumerate(rows) if i is not None}, width, per)
+    up = {i: i for i, _ in rows if i is not None}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for k, (_, root) in by_row.items():
+        a, b = find(rows[k][0]), find(rows[root][0])
+        up[max(a, b)] = min(a, b)
+    return sorted((rows[k][0], n, find(rows[k][0])) for k, (n, _) in by_row.items())
+
+
+def test_repeated_rows_lose_no_link(spark):
+    base = [(r[0], r[1]) for r in cases.rows()]
+    texts = dict(base)
+    # Every row twice; one row twice; ids of two texts, of near texts, of a text and none; the least of two classes.
+    several = [(200, texts[8]), (200, texts[40]), (201, texts[41]), (201, texts[8] + " more"), (202, texts[42]), (202, ""), (-5, texts[43]), (-5, texts[44]), (-5, texts[8] + " tail"), (-6, "alone"), (-6, "apart")]
+    for rows in (base * 2, [*base, base[13]], base + several, (base + several) * 3):
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        got = near_duplicates(d).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == grouped_rows(rows)
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
 def test_linked_sets():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(60)]
