@@ -302,6 +302,18 @@ def format_bytes(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", F.when(F.col("n") < S.MIB, S.format_bytes("n")).otherwise("more").alias("text"))
 
 
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) * CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 1000 WHEN 4 THEN 1000000 ELSE 50000000 END AS n FROM lineitem),
+u AS (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 WHEN n < 1099511627776 THEN 3 ELSE 4 END AS k FROM s), v AS (SELECT *, CAST(1 AS BIGINT) << (10 * k) AS one FROM u),
+r AS (SELECT *, (2 * n + one) // (2 * one) AS whole, (20 * n + one) // (2 * one) AS tenths FROM v)
+SELECT l_orderkey, l_linenumber, CASE WHEN k = 0 OR n >= 100 * one THEN CAST(whole AS VARCHAR) ELSE (tenths // 10) || '.' || (tenths % 10) END || ' ' || ['B', 'KiB', 'MiB', 'GiB', 'TiB'][k + 1] AS text FROM r""")
+def format_bytes_whole(spark, sf_dir):
+    """Every row in every unit; a tie goes up, as in the reference's own formatting (Qt's fixed notation)."""
+    line = B.table(spark, sf_dir, "lineitem")
+    factor = F.when(F.col("l_linenumber") == 1, 1).when(F.col("l_linenumber") == 2, 0).when(F.col("l_linenumber") == 3, 1000).when(F.col("l_linenumber") == 4, 1000000).otherwise(50000000)
+    n = F.floor("l_extendedprice").cast("long") * factor.cast("long")
+    return line.select("l_orderkey", "l_linenumber", S.format_bytes(n).alias("text"))
+
+
 # --- restore and validation ---------------------------------------------------------------------
 @query(f"WITH {B.ENTRIES_SQL} SELECT path FROM entries WHERE id % 7 = 0")
 def restore_conflicts(spark, sf_dir):
