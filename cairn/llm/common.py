@@ -63,6 +63,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+#: The column that `numbered` adds.
+ROW = "_cairn_row"
+
+
+def numbered(docs: DataFrame, label: str = "rows") -> DataFrame:
+    """docs with a number of each row's own, staged so that it stays: what is found of a row goes back to it, whatever ids are null or repeated."""
+    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), label)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

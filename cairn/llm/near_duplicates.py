@@ -185,6 +185,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one document of each group left, columns as they were; ids must be unique."""
-    gone = near_duplicates(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.hint("merge"), docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    """docs with one document of each group left, columns as they were.
+
+    Of several rows of a kept id the one whose text has the least hash stays, as one document is one
+    row. Rows of a null id are linked with nothing and all stay.
+    """
+    key = F.col(id_col).cast("long")
+    gone = near_duplicates(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_cairn_id"))
+    left = docs.where(key.isNotNull()).withColumn("_cairn_id", key).join(gone.hint("merge"), "_cairn_id", "left_anti")
+    # Dealt out and sorted by the join already: rows of an id stream by, and one is held.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = left.groupBy("_cairn_id").agg(F.min_by(row, F.xxhash64(F.col(text_col).cast("string"))).alias("_cairn_row")).select("_cairn_row.*")
+    return one.unionByName(docs.where(key.isNull()))

@@ -128,7 +128,7 @@ def joined_spans(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span replaced by `mark`, overlapping spans as one; ids must be unique. Columns and their order stay."""
+    """docs with every span replaced by `mark`, overlapping spans as one; ids must be unique: a row's number where they may be null or repeat. Columns and their order stay."""
     spans = scanned.where(F.size("spans") > 0).select(F.col("doc_id").alias("_cairn_id"), F.col("spans").alias("_cairn_spans"))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 

@@ -113,7 +113,7 @@ def _picked(sizes: np.ndarray, quota: int, block: int, seed: int, key: int) -> t
 
 
 def mix_sources(
-    docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: Fraction = Fraction(3, 2), seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, block: int = BLOCK, passes: int = PASSES, shard_rows: int = SHARD_ROWS
+    docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: Fraction = Fraction(3, 2), seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, block: int = BLOCK, passes: int = PASSES, shard_rows: int = SHARD_ROWS, row_col: str | None = None
 ) -> DataFrame:
     """doc_id, size, source, source_size, target, shard, passes, parts (word ranges taken once more), taken.
 
@@ -122,15 +122,18 @@ def mix_sources(
     and empty texts have size 0 and are taken 0 times. taken never exceeds passes * size. A source's
     taken words differ from its target by rounding to blocks in each shard. Rows come out one for
     one; equal ids are told apart by nothing but their order, rows with null ids belong to one shard
-    place. An empty table gives an empty result. Columns of other names are not read.
+    place. `row_col`, unique, is carried as `row` where it is given, and ties go by it. An empty table
+    gives an empty result. Columns of other names are not read.
 
     One row for each source goes to the driver: sources are the mix's own table, not the corpus. A
     group of the last step is one source in one shard; shards grow in number with the table, so that
     no group does, whatever part of all rows a source holds.
     """
     spark = docs.sparkSession
+    own = [F.col(row_col).cast("long").alias("row")] if row_col else []
+    names_out, extra = ([*_OUT, "row"], ["row"]) if row_col else (_OUT, [])
     words = word_count(F.col(text_col).cast("string")) if size is None else F.coalesce(size.cast("long"), F.lit(0))
-    rows = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size")), "sizes")
+    rows = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), *own), "sizes")
     sums = {r.source: (r.n, r.rows) for r in rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()}
     names = sorted((s for s in sums if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sums)
     shards = max(1, -(-sum(n for _, n in sums.values()) // shard_rows))
@@ -162,20 +165,20 @@ def mix_sources(
             out = {"passes": pa.array(whole, pa.int64()), "parts": pa.array([[{"begin": a, "end": b} for a, b in p] for p in parts], _PARTS), "taken": pa.array(taken, pa.int64())}
             for name, column in out.items():
                 table = table.append_column(name, column)
-            yield from table.select(_OUT).combine_chunks().to_batches()
+            yield from table.select(names_out).combine_chunks().to_batches()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = dealt.join(won, ["shard", "rank"]).withColumn("order", F.xxhash64(F.lit(seed + 1), "doc_id"))
-    ordered = ordered.select("shard", "rank", "order", "doc_id", "source", "size", "source_size", "target", "here", "quota")
+    ordered = ordered.select("shard", "rank", "order", "doc_id", "source", "size", "source_size", "target", "here", "quota", *extra)
     # By a hash of the keys: by the keys themselves, the planner would drop this exchange for the
     # join's, whose partitions adaptive execution may then split or read in another way.
-    ordered = ordered.repartition(n, F.xxhash64("shard", "rank")).sortWithinPartitions("shard", "rank", "order", "doc_id", "size")
-    return ordered.mapInArrow(pick, "doc_id long, source string, size long, source_size long, target double, shard long, passes long, parts array<struct<begin:long,end:long>>, taken long")
+    ordered = ordered.repartition(n, F.xxhash64("shard", "rank")).sortWithinPartitions("shard", "rank", "order", "doc_id", "size", *extra)
+    return ordered.mapInArrow(pick, "doc_id long, source string, size long, source_size long, target double, shard long, passes long, parts array<struct<begin:long,end:long>>, taken long" + (", row long" if row_col else ""))
 
 
-def mixed_documents(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mix itself, with the columns of docs: a document's row once for each pass, and once more for each word range taken besides, cut to it. Ids must be unique in docs."""
-    plan = mix.where(F.col("taken") > 0).select(F.col("doc_id").alias("_cairn_id"), F.col("passes").alias("_cairn_passes"), F.col("parts").alias("_cairn_parts"))
+def mixed_documents(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text", mix_col: str = "doc_id") -> DataFrame:
+    """The mix itself, with the columns of docs: a document's row once for each pass, and once more for each word range taken besides, cut to it. id_col, which mix has as mix_col, must be unique in docs: a row's number where ids may be null or repeat."""
+    plan = mix.where(F.col("taken") > 0).select(F.col(mix_col).alias("_cairn_id"), F.col("passes").alias("_cairn_passes"), F.col("parts").alias("_cairn_parts"))
     # Words once for each document, however many ranges it has; behind a fence, or the lambda below
     # would find them again for each range.
     words = F.when(F.size("_cairn_parts") > 0, F.regexp_extract_all(F.col(text_col), F.lit(WORD + SPACE_RUN.replace("+", "*")), F.lit(0)))

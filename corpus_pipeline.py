@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cairn.llm.common import staged
+from cairn.llm.common import ROW, numbered, staged
 from cairn.llm.near_duplicates import deduplicated
 from cairn.llm.packing import pack
 from cairn.llm.quality_rules import accepted
@@ -18,19 +18,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest id. Groups are of five-word shingles at a similarity of 0.8."""
+    """One document of each group stays, that of the smallest id, and one row of it; rows without an id stay. Groups are of five-word shingles at a similarity of 0.8."""
     return deduplicated(docs, width=5, per=80, of=100)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span found is masked; n_chars follows the text."""
-    found = secret_scan(docs, owner="source", repository=F.concat_ws("/", "source", "lang"))
-    return _measured(redacted(docs, found))
+    rows = numbered(docs)
+    found = secret_scan(rows, id_col=ROW, owner="source", repository=F.concat_ws("/", "source", "lang"))
+    return _measured(redacted(rows, found, id_col=ROW).drop(ROW))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often, and as much of each, as the mix takes; an id may repeat from here on."""
-    return _measured(mixed_documents(docs, mix_sources(docs)))
+    rows = numbered(docs)
+    return _measured(mixed_documents(rows, mix_sources(rows, row_col=ROW), id_col=ROW, mix_col="row").drop(ROW))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

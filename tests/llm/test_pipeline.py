@@ -8,7 +8,7 @@ import pytest
 from cairn.llm.common import release, staged
 from cairn.llm.quality_rules import quality_rules
 from tests.llm import cases
-from tests.llm.test_corpus_operators import plain_groups
+from tests.llm.test_corpus_operators import grouped_rows, plain_groups
 from tests.llm.test_text_operators import _base
 
 DIR = "/root/testdata/sf0.01"
@@ -65,6 +65,33 @@ def test_run_equals_its_stages(stages, spark):
     assert order(P.run(spark, DIR)) == order(stages["best_fit_packing"])
 
 
+def test_null_and_repeated_ids(spark):
+    secret = "password = hunter2hunter2 "
+    rows = [(r[0], secret * (r[0] % 2) + (r[1] or ""), None, f"s{r[0] % 3}") for r in cases.rows()]
+    rows += [(None, f"{secret}null {k} " * (k + 3), None, f"s{k % 3}") for k in range(4)] * 2
+    rows += rows[8:20] + [(30, secret + "other text of an id", None, "s1"), (-3, "one", None, "s0"), (-3, "two", None, "s0")] * 2
+    d = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    nulls = sum(r[0] is None for r in rows)
+
+    out = P.near_duplicates(spark, d, None).collect()
+    ids = [r.doc_id for r in out if r.doc_id is not None]
+    pairs = [(r[0], r[1]) for r in rows]
+    assert sorted(ids) == sorted({c for *_, c in grouped_rows(pairs, 5, 80)}) and len(out) - len(ids) == nulls
+    assert all((r.doc_id, r.text) in pairs for r in out)
+
+    out = P.secret_scans(spark, d, None).collect()
+    assert collections.Counter(r.doc_id for r in out) == collections.Counter(r[0] for r in rows)
+    assert not any(_base(r.text) for r in out)
+
+    out, want = collections.Counter(), collections.Counter()
+    for r in P.source_mixing(spark, d, None).collect():
+        out[r.source, r.doc_id is None] += len(cases.WORD.findall(r.text))
+    for r in P.mix_sources(d).collect():
+        want[r.source, r.doc_id is None] += r.taken
+    assert out == +want and any(null for _, null in out)
+    assert collections.Counter({r.doc_id: r.n for r in P.best_fit_packing(spark, d, None).groupBy("doc_id").agg(P.F.countDistinct("piece", "bin", "place").alias("n")).collect()}).keys() == {r[0] for r in rows}
+
+
 def test_release(spark):
     kept = staged(spark.range(3), "gone")
     release(spark)
