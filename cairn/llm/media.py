@@ -77,19 +77,34 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
     return head + palette + body.tobytes()
 
 
+def _channel(values: np.ndarray, mask: int) -> np.ndarray:
+    """The bits of a mask as 0 to 255; a mask without bits is 0."""
+    if not mask:
+        return np.zeros(values.shape, np.uint8)
+    low = mask & -mask
+    most = mask // low
+    if most & (most + 1):
+        raise ValueError("BMP mask has gaps")
+    return (((values & mask) // low * 255 + most // 2) // most).astype(np.uint8)
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits, either row order: rows x columns for a grey palette, else x 3 (RGB)."""
+    """Uncompressed BMP of 1, 4, 8, 16, 24 or 32 bits, either row order, 16 and 32 with masks or without: rows x columns for a grey palette, else x 3 (RGB)."""
     if len(data) < 54 or data[:2] != b"BM":
         raise ValueError("not BMP")
     (at,) = struct.unpack_from("<I", data, 10)
     size, width, high, planes, bits, packed, _, _, _, used, _ = struct.unpack_from("<IiiHHIIiiII", data, 14)
     height, row = abs(high), -(-width * bits // 32) * 4
-    if size < 40 or planes != 1 or packed not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width <= 0 or packed and bits != 32:
+    if size < 40 or planes != 1 or packed not in (0, 3) or bits not in (1, 4, 8, 16, 24, 32) or width <= 0 or packed and bits not in (16, 32):
         raise ValueError("this BMP is not of a supported kind")
     if len(data) - at < row * height:
         raise ValueError("BMP data ends early")
     body = np.frombuffer(data, np.uint8, row * height, at).reshape(height, row)
     body = body[::-1] if high > 0 else body
+    if packed or bits == 16:
+        masks = struct.unpack_from("<3I", data, 54) if packed else (0x7C00, 0x03E0, 0x001F)
+        values = np.ascontiguousarray(body[:, : width * bits // 8]).view(f"<u{bits // 8}").astype(np.int64)
+        return np.stack([_channel(values, m) for m in masks], axis=2)
     if bits >= 24:
         return np.ascontiguousarray(body[:, : width * bits // 8].reshape(height, width, bits // 8)[:, :, 2::-1])
     if bits < 8:
@@ -147,9 +162,17 @@ def tiles(pixels: np.ndarray, size: int = 64) -> list[np.ndarray]:
     return [pixels[y : y + size, x : x + size] for y in range(0, pixels.shape[0], size) for x in range(0, pixels.shape[1], size)]
 
 
-def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 64) -> DataFrame:
+def untiled(parts: list[bytes], columns: int) -> np.ndarray:
+    """The image of `columns` columns whose `tiles` these are, as NPY bytes."""
+    cut = [np.lib.format.read_array(io.BytesIO(x), allow_pickle=False) for x in parts]
+    across = -(-columns // cut[0].shape[1])
+    return np.concatenate([np.concatenate(cut[k : k + across], axis=1) for k in range(0, len(cut), across)])
+
+
+def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 64, tile: int | None = None) -> DataFrame:
     """doc_id, n_bytes, media: each text's UTF-8 bytes, zeros up to a positive multiple of `width`, as a grey P5 image `width` wide.
 
+    Where `tile` is given, npy_tiles besides: NPY bytes of each `tile` x `tile` cut of the image.
     Null and empty texts are one row of zeros. Equal texts give equal images, whatever their ids. Rows
     come out one for one, repeated and null ids included; an empty table gives an empty result.
     Columns of other names are not read.
@@ -157,50 +180,56 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def encode(batches):
         for batch in batches:
-            n, media = [], []
+            n, media, cut = [], [], []
             for text in batch.column(1):
                 raw = (text.as_py() or "").encode()
                 n.append(len(raw))
                 raw += bytes(width - len(raw)) if not raw else bytes(-len(raw) % width)
-                media.append(encode_netpbm(np.frombuffer(raw, np.uint8).reshape(-1, width)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+                pixels = np.frombuffer(raw, np.uint8).reshape(-1, width)
+                media.append(encode_netpbm(pixels))
+                if tile:
+                    cut.append([npy(x) for x in tiles(pixels, tile)])
+            more = [pa.array(cut, pa.list_(pa.binary()))] if tile else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary()), *more], names=["doc_id", "n_bytes", "media", "npy_tiles"][: 3 + len(more)])
 
-    return text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, n_bytes long, media binary")
+    return text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, n_bytes long, media binary" + (", npy_tiles array<binary>" if tile else ""))
 
 
-def media_features(rows: DataFrame, media_col: str = "media", tile: int | None = None) -> DataFrame:
+def media_features(rows: DataFrame, media_col: str = "media", tile: int | None = None, tiles_col: str | None = None) -> DataFrame:
     """rows without the media, and of each: payload_bytes, payload_sha256, tail_crc32 (last 64 bytes) of the decoded samples, media_bytes, media_sha256, feature, tiles.
 
     feature: the difference hash, then the first 16 hex digits of the SHA-256 of the 32 x 32
     area-resized NPY tile. tiles: NPY bytes of each `tile` x `tile` cut, or null where none is asked
-    for. Null or damaged media give nulls and do not stop the job. Rows are independent; no shuffle.
+    for. Where `tiles_col` is given, the feature is that of the image read from its stored NPY tiles,
+    and it is not in the result. Null or damaged media or tiles give nulls and do not stop the job. Rows are independent; no shuffle.
     """
-    others = [c for c in rows.columns if c != media_col]
+    others = [c for c in rows.columns if c not in (media_col, tiles_col)]
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tiles"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.binary())]
 
     def features(batches):
         for batch in batches:
             out = []
-            for value in batch.column(len(others)):
+            for k, value in enumerate(batch.column(len(others))):
                 media = value.as_py()
                 try:
                     pixels = decode(media)
-                except (ValueError, TypeError, struct.error):
+                    seen = untiled(batch.column(len(others) + 1)[k].as_py(), pixels.shape[1]) if tiles_col else pixels
+                except (ValueError, TypeError, IndexError, struct.error):
                     out.append((None,) * 7)
                     continue
                 payload = np.ascontiguousarray(pixels).tobytes()
-                small = np.round(area_resized(grey(pixels), 32, 32)).astype(np.uint8)
-                feature = difference_hash(pixels) + hashlib.sha256(npy(small)).hexdigest()[:16]
+                small = np.round(area_resized(grey(seen), 32, 32)).astype(np.uint8)
+                feature = difference_hash(seen) + hashlib.sha256(npy(small)).hexdigest()[:16]
                 cut = [npy(x) for x in tiles(pixels, tile)] if tile else None
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, cut))
             columns = list(zip(*out, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(others))), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*others, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*others).schema.fields)
-    return rows.select(*others, media_col).mapInArrow(features, kinds + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tiles array<binary>")
+    return rows.select(*others, media_col, *([tiles_col] if tiles_col else [])).mapInArrow(features, kinds + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tiles array<binary>")
 
 
-def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int | None = None) -> DataFrame:
     """`text_media`, written to a table and read back."""
-    return staged(text_media(docs, id_col, text_col), "media")
+    return staged(text_media(docs, id_col, text_col, tile=tile), "media")

@@ -72,7 +72,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(stored_media(documents(spark, sf_dir))).drop("tiles")
+    return media_features(stored_media(documents(spark, sf_dir), tile=64), tiles_col="npy_tiles").drop("tiles")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,3 +250,28 @@ def test_image_formats(spark):
     assert (np.load(__import__("io").BytesIO(media.npy(x))) == x).all() and media.difference_hash(np.tile(np.arange(90), (8, 1))) == "ff" * 8
     rows = media.media_features(spark.createDataFrame([(1, bytearray(b"junk")), (2, None)], "id long, media binary")).collect()
     assert [(r.id, r.payload_bytes, r.feature) for r in rows] == [(1, None, None), (2, None, None)]
+
+
+def test_stored_tiles(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(queries, "stored_media", lambda *a, **k: held.append(media.stored_media(*a, **k)) or held[-1])
+    got = cases.by_id(queries.op9_media_columns(spark, "/root/testdata/sf0.001"))
+    plain = cases.by_id(media.media_features(media.stored_media(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))).drop("tiles"))
+    assert got == plain and all(r.feature for r in got.values())
+    for r in held[0].collect():
+        cut = [np.load(__import__("io").BytesIO(x)) for x in r.npy_tiles]
+        assert all(x.shape[0] == 64 for x in cut[:-1]) and (np.concatenate(cut) == media.decode(r.media)).all()
+    x = np.arange(35, dtype=np.uint8).reshape(5, 7)
+    assert (media.untiled([media.npy(t) for t in media.tiles(x, 3)], 7) == x).all()
+
+
+def test_bmp_of_masks():
+    import struct
+
+    def bmp(bits, packed, body, masks=()):
+        head = struct.pack("<IiiHHIIiiII", 40, 2, -1, 1, bits, packed, len(body), 0, 0, 0, 0) + struct.pack(f"<{len(masks)}I", *masks)
+        return struct.pack("<2sIHHI", b"BM", 14 + len(head) + len(body), 0, 0, 14 + len(head)) + head + body
+
+    assert media.decode(bmp(16, 0, struct.pack("<2H", 0x7C00, 0x001F))).tolist() == [[[255, 0, 0], [0, 0, 255]]]
+    assert media.decode(bmp(16, 3, struct.pack("<2H", 0x07E0, 0xF800), (0xF800, 0x07E0, 0x001F))).tolist() == [[[0, 255, 0], [255, 0, 0]]]
+    assert media.decode(bmp(32, 3, struct.pack("<2I", 0x010203FF, 0xFF000000), (0xFF000000, 0xFF0000, 0xFF00))).tolist() == [[[1, 2, 3], [255, 0, 0]]]
