@@ -36,8 +36,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, piece, begin, end, bin, place, filled: where each document's words go."""
-    return pack(docs)
+    """doc_id, size, piece, begin, end, bin, place, filled: where each document's words go. All that the mix took of a document is one cluster; without an id, equal texts are."""
+    return pack(docs, cluster=F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("secret_scans", secret_scans), ("source_mixing", source_mixing), ("best_fit_packing", best_fit_packing)]

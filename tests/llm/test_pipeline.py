@@ -92,6 +92,13 @@ def test_null_and_repeated_ids(spark):
     assert collections.Counter({r.doc_id: r.n for r in P.best_fit_packing(spark, d, None).groupBy("doc_id").agg(P.F.countDistinct("piece", "bin", "place").alias("n")).collect()}).keys() == {r[0] for r in rows}
 
 
+def test_ranges_of_a_document_share_no_bin(spark):
+    rows = [(k % 30, f"w{k} " * (5 + k), "en", f"s{k}") for k in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    packed = P.best_fit_packing(spark, d, None).collect()
+    assert len(packed) == 120 and len({(r.doc_id, r.bin) for r in packed}) == 120
+
+
 def test_release(spark):
     kept = staged(spark.range(3), "gone")
     release(spark)
