@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Words are runs of anything but these bytes.
@@ -23,13 +24,14 @@ _STAGED: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share: spark.checkpoint.dir or the context's checkpoint folder; on one machine without either, a temporary one."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        held = spark.sparkContext.getCheckpointDir()
-        found = held or tempfile.mkdtemp(prefix="cairn-")
-        if not held:
-            spark.sparkContext.setCheckpointDir(found)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="cairn-")
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -72,6 +74,12 @@ def numbered(docs: DataFrame, label: str = "rows") -> DataFrame:
     return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), label)
 
 
+def kept_until_release(spark: SparkSession, path: str) -> str:
+    """path, which `release` deletes with the staged tables."""
+    _STAGED.append((spark, path))
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -121,18 +129,21 @@ _SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {}
+#: The lowest 0 to 8 bytes of a number.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words beyond so many bytes are hashed by the library in one call.
+LONG_WORD = 512
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place of raw, and from its end, as one number, the first byte lowest; zeros after the end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE and its inverse, modulo 2**64, to the powers 0 to n - 1."""
-    if len(_POWERS.get("up", ())) < n:
-        held = 1 << max(16, int(n - 1).bit_length())
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            out = np.full(held, base, np.uint64)
-            out[0] = 1
-            _POWERS[key] = np.multiply.accumulate(out)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+def block(eight: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first eight bytes, or fewer, of strings of these sizes."""
+    return eight[at] & _BYTES[np.minimum(size, 8)]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -160,13 +171,37 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word; A-Z as a-z where `lower`."""
+    """A 64-bit hash of each word; A-Z as a-z where `lower`.
+
+    Blocks of eight bytes go one after another through a bijection, so words of one length that
+    differ in one block never collide, and no sum over positions can cancel.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_LOWER[raw] if lower else raw) * up, out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    low = _LOWER[raw] if lower else raw
+    eight, size = eights(low), ends - starts
+    h = mixed(block(eight, starts, size) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    left = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    done = 8
+    while len(left):
+        rest = size[left] - done
+        h[left] = mixed((h[left] + np.uint64(_BASE)) ^ block(eight, starts[left] + done, rest))
+        left = left[rest > 8]
+        done += 8
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(low[starts[k] : ends[k]].tobytes())
+    return h
+
+
+def word_texts(raw: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Each text's words in turn, A-Z as a-z, parted by one space; and the edges of the texts."""
+    low = _LOWER[raw]
+    keep = np.logical_not(_SPACE[raw])
+    inner = np.ones(len(ends), bool)
+    inner[(np.cumsum(counts) - 1)[counts > 0]] = False
+    keep[ends[inner]] = True
+    low[ends[inner]] = 32
+    return low[keep].tobytes(), np.concatenate([[0], np.cumsum(keep)])[at]
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,8 +216,3 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.nda
         has = length > k
         h = np.where(has, mixed(h + hashes[np.minimum(low + k, max(len(hashes) - 1, 0))] * np.uint64(0xA0761D6478BD642F + 2 * k)), h) if len(hashes) else h
     return h, out_counts
-
-
-def bounded_partitions(df: DataFrame, key: str, n: int | None = None) -> DataFrame:
-    """Rows dealt by `key` into as many partitions as the session's shuffles have."""
-    return df.repartition(n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(key))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import superminhash
-from .common import shingles, slices, staged, text_rows, utf8, word_hashes, words
+from .common import shingles, slices, staged, text_rows, utf8, word_hashes, word_texts, words
 from .graph import blocked, components, runs, spanning
 
 #: Values of a signature, and the chance that a pair at the threshold may share no band: at 0.85 that is 40 bands of 6.
@@ -27,12 +27,11 @@ BUCKET, FAMILY = 512, 1024
 
 
 def _sets(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[list[np.ndarray], list[bytes]]:
-    """Each text's distinct shingles, sorted, and its words' hashes as bytes."""
+    """Each text's distinct shingles, sorted, and its words in turn."""
     starts, ends, counts = words(raw, at)
-    hashes = word_hashes(raw, starts, ends)
-    each, n = shingles(hashes, counts, width)
-    cut, edges = np.cumsum(n), np.cumsum(counts)
-    return [np.unique(each[z - k : z]) for k, z in zip(n, cut, strict=True)], [hashes[z - k : z].tobytes() for k, z in zip(counts, edges, strict=True)]
+    each, n = shingles(word_hashes(raw, starts, ends), counts, width)
+    joined, edges = word_texts(raw, at, starts, ends, counts)
+    return [np.unique(each[z - k : z]) for k, z in zip(n, np.cumsum(n), strict=True)], [joined[a:z] for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
 def band_rows(similarity: float, slots: int = SLOTS) -> int:

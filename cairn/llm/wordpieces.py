@@ -3,7 +3,9 @@
 The vocabulary normalises (NFC, white space, lower case), splits by a pattern and merges each
 pre-token by itself. So an encoding is that of its pre-tokens in turn, and equal pre-tokens share
 one answer of the library. Pre-tokens are cut from whole batches of UTF-8 bytes in numpy and looked
-up by a 64-bit hash. Texts with characters outside the fixed set below go to the library whole.
+up by a 64-bit hash, and every hit is held against the bytes of the string found. Texts with
+characters outside the fixed set below, and those with a string whose hash another one holds, go to
+the library whole.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark import Broadcast
 
-from .common import word_hashes
+from .common import block, eights, word_hashes
 
 # Fixed values. The cut below equals the vocabulary's pattern on texts of these characters only:
 # ASCII but for controls; the Latin letters of U+00C0 to U+00FF with their two signs; the marks
@@ -113,10 +115,8 @@ class Pieces:
         self.ends = np.zeros(max(known.values()) + 1, bool)
         self.ends[[i for x, i in known.items() if x.endswith(END)]] = True
         self.whole = self.whole_tokens()
-        texts = list(self.whole)
-        raw = "".join(texts).encode()
-        at = np.concatenate([[0], np.cumsum([len(x.encode()) for x in texts])])
-        self._first = word_hashes(np.frombuffer(raw, np.uint8), at[:-1], at[1:], lower=False), np.array([self.whole[x] for x in texts], np.uint16)
+        #: Ids are held as narrow as the vocabulary lets them be.
+        self.kind = id_kind(len(self.ends))
         self.forget()
 
     def whole_tokens(self) -> dict[str, int]:
@@ -141,18 +141,31 @@ class Pieces:
         self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.int32)
         self.n = 0
         self.starts, self.sizes = np.zeros(2 * HELD, np.int32), np.zeros(2 * HELD, np.int32)
-        self.flat, self.used = np.zeros(8 * HELD, np.uint16), 0
-        hashes, ids = self._first
-        self.insert(hashes, ids, np.ones(len(ids), np.int64))
+        self.flat, self.used = np.zeros(8 * HELD, self.kind), 0
+        #: The strings themselves, end to end, and where each one is.
+        self.text, self.text_used = np.zeros(8 * HELD, np.uint8), 0
+        self.text_at, self.text_size = np.zeros(2 * HELD, np.int64), np.zeros(2 * HELD, np.int64)
+        texts = [x.encode() for x in self.whole]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        hashes, one = np.unique(_hashes(raw, at[:-1], at[1:]), return_index=True)
+        self.n_whole = len(one)
+        self.insert(hashes, np.array(list(self.whole.values()))[one], np.ones(len(one), np.int64), raw, at[:-1][one], at[1:][one])
 
-    def insert(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Distinct hashes that the table lacks."""
-        m, k = len(hashes), len(ids)
+    def insert(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Distinct hashes that the table lacks, the ids of each, and its string raw[begin:end]."""
+        m, k, size = len(hashes), len(ids), end - begin
         while self.n + m > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+            self.starts, self.sizes, self.text_at, self.text_size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.text_at, self.text_size))
         while self.used + k > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.text_used + size.sum() + 8 > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
         places = np.arange(self.n, self.n + m, dtype=np.int32)
+        edge = np.cumsum(size) - size
+        self.text[self.text_used : self.text_used + size.sum()] = raw[np.repeat(begin - edge, size) + np.arange(size.sum())]
+        self.text_at[places], self.text_size[places] = self.text_used + edge, size
+        self.text_used += int(size.sum())
         self.flat[self.used : self.used + k] = ids
         self.sizes[places] = sizes
         self.starts[places] = self.used + np.cumsum(sizes) - sizes
@@ -180,6 +193,20 @@ class Pieces:
             left = left[~hit & (held != 0)]
         return out
 
+    def same(self, place: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether each string is, byte for byte, the one held at its place."""
+        size, held = ends - starts, np.ndarray((len(self.text) - 7,), "<u8", self.text, strides=(1,))
+        eight, at = eights(low), self.text_at[place]
+        out = (self.text_size[place] == size) & (block(eight, starts, size) == block(held, at, size))
+        left, done = np.flatnonzero(out & (size > 8)), 8
+        while len(left):
+            rest = size[left] - done
+            equal = block(eight, starts[left] + done, rest) == block(held, at[left] + done, rest)
+            out[left[~equal]] = False
+            left = left[equal & (rest > 8)]
+            done += 8
+        return out
+
     def learn(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
         """Ask for distinct new pre-tokens, parted by spaces: each one's ids end with the one vocabulary string that ends a word."""
         raw = low.tobytes()
@@ -188,14 +215,14 @@ class Pieces:
         last = np.flatnonzero(self.ends[ids])
         if len(last) != len(texts):
             raise AssertionError("a pre-token without exactly one word end")
-        self.insert(hashes, ids.astype(np.uint16), np.diff(last, prepend=-1))
+        self.insert(hashes, ids, np.diff(last, prepend=-1), low, starts, ends)
 
     def ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def places(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The place of each pre-token, learnt where it is new."""
-        hashes = np.maximum(word_hashes(low, starts, ends, lower=False), np.uint64(1))
+        hashes = _hashes(low, starts, ends)
         out = self.find(hashes)
         lack = np.flatnonzero(out < 0)
         if len(lack):
@@ -210,25 +237,49 @@ class Pieces:
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All texts' ids in one array, how many each text has, and how many of its pre-tokens the shortcut took."""
         low, starts, ends, counts, holds = cut(raw, at)
-        if not holds.all():
+
+        def left(*each):
             keep = np.repeat(holds, counts)
-            starts, ends, counts = starts[keep], ends[keep], np.where(holds, counts, 0)
+            return *(x[keep] for x in each), np.where(holds, counts, 0)
+
+        if not holds.all():
+            starts, ends, counts = left(starts, ends)
         place = self.places(low, starts, ends)
+        if len(other := np.flatnonzero(~self.same(place, low, starts, ends))):
+            holds[np.searchsorted(np.cumsum(counts), other, "right")] = False
+            place, counts = left(place)
         sizes = self.sizes[place].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(sizes)])
         edges = np.concatenate([[0], np.cumsum(counts)])
         n = np.diff(total[edges])
         ids = self.flat[np.repeat(self.starts[place] - total[:-1], sizes) + np.arange(total[-1])]
-        whole = np.diff(np.concatenate([[0], np.cumsum(place < len(self.whole))])[edges])
+        whole = np.diff(np.concatenate([[0], np.cumsum(place < self.n_whole)])[edges])
         if not holds.all():
             own = np.split(ids, np.cumsum(n)[:-1])
             for k in np.flatnonzero(~holds):
-                own[k] = np.array(self.ids(raw[at[k] : at[k + 1]].tobytes().decode()), np.uint16)
+                own[k] = np.array(self.ids(raw[at[k] : at[k + 1]].tobytes().decode()), self.kind)
                 n[k] = len(own[k])
             ids = np.concatenate(own)
         return ids, n, whole
 
 
+def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of strings; 0 marks a free slot and is nobody's."""
+    return np.maximum(word_hashes(raw, starts, ends, lower=False), np.uint64(1))
+
+
+def id_kind(size: int) -> type:
+    """The narrowest type for ids below `size`."""
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
+def vocabulary_size(vocabulary: str, *more: int) -> int:
+    """One more than the largest id of a vocabulary, and of those given besides."""
+    from tokenizers import Tokenizer
+
+    return 1 + max([*Tokenizer.from_str(vocabulary).get_vocab(with_added_tokens=True).values(), *more])
+
+
 def pieces(vocabulary: Broadcast) -> Pieces:
     """This worker's table for a vocabulary; made once and kept while the worker lives."""
     key = hash(vocabulary.value)
