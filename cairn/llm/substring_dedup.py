@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, mixed, slices, staged, text_rows, utf8
+from .common import ROW, discard, mixed, numbered, slices, staged, text_rows, utf8
 from .graph import blocked, runs
 from .suffix_array import repeated
 
@@ -175,10 +175,10 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     the same text or another; strings never cross texts, and are judged on the input. Null and empty
     texts have 0 bytes; texts under `width` bytes lose none. Rows come out one for one: equal rows,
     even of one id, repeat each other. An empty table gives an empty result. Columns of other names
-    are not read. Rows are told apart by a 64-bit hash of id and text.
+    are not read. Each row has a number of its own, staged beside its text.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
+    rows = numbered(text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), text.alias("text")), "texts").withColumnRenamed(ROW, "doc")
     spans = repeated_spans(rows.select("doc", "text"), width).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     joined = rows.join(spans.hint("merge"), "doc", "left").select("doc_id", "text", "spans")
 

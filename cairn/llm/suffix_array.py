@@ -2,20 +2,16 @@
 
 Suffixes are classified as smaller (S) or larger (L) than their next one; a leftmost S is an LMS
 suffix. LMS substrings are sorted by inducing from the LMS positions, named, and the string of names
-is solved in turn: by induced sorting again while it has few names, else by doubling ranks, as
-buckets of one or two places gain nothing from numpy. From sorted LMS suffixes the whole array is
-induced bucket by bucket. A bucket's places are induced in waves: all that follow from places
-already there at once, as many waves as the longest run of one symbol.
+is sorted in turn, by the same way, until all names differ. From sorted LMS suffixes the whole array
+is induced in one scan up and one down. A scan takes as many buckets in one numpy step as induce
+nothing into each other; a bucket that induces into itself goes alone, in waves: all that follow
+from places already there at once, as many waves as the longest run of its symbol.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Symbols up to which a string is sorted by induced sorting.
-BUCKETS = 1024
-
-
 def _types(s: np.ndarray) -> np.ndarray:
     """True for S; the last symbol is smallest and S."""
     n = len(s)
@@ -28,76 +24,123 @@ def _types(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def _steps(inner: np.ndarray, own: np.ndarray) -> list[int]:
+    """Edges of runs of buckets, in scanning order, of which none induces into another of its run.
+
+    inner: of each bucket, the last of the buckets scanned before it that induce into it, or -1;
+    own: whether it induces into itself, and so must be a run by itself.
+    """
+    edges, low = [0], 0
+    for k, (before, alone) in enumerate(zip(inner.tolist(), own.tolist(), strict=True)):
+        if k > low and (before >= low or alone):
+            edges.append(k)
+            low = k
+        if alone:
+            edges.append(k + 1)
+            low = k + 1
+    if edges[-1] < len(inner):
+        edges.append(len(inner))
+    return edges
+
+
 def _induced(s: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
     """All suffixes in order, induced from LMS suffixes in order (or LMS substrings, if those are only in order of their first symbol)."""
+    n = len(s)
     first = np.bincount(s, minlength=symbols)
     edge = np.concatenate([[0], np.cumsum(first)])
     n_large = np.bincount(s[~small], minlength=symbols)
-    sa = np.empty(len(s), np.int64)
-    seeds = lms[np.argsort(s[lms], kind="stable")]
-    seed_edge = np.concatenate([[0], np.cumsum(np.bincount(s[lms], minlength=symbols))])
-    head = edge[:-1].copy()
+    n_seeds = np.bincount(s[lms], minlength=symbols)
+    sa = np.empty(n, np.int64)
+    narrow = np.uint16 if symbols <= 1 << 16 else np.int64
 
-    def scatter(places: np.ndarray, own: int, want_small: bool, at: np.ndarray) -> np.ndarray:
-        """Put the predecessors of these places into their buckets; return those of the own bucket."""
-        before = places[places > 0] - 1
-        before = before[small[before] == want_small]
-        if not len(before):
-            return before
+    def scatter(before: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+        """Put these places into their buckets, in turn from `at` on, up or down; returns them by bucket."""
         symbol = s[before]
-        order = np.argsort(symbol.astype(np.uint16) if symbols < 1 << 16 else symbol, kind="stable")
+        order = np.argsort(symbol.astype(narrow), kind="stable")
         before, symbol = before[order], symbol[order]
         starts = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
         sizes = np.diff(np.append(starts, len(before)))
-        offset = np.arange(len(before)) - np.repeat(starts, sizes)
         which = symbol[starts]
-        if want_small:
-            sa[np.repeat(at[which], sizes) - 1 - offset] = before
-            at[which] -= sizes
-        else:
-            sa[np.repeat(at[which], sizes) + offset] = before
-            at[which] += sizes
-        k = np.searchsorted(which, own)
-        return before[starts[k] : starts[k] + sizes[k]] if k < len(which) and which[k] == own else before[:0]
+        offset = np.arange(len(before)) - np.repeat(starts, sizes)
+        sa[np.repeat(at[which], sizes) + step * offset] = before
+        at[which] += step * sizes
+        return before
+
+    def ahead(places: np.ndarray, want: bool) -> np.ndarray:
+        before = places[places > 0] - 1
+        return before[small[before] == want]
+
+    def scan(order: np.ndarray, want: bool, at: np.ndarray, step: int, taken) -> None:
+        """One scan over buckets in `order`; taken(run of buckets, alone): the places of a run that induce, in scanning order."""
+        place = np.empty(symbols, np.int64)
+        place[order] = np.arange(len(order))
+        # Who induces into whom: the bucket of each place of this type, and that of its next one.
+        mine = np.flatnonzero(small[:-1] == want)
+        to, by = place[s[mine]], place[s[mine + 1]]
+        inner, own = np.full(len(order), -1, np.int64), np.zeros(len(order), bool)
+        np.maximum.at(inner, to[by < to], by[by < to])
+        own[to[by == to]] = True
+        edges = _steps(inner, own)
+        for a, z in zip(edges[:-1], edges[1:], strict=True):
+            if own[a]:
+                c = order[a]
+                low, rest = taken(c)
+                wave = sa[low(at[c])]
+                while len(wave):
+                    wave = ahead(wave, want)
+                    if len(wave):
+                        wave = scatter(wave, at, step)
+                        wave = wave[s[wave] == c]
+                if len(rest := ahead(rest(), want)):
+                    scatter(rest, at, step)
+            elif len(before := ahead(sa[runs(order[a:z])], want)):
+                scatter(before, at, step)
 
     used = np.flatnonzero(first)
-    for c in used:
-        wave = sa[edge[c] : head[c]]
-        while len(wave):
-            wave = scatter(wave, c, False, head)
-        if seed_edge[c] < seed_edge[c + 1]:
-            scatter(seeds[seed_edge[c] : seed_edge[c + 1]], c, False, head)
-    tail = edge[1:].copy()
-    end = len(s) - 1
-    tail[s[end]] -= 1
-    sa[tail[s[end]]] = end  # the last suffix is S and has nothing that induces it
-    for c in used[::-1]:
-        wave = sa[tail[c] : edge[c + 1]][::-1]
-        while len(wave):
-            wave = scatter(wave, c, True, tail)
-        if n_large[c]:
-            scatter(sa[edge[c] : edge[c] + n_large[c]][::-1], c, True, tail)
+    # Seeds stand behind the L places of their bucket while the first scan goes on.
+    seeds = lms[np.argsort(s[lms].astype(narrow), kind="stable")]
+    behind = edge[:-1] + n_large
+    sa[np.repeat(behind - (np.cumsum(n_seeds) - n_seeds), n_seeds) + np.arange(len(lms))] = seeds
+    length = n_large + n_seeds
+
+    def runs(buckets: np.ndarray) -> np.ndarray:
+        size = length[buckets]
+        return np.repeat(edge[buckets] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+    def up(c):
+        return lambda now: slice(edge[c], now), lambda: sa[behind[c] : behind[c] + n_seeds[c]]
+
+    scan(used, False, edge[:-1].copy(), 1, up)
+
+    def runs(buckets: np.ndarray) -> slice:  # noqa: F811
+        low = edge[buckets[-1]]
+        return slice(edge[buckets[0] + 1] - 1, low - 1 if low else None, -1)
+
+    def down(c):
+        low, high = edge[c], edge[c] + n_large[c]
+        return lambda now: slice(edge[c + 1] - 1, now if now >= 0 else None, -1), lambda: sa[low:high][::-1]
+
+    tail = edge[1:] - 1
+    sa[tail[s[n - 1]]] = n - 1  # the last suffix is S and has nothing that induces it
+    tail[s[n - 1]] -= 1
+    scan(used[::-1], True, tail, -1, down)
     return sa
 
 
-def _doubled(names: np.ndarray, depth: int | None) -> np.ndarray:
-    """Suffixes of a string of names in order, to `depth` symbols at least; ties beyond it in any order."""
-    n, h = len(names), 1
-    rank = names.astype(np.int64)
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - h] = rank[h:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key)  # equal keys get equal ranks, so their order does not matter
-        step = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank[order] = step
-        h *= 2
-        if step[-1] == n - 1 or h >= n or depth is not None and h >= depth:
-            return order
-
-
-def suffix_array(s: np.ndarray, symbols: int, depth: int | None = None) -> np.ndarray:
-    """The suffixes of s in order. The last symbol must be the smallest and nowhere else; depth: symbols to which order must hold, None for all."""
+def _names(s: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For strings in order, the number of each among the distinct ones: neighbours are compared symbol by symbol while they are equal."""
+    other = sizes[1:] != sizes[:-1]
+    left, k = np.flatnonzero(~other), 0
+    while len(left):
+        differ = s[starts[left] + k] != s[starts[left + 1] + k]
+        other[left[differ]] = True
+        k += 1
+        left = left[~differ & (sizes[left] > k)]
+    return np.concatenate([[0], np.cumsum(other)])
+
+
+def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
+    """The suffixes of s in order. The last symbol must be the smallest and nowhere else."""
     n = len(s)
     small = _types(s)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
@@ -107,35 +150,19 @@ def suffix_array(s: np.ndarray, symbols: int, depth: int | None = None) -> np.nd
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = first[is_lms[first]]
-    # Names: LMS substrings run to the next LMS position; equal ones have equal bytes and length.
+    # Names: LMS substrings run to the next LMS position; equal ones have equal symbols and length.
     place = np.empty(n, np.int64)
     place[lms] = np.arange(len(lms))
     size = np.append(np.diff(lms) + 1, n - lms[-1])
-    prints = _prints(s, lms, size)[place[order]]
-    names_sorted = np.concatenate([[0], np.cumsum((prints[1:] != prints[:-1]) | (size[place[order]][1:] != size[place[order]][:-1]))])
-    names = np.empty(len(lms), np.int64)
-    names[place[order]] = names_sorted
+    names_sorted = _names(s, order, size[place[order]])
     count = int(names_sorted[-1]) + 1
     if count < len(lms):
-        deep = None if depth is None else depth // 2 + 1  # an LMS substring adds two symbols at least
-        inner = suffix_array(names, count, deep) if count <= BUCKETS else _doubled(names, deep)
-        order = lms[inner]
+        names = np.empty(len(lms), np.int64)
+        names[place[order]] = names_sorted
+        order = lms[suffix_array(names, count)]
     return _induced(s, small, order, symbols)
 
 
-def _prints(s: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    base = 0x9E3779B97F4A7C15
-    n = len(s)
-    up = np.full(n, base, np.uint64)
-    up[0] = 1
-    up = np.multiply.accumulate(up)
-    down = np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    down[0] = 1
-    down = np.multiply.accumulate(down)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((s.astype(np.uint64) + np.uint64(1)) * up)])
-    return (sums[starts + sizes] - sums[starts]) * down[starts]
-
-
 def common_prefixes(s: np.ndarray, sa: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """In text order: the suffix before each one in the array (-1 for the first), and their common prefix, ended by either one's `room`.
 
@@ -183,7 +210,7 @@ def repeated(parts: list[bytes], width: int) -> list[np.ndarray]:
     ends = np.cumsum(sizes + 1) - 1
     s[ends], s[-1] = 1, 0
     room = np.append(np.repeat(ends, sizes + 1) - np.arange(len(s) - 1), 0)
-    sa = suffix_array(s, 258, width)
+    sa = suffix_array(s, 258)
     # Separators end a common prefix by `room`, so bytes do for comparing.
     before, prefix = common_prefixes(joined, sa, room)
     hit = np.zeros(len(s), bool)
