@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import shared_folder
+from .common import kept_until_release, shared_folder
 from .media import media_features, stored_media
 from .near_duplicates import near_duplicates
 from .packing import pack
@@ -66,7 +66,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/cairn-token-files-{uuid.uuid4().hex}"
+    path = kept_until_release(spark, f"{shared_folder(spark)}/cairn-token-files-{uuid.uuid4().hex}")
     write_token_files(documents(spark, sf_dir), path, vocabulary_path(), end_id=2)
     return read_token_files(spark, path, whole=False).drop("ids")
 

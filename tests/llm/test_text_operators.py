@@ -9,12 +9,13 @@ import numpy as np
 import pytest
 
 from cairn.llm import media, quality_rules as Q, queries, rans
+from cairn.llm.near_duplicates import near_duplicates
 from cairn.llm.quality_rules import quality_rules
 from cairn.llm.secret_scan import digest, joined_spans, redacted, secret_scan
 from cairn.llm.substring_dedup import without_repeats
 from cairn.llm.suffix_array import repeated, suffix_array
 from cairn.llm.token_counts import token_counts
-from cairn.llm.token_files import read_token_files, write_token_files
+from cairn.llm.token_files import read_token_files, read_token_range, write_token_files
 from pyspark.sql import functions as F
 from tests.llm import cases
 from tests.oracle import check
@@ -129,9 +130,25 @@ def test_suffix_arrays():
     for _ in range(300):
         s = np.append(rng.integers(1, rng.integers(2, 6), rng.integers(0, 60)), 0)
         assert suffix_array(s, 8).tolist() == sorted(range(len(s)), key=lambda k: s[k:].tolist())
+    for _ in range(200):  # long runs of one symbol, and strings that repeat
+        s = np.append(np.tile(np.repeat(rng.integers(1, 7, 8), rng.integers(1, 9, 8)), rng.integers(1, 4)), 0)
+        assert suffix_array(s, 8).tolist() == sorted(range(len(s)), key=lambda k: s[k:].tolist())
     assert [x.tolist() for x in repeated([b"abcabc", b"", b"xabc", b"ab"], 3)] == [[True, False, False, True], [], [False, True], []]
 
 
+def test_names_are_sorted_by_recursion(spark, monkeypatch):
+    """Real text, as much as a shard holds: every string of names is sorted by the same way, to the end."""
+    from cairn.llm import suffix_array as A
+
+    calls, plain = [], A.suffix_array
+    monkeypatch.setattr(A, "suffix_array", lambda s, symbols: calls.append((len(s), symbols)) or plain(s, symbols))
+    raw = "\n".join(small(spark).values()).encode()[: 512 << 10]
+    s = np.append(np.frombuffer(raw, np.uint8).astype(np.int64) + 1, 0)
+    order = A.suffix_array(s, 257)
+    assert len(calls) > 3 and calls[1][1] > 4000 and all(a[0] > 2 * b[0] for a, b in zip(calls, calls[1:]))
+    assert sorted(order.tolist()) == list(range(len(s))) and all(raw[a:] < raw[b:] for a, b in zip(order[1:-1:37].tolist(), order[2::37].tolist()))
+
+
 # --- tokens -------------------------------------------------------------------------------------
 def test_token_counts(spark, tokenizer):
     for df in (cases.docs(spark), spark.read.parquet(f"{SMALL}/documents.parquet")):
@@ -158,6 +175,45 @@ def test_contractions_and_marks(tokenizer):
         assert part.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def thue_morse(n, letters):
+    """Words of n letters, one the other's complement: sums over positions weighted by powers of any odd number are equal for both."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+def test_words_that_collide_under_polynomials(spark, tokenizer):
+    import pyarrow as pa
+
+    from cairn.llm.common import utf8, word_hashes
+    from cairn.llm.wordpieces import Pieces, read_vocabulary
+
+    texts = [x for n in (8, 16, 64, 512, 1024, 2048) for letters in ("ab", "ef", "xq") for x in thue_morse(n, letters)]
+    raw, at = utf8(pa.array(texts))
+    assert len(set(word_hashes(raw, at[:-1], at[1:]).tolist())) == len(texts)
+    table = Pieces(read_vocabulary(PATH))
+    for text, part in zip(texts, np.split(table.encode(raw, at)[0], np.cumsum(table.encode(raw, at)[1])[:-1]), strict=True):
+        assert part.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert near_duplicates(d).where("NOT kept").count() == 0
+
+
+def test_a_held_hash_of_another_string(tokenizer, monkeypatch):
+    """Whatever collides, ids are the library's: hits are held against bytes."""
+    import pyarrow as pa
+
+    from cairn.llm import wordpieces
+    from cairn.llm.common import utf8
+
+    plain = wordpieces._hashes
+    monkeypatch.setattr(wordpieces, "_hashes", lambda *a: plain(*a) % np.uint64(4099) + np.uint64(1))
+    table = wordpieces.Pieces(wordpieces.read_vocabulary(PATH))
+    texts = [(r[1] or "").replace("\0", "") for r in cases.rows()]
+    for _ in range(2):
+        ids, n, _ = table.encode(*utf8(pa.array(texts)))
+        for text, part in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+            assert part.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files(spark, tokenizer, tmp_path, monkeypatch):
     d = cases.docs(spark)
     write_token_files(d, str(tmp_path / "f"), PATH, end_id=2, block=500)
@@ -167,6 +223,13 @@ def test_token_files(spark, tokenizer, tmp_path, monkeypatch):
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes())) and bytes(got[k].ids) == ids.tobytes()
         start += len(ids)
+    every = np.concatenate([np.frombuffer(bytes(r.ids), "<u4") for r in sorted(got.values(), key=lambda r: r.start)])
+    for begin, end in ((0, start), (3, 4), (700, 5300), (start - 1, start + 9), (5, 5)):
+        out = np.zeros(max(0, min(end, start) - begin), np.uint32)
+        for r in read_token_range(spark, str(tmp_path / "f"), begin, end).collect():
+            piece = np.frombuffer(bytes(r.ids), "<u4")
+            out[r.position - begin : r.position - begin + len(piece)] = piece
+        assert (out == every[begin:end]).all()
     write_token_files(cases.empty(spark), str(tmp_path / "e"), PATH)
     assert read_token_files(spark, str(tmp_path / "e")).count() == 0
     write_token_files(spark.createDataFrame([(None, "a"), (5, "b"), (5, "b"), (None, None)], "doc_id long, text string"), str(tmp_path / "n"), PATH)
@@ -182,6 +245,10 @@ def test_range_coder():
     block = table.encode(ids, lanes=256)
     rows = rans.CHECKPOINT * 256
     assert (table.decode(block, 3, 5) == ids[3 * rows : 5 * rows]).all()
+    assert (table.decode(block, 11) == ids[11 * rows :]).all() and (table.decode(block, 0, 1) == ids[:rows]).all()
+    cut = bytearray(block)
+    cut[-1] ^= 1  # a stretch is held against its own checksums, whatever is wrong in others
+    assert (table.decode(bytes(cut), 3, 5) == ids[3 * rows : 5 * rows]).all()
     for at in (0, 8, 40, len(block) - 1):
         bad = bytearray(block)
         bad[at] ^= 1
