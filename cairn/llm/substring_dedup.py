@@ -1,6 +1,6 @@
 """Removal of repeated byte strings by suffix arrays of shards.
 
-Every WIDTH-byte window of a text is keyed by the least hash of its 32-byte strings. Equal windows
+Every WIDTH-byte window of a text is keyed by the least hash of its 64-byte strings. Equal windows
 have equal keys, and a key holds over a run of neighbouring windows: the run's bytes are a segment.
 So all windows of a key can be looked at in one place, and a key met once needs no look at all.
 Segments are counted by key and digest. One that occurs twice is repeated as a whole; of the others,
@@ -23,7 +23,7 @@ from .graph import blocked, runs
 from .suffix_array import repeated
 
 WIDTH = 200
-GRAM = 32
+GRAM = 64
 #: Windows of a segment at most: longer runs, as of one repeated byte, are cut.
 RUN = 2048
 KEY_SEGMENTS = 1024
@@ -101,7 +101,7 @@ def _spans(rows: DataFrame, width: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc, low, high: byte spans covered by `width`-byte strings that start in more than one place; docs: doc (one number a row), text. Spans may overlap."""
+    """doc, low, high: byte spans covered by `width`-byte strings that start in more than one place; docs: doc (one number a row), text, and others that are carried along. Spans may overlap."""
     every = staged(_segment_rows(docs, width), "segments")
     own = F.shiftright("place", _SIZE).bitwiseAND(1) == 1
     # Sums are staged before they are joined back: the joins then deal out both sides anew, and a key
@@ -118,11 +118,13 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # A segment met once is looked at if its key has others, or repeats within it.
     looked = told.where("kinds > 1 OR (own AND n = 1)")
     by_doc = looked.groupBy("doc").agg(F.collect_list(F.struct("key", "digest", "n", "kinds", "place")).alias("wanted"))
-    held = docs.join(by_doc.hint("merge"), "doc").select("doc", "text", "wanted")
+    # All columns, as the join that strips the texts has them: the texts are then dealt out once for both.
+    held = docs.join(by_doc.hint("merge"), "doc").select(*docs.columns, "wanted")
+    columns = [held.columns.index(c) for c in ("doc", "text", "wanted")]
 
     def fetch(batches):
         for batch in batches:
-            for doc, text, wanted in zip(*(batch.column(k) for k in range(3)), strict=True):
+            for doc, text, wanted in zip(*(batch.column(k) for k in columns), strict=True):
                 raw, out = text.as_py().encode(), []
                 for x in wanted.as_py():
                     low, size = x["place"] >> (_SIZE + 1), x["place"] & (1 << _SIZE) - 1
@@ -178,8 +180,8 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     are not read. Each row has a number of its own, staged beside its text.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = numbered(text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), text.alias("text")), "texts").withColumnRenamed(ROW, "doc")
-    spans = repeated_spans(rows.select("doc", "text"), width).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    rows = numbered(text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), text.alias("text")), "texts").withColumnRenamed(ROW, "doc").where("doc IS NOT NULL")
+    spans = repeated_spans(rows, width).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     joined = rows.join(spans.hint("merge"), "doc", "left").select("doc_id", "text", "spans")
 
     def strip(batches):

@@ -43,88 +43,68 @@ def _steps(inner: np.ndarray, own: np.ndarray) -> list[int]:
     return edges
 
 
+def _scanned(s: np.ndarray, kind: np.ndarray, order: np.ndarray, own_size: np.ndarray, other_size: np.ndarray, others: np.ndarray, given: int = 0) -> np.ndarray:
+    """All places that one scan passes, in its order: of each bucket those it finds itself, then `others`.
+
+    Of each place passed, the one before it in s goes to the next free slot of its bucket if it is of
+    the wanted kind. order: symbols as they are scanned; sizes are in that order. given: how many of
+    the last bucket's own are there from the start, being the last places of s.
+    """
+    n, size = len(s), own_size + other_size
+    edge = np.concatenate([[0], np.cumsum(size)])
+    rank, at = np.zeros((2, int(order.max()) + 1), np.int64)
+    rank[order], at[order] = np.arange(len(order)), edge[:-1]
+    places = np.empty(edge[-1], np.int64)
+    places[np.repeat(edge[:-1] + own_size - (np.cumsum(other_size) - other_size), other_size) + np.arange(len(others))] = others
+    if given:
+        places[at[order[-1]]] = n - 1
+        at[order[-1]] += 1
+    mine = np.flatnonzero(kind[:-1])
+    to, by = rank[s[mine]], rank[s[mine + 1]]
+    inner, alone = np.full(len(order), -1, np.int64), np.zeros(len(order), bool)
+    np.maximum.at(inner, to[by < to], by[by < to])
+    alone[to[by == to]] = True
+    follows, count = np.zeros(n, bool), np.arange(n)
+    follows[mine + 1] = True
+
+    def put(found: np.ndarray) -> None:
+        before = found[follows[found]] - 1
+        if not (m := len(before)):
+            return
+        symbol = s[before]
+        turn = symbol.argsort(kind="stable")
+        symbol = symbol[turn]
+        first = np.empty(m, bool)
+        first[0] = True
+        np.not_equal(symbol[1:], symbol[:-1], out=first[1:])
+        mark = count[:m] * first
+        slot = at[symbol] + (count[:m] - np.maximum.accumulate(mark, out=mark))
+        places[slot] = before[turn]
+        at[symbol] = slot + 1  # of equal symbols the last one counts
+
+    steps, edges = _steps(inner, alone), edge.tolist()
+    for a, z in zip(steps[:-1], steps[1:], strict=True):
+        low, high = edges[a], edges[z]
+        if alone[a]:  # in waves: what is there, then what that brought in, until nothing does
+            while low < (now := int(at[order[a]])):
+                put(places[low:now])
+                low = now
+        put(places[low:high])
+    return places
+
+
 def _induced(s: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
     """All suffixes in order, induced from LMS suffixes in order (or LMS substrings, if those are only in order of their first symbol)."""
-    n = len(s)
-    first = np.bincount(s, minlength=symbols)
-    edge = np.concatenate([[0], np.cumsum(first)])
-    n_large = np.bincount(s[~small], minlength=symbols)
-    n_seeds = np.bincount(s[lms], minlength=symbols)
-    sa = np.empty(n, np.int64)
-    narrow = np.uint16 if symbols <= 1 << 16 else np.int64
-
-    def scatter(before: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
-        """Put these places into their buckets, in turn from `at` on, up or down; returns them by bucket."""
-        symbol = s[before]
-        order = np.argsort(symbol.astype(narrow), kind="stable")
-        before, symbol = before[order], symbol[order]
-        starts = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
-        sizes = np.diff(np.append(starts, len(before)))
-        which = symbol[starts]
-        offset = np.arange(len(before)) - np.repeat(starts, sizes)
-        sa[np.repeat(at[which], sizes) + step * offset] = before
-        at[which] += step * sizes
-        return before
-
-    def ahead(places: np.ndarray, want: bool) -> np.ndarray:
-        before = places[places > 0] - 1
-        return before[small[before] == want]
-
-    def scan(order: np.ndarray, want: bool, at: np.ndarray, step: int, taken) -> None:
-        """One scan over buckets in `order`; taken(run of buckets, alone): the places of a run that induce, in scanning order."""
-        place = np.empty(symbols, np.int64)
-        place[order] = np.arange(len(order))
-        # Who induces into whom: the bucket of each place of this type, and that of its next one.
-        mine = np.flatnonzero(small[:-1] == want)
-        to, by = place[s[mine]], place[s[mine + 1]]
-        inner, own = np.full(len(order), -1, np.int64), np.zeros(len(order), bool)
-        np.maximum.at(inner, to[by < to], by[by < to])
-        own[to[by == to]] = True
-        edges = _steps(inner, own)
-        for a, z in zip(edges[:-1], edges[1:], strict=True):
-            if own[a]:
-                c = order[a]
-                low, rest = taken(c)
-                wave = sa[low(at[c])]
-                while len(wave):
-                    wave = ahead(wave, want)
-                    if len(wave):
-                        wave = scatter(wave, at, step)
-                        wave = wave[s[wave] == c]
-                if len(rest := ahead(rest(), want)):
-                    scatter(rest, at, step)
-            elif len(before := ahead(sa[runs(order[a:z])], want)):
-                scatter(before, at, step)
-
-    used = np.flatnonzero(first)
-    # Seeds stand behind the L places of their bucket while the first scan goes on.
-    seeds = lms[np.argsort(s[lms].astype(narrow), kind="stable")]
-    behind = edge[:-1] + n_large
-    sa[np.repeat(behind - (np.cumsum(n_seeds) - n_seeds), n_seeds) + np.arange(len(lms))] = seeds
-    length = n_large + n_seeds
-
-    def runs(buckets: np.ndarray) -> np.ndarray:
-        size = length[buckets]
-        return np.repeat(edge[buckets] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-
-    def up(c):
-        return lambda now: slice(edge[c], now), lambda: sa[behind[c] : behind[c] + n_seeds[c]]
-
-    scan(used, False, edge[:-1].copy(), 1, up)
-
-    def runs(buckets: np.ndarray) -> slice:  # noqa: F811
-        low = edge[buckets[-1]]
-        return slice(edge[buckets[0] + 1] - 1, low - 1 if low else None, -1)
-
-    def down(c):
-        low, high = edge[c], edge[c] + n_large[c]
-        return lambda now: slice(edge[c + 1] - 1, now if now >= 0 else None, -1), lambda: sa[low:high][::-1]
-
-    tail = edge[1:] - 1
-    sa[tail[s[n - 1]]] = n - 1  # the last suffix is S and has nothing that induces it
-    tail[s[n - 1]] -= 1
-    scan(used[::-1], True, tail, -1, down)
-    return sa
+    s = s.astype(np.uint16 if symbols <= 1 << 16 else np.int64, copy=False)
+    size = np.bincount(s, minlength=symbols)
+    used = np.flatnonzero(size)
+    large = np.bincount(s[~small], minlength=symbols)[used]
+    n_seeds = np.bincount(s[lms], minlength=symbols)[used]
+    up = _scanned(s, ~small, used, large, n_seeds, lms[s[lms].argsort(kind="stable")])
+    # The scan down passes a bucket's S places, then its L places, each from the last to the first.
+    each = large + n_seeds
+    found = up[np.repeat(np.cumsum(each) - each - (np.cumsum(large) - large), large) + np.arange(large.sum())]
+    return _scanned(s, small, used[::-1], (size[used] - large)[::-1], large[::-1], found[::-1], given=1)[::-1]
 
 
 def _names(s: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
