@@ -1,15 +1,19 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Targets are global: a share of the mix for each source, by weight, with a ceiling of so many passes
-over it. Documents are dealt into shards by a hash. In each shard the sources win blocks of equal
-size by highest quotients, so quotas are whole blocks; within a source and shard, whole passes come
-first and the rest are blocks picked by a seeded order. All of it is decided by ids and the seed.
+over it. A source's documents are dealt into shards of like size by a hash, and a shard's words are
+blocks of equal size. The sources win as many blocks as the mix holds by highest quotients; a
+source's blocks go to groups of its shards, and those of a group to its shards, by highest quotients
+again. So quotas are whole blocks in every shard and no step loses any to rounding. Within a shard
+whole passes come first and the rest are blocks picked by a seeded order. All of it is decided by
+ids, texts and the seed.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
+from decimal import Decimal
 from fractions import Fraction
 
 import numpy as np
@@ -21,8 +25,14 @@ from .common import SPACE_RUN, SPACES, WORD, fenced, staged
 from .graph import runs
 
 BLOCK = 64
+#: A shard has so many blocks at least, smaller ones where its words are few, so that rounding to blocks stays under a hundredth.
+LEAST_BLOCKS = 256
 PASSES = 2
 SHARD_ROWS = 512
+#: Shards of a source that are apportioned in one step.
+GROUP = 4096
+#: A table of more sources than this is never broadcast.
+BROADCAST_SOURCES = 10_000
 _PARTS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 _OUT = ["doc_id", "source", "size", "source_size", "target", "shard", "passes", "parts", "taken"]
 
@@ -81,9 +91,71 @@ def apportioned(votes: Sequence[float], seats: int, most: Sequence[int]) -> list
     return got
 
 
-def block_count(size, block: int = BLOCK):
-    """How many equal blocks a cell of so many words is cut into; their size is `block` but for rounding."""
-    return np.where(size > 0, np.maximum(1, (2 * size + block) // (2 * block)), 0)
+def block_count(size, block: int = BLOCK, least: int = LEAST_BLOCKS):
+    """How many equal blocks a shard of so many words is cut into: of `block` words but for rounding, `least` blocks or as many as there are words."""
+    return np.maximum((2 * size + block) // (2 * block), np.minimum(size, least))
+
+
+def _blocks(size: Column, block: int) -> Column:
+    """`block_count` as Spark's own expression."""
+    return F.greatest(F.floor((2 * size + block) / (2 * block)).cast("long"), F.least(size, F.lit(LEAST_BLOCKS).cast("long")))
+
+
+def source_targets(rows: DataFrame, weights: Sequence[int], share: Fraction, passes: int = PASSES) -> tuple[DataFrame, int]:
+    """source, rank, source_size, n_rows, target of each source of rows (source, size), staged; and how many there are.
+
+    As `targets`, for any number of sources: ranks come from ranges of sources with one count for
+    each range, and what a unit of weight gets is raised until no source is above its ceiling, by
+    two sums over the sources at a time. Only those sums reach the driver.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.col("source").asc_nulls_last()
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
+    placed = staged(sums.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("place", F.monotonically_increasing_id()), "sources")
+    part, offsets, before, total = F.shiftright("place", 33), [], 0, 0
+    for r in sorted(placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum("source_size").alias("size")).collect(), key=lambda r: r.part):
+        offsets.append((r.part, before))
+        before, total = before + r.n, total + r["size"]
+    starts = spark.createDataFrame(offsets, "part long, before long")
+    ranked = placed.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("rank", F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1))
+    turn = (F.col("rank") % len(weights)).cast("int") + 1
+    known = ranked.withColumn("weight", F.element_at(F.array(*(F.lit(w).cast("long") for w in weights)), turn))
+    goal, level = share * total, None
+
+    def above(x: Fraction) -> Column:
+        wide = lambda v: F.lit(Decimal(v)).cast("decimal(25,0)")
+        return wide(x.numerator) * F.col("weight").cast("decimal(12,0)") > wide(x.denominator * passes) * F.col("source_size").cast("decimal(12,0)" if total < 10**12 else "decimal(18,0)")
+
+    while before:
+        capped = F.lit(False) if level is None else above(level)
+        r = known.agg(F.coalesce(F.sum(F.when(~capped, F.col("weight"))), F.lit(0)).alias("w"), F.coalesce(F.sum(F.when(capped, F.col("source_size"))), F.lit(0)).alias("n")).first()
+        if not r.w or (then := (goal - passes * r.n) / r.w) == level:
+            break
+        level = then
+    level = level or Fraction(0)
+    each = F.element_at(F.array(*(F.lit(float(level * w)) for w in weights)), turn)
+    ceiling = (F.col("source_size") * passes).cast("double")
+    target = F.when(above(level), ceiling).otherwise(F.least(each, ceiling)) if before else F.lit(0.0)
+    return staged(known.select("source", "rank", "source_size", "n_rows", target.alias("target")), "targets"), before
+
+
+def source_quotas(known: DataFrame) -> DataFrame:
+    """rank, quota: as many blocks as all votes make (rank, votes, blocks_most), by highest quotients votes / (2 * seats so far + 1).
+
+    Rounding gives each source its quotients of a half and more; what that gives too few or too many
+    are the next quotients below or the last above, in order, ties to the first.
+    """
+    got = known.withColumn("quota", F.least(F.floor(F.col("votes") + 0.5).cast("long"), F.col("most")))
+    sums = got.agg(F.coalesce(F.sum("votes"), F.lit(0.0)).alias("v"), F.coalesce(F.sum("quota"), F.lit(0)).alias("q")).first()
+    more = int(sums.v + 0.5) - int(sums.q)
+    if not more:
+        return got.select("rank", "quota")
+    able, step = ("quota < most AND votes > 0", 1) if more > 0 else ("quota > 0", -1)
+    quotient = F.col("votes") / (2 * F.col("quota") + step)
+    turn = [F.desc(quotient), "rank"] if more > 0 else [quotient.asc(), F.desc("rank")]
+    changed = got.where(able).orderBy(*turn).limit(abs(more)).select("rank", F.lit(step).alias("step"))
+    return got.join(changed, "rank", "left").select("rank", (F.col("quota") + F.coalesce("step", F.lit(0))).alias("quota"))
 
 
 def _picked(sizes: np.ndarray, quota: int, block: int, seed: int, key: int) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
@@ -120,40 +192,44 @@ def mix_sources(
     Sources in code-point order, null last, weigh `weights` in turn and share `share` of all sizes;
     a target stops at `passes` times its source. `size` is the words of the text unless given; null
     and empty texts have size 0 and are taken 0 times. taken never exceeds passes * size. A source's
-    taken words differ from its target by rounding to blocks in each shard. Rows come out one for
-    one; equal ids are told apart by nothing but their order, rows with null ids belong to one shard
-    place. `row_col`, unique, is carried as `row` where it is given, and ties go by it. An empty table
-    gives an empty result. Columns of other names are not read.
-
-    One row for each source goes to the driver: sources are the mix's own table, not the corpus. A
-    group of the last step is one source in one shard; shards grow in number with the table, so that
-    no group does, whatever part of all rows a source holds.
+    taken words differ from its target by rounding to blocks, once for all its shards. Rows come out
+    one for one; rows alike in id and text are told apart by nothing. `row_col`, unique, is carried
+    as `row` where it is given, and ties go by it. An empty table gives an empty result. Columns of
+    other names are not read.
+
+    shard numbers the shards of a source; they grow in number with its rows, about `shard_rows` to
+    one, whatever part of all rows a source holds. No table of sources or shards reaches the driver,
+    and that of the sources is broadcast only up to BROADCAST_SOURCES.
     """
     spark = docs.sparkSession
     own = [F.col(row_col).cast("long").alias("row")] if row_col else []
     names_out, extra = ([*_OUT, "row"], ["row"]) if row_col else (_OUT, [])
-    words = word_count(F.col(text_col).cast("string")) if size is None else F.coalesce(size.cast("long"), F.lit(0))
-    rows = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), *own), "sizes")
-    sums = {r.source: (r.n, r.rows) for r in rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()}
-    names = sorted((s for s in sums if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sums)
-    shards = max(1, -(-sum(n for _, n in sums.values()) // shard_rows))
-    goals = targets([sums[s][0] for s in names], [weights[k % len(weights)] for k in range(len(names))], share, passes)
-    table = pd.DataFrame({"source": names, "rank": range(len(names)), "source_size": [sums[s][0] for s in names], "target": [float(g) for g in goals]})
-    kinds = "source string, rank int, source_size long, target double"
-    known = spark.createDataFrame(table.astype({"source": object}).where(table.notna(), None) if len(table) else [], kinds)
-    dealt = rows.join(F.broadcast(known), rows["source"].eqNullSafe(known["source"]), "inner").drop(known["source"])
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)).cast("long"))
-    # In each shard a source's votes are its target's part there, in blocks; there are as many seats as the votes fill.
-    cells = dealt.groupBy("shard", "rank", "source_size", "target").agg(F.sum("size").alias("here"))
-
-    def quotas(cells: pd.DataFrame) -> pd.DataFrame:
-        cells = cells.sort_values("rank")
-        here = cells["here"].to_numpy()
-        blocks = block_count(here, block)
-        votes = cells["target"].to_numpy() / np.maximum(cells["source_size"].to_numpy(), 1) * blocks
-        return cells[["shard", "rank", "here"]].assign(quota=apportioned(votes, int(votes.sum() + 0.5), passes * blocks))
-
-    won = cells.groupBy("shard").applyInPandas(quotas, "shard long, rank int, here long, quota long")
+    text = F.col(text_col).cast("string")
+    words = word_count(text) if size is None else F.coalesce(size.cast("long"), F.lit(0))
+    rows = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), F.xxhash64(text).alias("tie"), *own), "sizes")
+    known, n_sources = source_targets(rows, weights, share, passes)
+    told = known.select(F.col("source").alias("_source"), "rank", "source_size", "target", F.ceil(F.col("n_rows") / shard_rows).alias("_shards"))
+    told = F.broadcast(told) if n_sources <= BROADCAST_SOURCES else told.hint("merge")
+    dealt = rows.join(told, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie"), F.col("_shards")).cast("long"))
+    here = dealt.groupBy("rank", "shard").agg(F.sum("size").alias("here"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    cells = staged(here.withColumn("blocks", _blocks(F.col("here"), block)).withColumn("group", F.floor(F.col("shard") / GROUP).cast("long")), "cells")
+    groups = staged(cells.groupBy("rank", "group").agg(F.sum("blocks").alias("blocks"), F.first("source_size").alias("source_size"), F.first("target").alias("target")), "groups")
+    # A source's votes are its target in blocks of its own.
+    votes = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("blocks")).otherwise(0.0)
+    sums = groups.groupBy("rank").agg(F.sum("blocks").alias("blocks"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    by_source = source_quotas(sums.select("rank", votes.alias("votes"), (F.col("blocks") * passes).alias("most")))
+
+    def shared(key: str):
+        def share_out(parts: pd.DataFrame) -> pd.DataFrame:
+            parts = parts.sort_values(key)
+            blocks = parts["blocks"].to_numpy()
+            return parts[["rank", key]].assign(quota=apportioned(blocks, int(parts["quota"].iloc[0]), passes * blocks))
+
+        return share_out
+
+    by_group = groups.select("rank", "group", "blocks").join(by_source, "rank").groupBy("rank").applyInPandas(shared("group"), "rank long, group long, quota long")
+    by_shard = cells.select("rank", "group", "shard", "blocks").join(by_group, ["rank", "group"]).groupBy("rank", "group").applyInPandas(shared("shard"), "rank long, shard long, quota long")
+    won = by_shard.join(cells.select("rank", "shard", "here"), ["rank", "shard"])
 
     def pick(batches):
         for table in runs(batches, 2):
@@ -168,7 +244,7 @@ def mix_sources(
             yield from table.select(names_out).combine_chunks().to_batches()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.join(won, ["shard", "rank"]).withColumn("order", F.xxhash64(F.lit(seed + 1), "doc_id"))
+    ordered = dealt.join(won.hint("merge"), ["shard", "rank"]).withColumn("order", F.xxhash64(F.lit(seed + 1), "doc_id", "tie"))
     ordered = ordered.select("shard", "rank", "order", "doc_id", "source", "size", "source_size", "target", "here", "quota", *extra)
     # By a hash of the keys: by the keys themselves, the planner would drop this exchange for the
     # join's, whose partitions adaptive execution may then split or read in another way.
@@ -178,13 +254,14 @@ def mix_sources(
 
 def mixed_documents(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text", mix_col: str = "doc_id") -> DataFrame:
     """The mix itself, with the columns of docs: a document's row once for each pass, and once more for each word range taken besides, cut to it. id_col, which mix has as mix_col, must be unique in docs: a row's number where ids may be null or repeat."""
-    plan = mix.where(F.col("taken") > 0).select(F.col(mix_col).alias("_cairn_id"), F.col("passes").alias("_cairn_passes"), F.col("parts").alias("_cairn_parts"))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    plan = mix.where(F.col("taken") > 0).select(F.col(mix_col).alias("_id"), F.col("passes").alias("_passes"), F.col("parts").alias("_parts"))
     # Words once for each document, however many ranges it has; behind a fence, or the lambda below
     # would find them again for each range.
-    words = F.when(F.size("_cairn_parts") > 0, F.regexp_extract_all(F.col(text_col), F.lit(WORD + SPACE_RUN.replace("+", "*")), F.lit(0)))
-    rows = fenced(docs.join(plan.hint("merge"), docs[id_col].cast("long") == plan["_cairn_id"]).withColumn("_cairn_words", words))
-    whole = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_cairn_passes"), F.lit(1)).cast("int")), lambda _: F.lit(None).cast("string"))
-    cut = F.transform("_cairn_parts", lambda p: F.array_join(F.slice("_cairn_words", p["begin"].cast("int") + 1, (p["end"] - p["begin"]).cast("int")), ""))
-    copies = F.concat(F.when(F.col("_cairn_passes") > 0, whole).otherwise(F.array().cast("array<string>")), F.coalesce(cut, F.array().cast("array<string>")))
-    out = rows.withColumn("_cairn_text", F.explode(copies))
-    return out.select(*(F.coalesce(F.col("_cairn_text"), F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    words = F.when(F.size("_parts") > 0, F.regexp_extract_all("_text", F.lit(WORD + SPACE_RUN.replace("+", "*")), F.lit(0)))
+    rows = fenced(held.join(plan.hint("merge"), "_id").withColumn("_words", words))
+    whole = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_passes"), F.lit(1)).cast("int")), lambda _: F.lit(None).cast("string"))
+    cut = F.transform("_parts", lambda p: F.array_join(F.slice("_words", p["begin"].cast("int") + 1, (p["end"] - p["begin"]).cast("int")), ""))
+    copies = F.concat(F.when(F.col("_passes") > 0, whole).otherwise(F.array().cast("array<string>")), F.coalesce(cut, F.array().cast("array<string>")))
+    out = rows.select("_row", F.explode(copies).alias("_copy"))
+    return out.select(*(F.coalesce(F.col("_copy"), F.col("_row").getField(c)).alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns))
