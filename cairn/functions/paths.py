@@ -21,12 +21,12 @@ def basename(path: Column | str) -> Column:
 def parent(path: Column | str) -> Column:
     """The path without its last component; empty for one component."""
     p = col(path)
-    return F.regexp_replace(p, "/?[^/]*$", "")
+    return F.regexp_replace(p, r"/?[^/]*\z", "")
 
 
 def extension(name: Column | str) -> Column:
     """Lower-case text after the last dot; empty without a dot, or with none but a leading one."""
-    return F.lower(F.regexp_extract(col(name), r"^.+\.([^.]*)$", 1))
+    return F.lower(F.regexp_extract(col(name), r"(?s)\A.+\.([^.]*)\z", 1))
 
 
 def ancestors(path: Column | str) -> Column:

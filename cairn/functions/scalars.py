@@ -86,7 +86,7 @@ def snapshot_name(source: Column | str, micros: Column | str, salt: Column | str
 
 def is_snapshot_of(name: Column | str, prefix: Column | str) -> Column:
     n, p = col(name), col(prefix)
-    return F.startswith(n, p) & F.substr(n, F.length(p) + 1).rlike(r"^[0-9]{20}-[0-9a-f]{16}\.bak$")
+    return F.startswith(n, p) & F.substr(n, F.length(p) + 1).rlike(r"\A[0-9]{20}-[0-9a-f]{16}\.bak\z")
 
 
 def valid_username(name: Column | str) -> Column:
@@ -122,6 +122,18 @@ def percent_done(done: Column | str, total: Column | str) -> Column:
     return F.when(t <= 0, F.lit(0)).otherwise(F.least(F.greatest(F.floor(d * 100 / t), F.lit(0)), F.lit(100))).cast("int")
 
 
+def display_date(seconds: Column | str, zone: str = "UTC") -> Column:
+    """yyyy-MM-dd HH:mm of epoch seconds in a time zone, whatever the session's is."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    there = F.convert_timezone(F.lit("UTC"), F.lit(zone), start + F.make_dt_interval(secs=col(seconds).cast("decimal(18,6)")))
+    return F.date_format(there, "yyyy-MM-dd HH:mm")
+
+
+def first_of(*options: Column | str) -> Column:
+    """An explicit option, else the configured one, else the default: the first that is not null, in whatever order they were read."""
+    return F.coalesce(*(col(x) for x in options))
+
+
 def short_id(text: Column | str) -> Column:
     return F.concat(F.substring(col(text), 1, 8), F.lit("…"))
 
