@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.paths import depth
 
@@ -48,9 +48,13 @@ def content_offsets(entries: DataFrame, by: str = "archive", start: int = 8) ->
     return entries.withColumn("offset", (F.lit(start) + F.coalesce(F.sum(F.when(F.col("type") == "file", F.col("size")).otherwise(0)).over(w), F.lit(0))).cast("long"))
 
 
+def archive_keys(root: str = "") -> list[Column]:
+    """Sort keys of an archive's entries: the root first, then by the path's bytes."""
+    return [F.when(F.col("path") == root, 0).otherwise(1), F.col("path")]
+
+
 def archive_order(entries: DataFrame, root: str = "") -> DataFrame:
-    """Root first, then by the path's bytes."""
-    return entries.orderBy(F.when(F.col("path") == root, 0).otherwise(1), "path")
+    return entries.orderBy(*archive_keys(root))
 
 
 def restore_order(entries: DataFrame) -> DataFrame:

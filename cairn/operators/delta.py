@@ -21,8 +21,12 @@ def blocks(blobs: DataFrame, size: int = BLOCK) -> DataFrame:
     return parts.select("id", F.col("block_no").cast("long").alias("block_no"), F.length("content").cast("long").alias("len"), F.sha2("content", 256).alias("sha256"), "content")
 
 
-def choose_base(versions: DataFrame, series: str = "series", order: str = "id") -> DataFrame:
-    """id, base: the newest earlier version of the same non-empty series; null means a full upload. Content stays out of the sort."""
+def choose_base(versions: DataFrame, series: str = "series", order: str = "id", encryption: str | None = None) -> DataFrame:
+    """id, base: the newest earlier version of the same non-empty series; null means a full upload. Content stays out of the sort.
+
+    encryption: a column; what is encrypted shares no blocks with any version and takes no part in deltas.
+    """
+    versions = versions if encryption is None else versions.where(F.col(encryption) == "none")
     lean = versions.where(F.col(series) != "").select("id", F.xxhash64(series).alias("_s"), F.col(series).alias("_n"), order if order != "id" else F.col("id").alias("_o"))
     w = W.partitionBy("_s", "_n").orderBy(lean.columns[-1])
     return lean.select("id", F.lag("id").over(w).alias("base"))
@@ -36,6 +40,36 @@ def delta(new_blocks: DataFrame, base_blocks: DataFrame, bases: DataFrame, most:
     return joined.select("id", "base", "block_no", "len", reused.alias("reused"), F.when(~reused, F.col("content")).alias("content"))
 
 
+def indexed_blocks(base_blocks: DataFrame, bases: DataFrame, declared: DataFrame, size: int = BLOCK, most: int = MOST_BLOCKS) -> DataFrame:
+    """id, base, block_no, sha256, len: what is indexed of each version's base; declared (id, declared_size) needs no block beyond its own last one."""
+    cap = F.least(F.ceil(F.col("declared_size") / F.lit(size)), F.lit(most))
+    wanted = bases.where("base IS NOT NULL").join(declared.select("id", cap.alias("_cap")), "id")
+    return wanted.join(base_blocks.select(F.col("id").alias("base"), "block_no", "sha256", "len"), "base").where("block_no < _cap").select("id", "base", "block_no", "sha256", "len")
+
+
+def references(deltas: DataFrame, size: int = BLOCK) -> DataFrame:
+    """id, place (of the block in the version), base, and either copy (offset, len in the base) or content: what goes over the wire."""
+    copy = F.when(F.col("reused"), F.struct((F.col("block_no") * size).alias("offset"), F.col("len").alias("len")))
+    return deltas.select("id", (F.col("block_no") * size).alias("place"), "base", copy.alias("copy"), "content")
+
+
+def resolved(refs: DataFrame, base_blocks: DataFrame, size: int = BLOCK) -> DataFrame:
+    """id, place, content: pieces that references stand for; a copy may begin and end inside blocks. A copy of what the base has not raises.
+
+    Copies are cut at the base's block edges, so they are an equi-join by block, however large a base is.
+    """
+    kind = refs.schema["content"].dataType
+    last = F.col("copy.offset") + F.col("copy.len") - 1
+    first_block = F.floor(F.col("copy.offset") / size)
+    each = refs.where("copy IS NOT NULL").select("id", "place", "base", "copy.*", F.explode(F.sequence(first_block, F.floor(last / size))).alias("block_no"))
+    held = base_blocks.select(F.col("id").alias("base"), "block_no", F.col("content").alias("_base"), F.col("len").alias("_len"))
+    low, high = F.greatest(F.col("offset") - F.col("block_no") * size, F.lit(0)), F.least(F.col("offset") + F.col("len") - F.col("block_no") * size, F.lit(size))
+    lost = F.raise_error(F.concat(F.lit("missing base block of "), F.col("id").cast("string"))).cast(kind)
+    part = F.when(F.col("_len") >= high, F.substr("_base", (low + 1).cast("int"), (high - low).cast("int"))).otherwise(lost)
+    copied = each.join(held, ["base", "block_no"], "left").select("id", (F.col("place") + F.greatest(F.col("block_no") * size - F.col("offset"), F.lit(0))).alias("place"), part.alias("content"))
+    return refs.where("copy IS NULL").select("id", "place", "content").unionByName(copied)
+
+
 def reuse(deltas: DataFrame) -> DataFrame:
     """Blocks, reused blocks and reused length of each id."""
     return deltas.groupBy("id").agg(F.count("*").alias("n_blocks"), F.count_if("reused").alias("n_reused"), F.coalesce(F.sum(F.when(F.col("reused"), F.col("len"))), F.lit(0)).cast("long").alias("reused_len"))
@@ -49,9 +83,22 @@ def apply_delta(deltas: DataFrame, base_blocks: DataFrame) -> DataFrame:
     return deltas.join(index, ["base", "block_no"], "left").select("id", "block_no", F.coalesce(content, lost.cast(deltas.schema["content"].dataType)).alias("content"))
 
 
-def assembled(parts: DataFrame) -> DataFrame:
-    """id, content: blocks in order, as strings."""
-    return parts.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_no", "content"))), lambda x: x["content"]), "").alias("content"))
+def assembled(parts: DataFrame, declared: DataFrame | None = None, by: str = "block_no") -> DataFrame:
+    """id, content: pieces in order of `by`, strings or bytes as they are.
+
+    declared (id, declared_size, declared_sha256): the versions that must come out, those without
+    pieces as empty ones; one that has another size in bytes or another digest raises.
+    """
+    kind = parts.schema["content"].dataType
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct(by, "content"))), lambda x: x["content"])
+    # Bytes by way of hex: joined in one pass, where a fold would copy what it has for every piece.
+    whole = F.array_join(ordered, "") if kind.typeName() == "string" else F.unhex(F.array_join(F.transform(ordered, F.hex), ""))
+    out = parts.groupBy("id").agg(whole.alias("content"))
+    if declared is None:
+        return out
+    joined = declared.select("id", "declared_size", "declared_sha256").join(out, "id", "left").withColumn("content", F.coalesce("content", F.lit("").cast(kind)))
+    good = (F.octet_length("content") == F.col("declared_size")) & (F.sha2("content", 256) == F.col("declared_sha256"))
+    return joined.select("id", F.when(good, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("rebuilt version differs from its declaration: "), F.col("id").cast("string"))).cast(kind)).alias("content"))
 
 
 def bad_references(refs: DataFrame, size: int = BLOCK) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.scalars import is_snapshot_of, valid_backup_id
+
 # Limits of a history listing and the bytes of a row besides its name.
 MOST_ROWS, MOST_BYTES, ROW_BYTES = 4096, 1 << 20, 2 + 32 + 2 + 8 + 8 + 2 + 64
 
@@ -13,6 +15,37 @@ def retention(snapshots: DataFrame, keep: int, series: str = "series", name: str
     return snapshots.withColumn("kept", F.row_number().over(W.partitionBy(series).orderBy(F.desc(name))) <= keep)
 
 
+def own_snapshots(files: DataFrame, prefix: str, current: str = "") -> DataFrame:
+    """Names of files (name, type) that are earlier snapshots of a source: regular ones of its name pattern, the current one left out."""
+    return files.where((F.col("type") == "file") & is_snapshot_of("name", F.lit(prefix)) & (F.col("name") != current)).select("name")
+
+
+def account_listing(files: DataFrame, records: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """An account's history: records (account, id, ...) of its `*.meta` files (account, name), newest first; ids are 32 hex digits, other files are not listed. An account with more than `most` raises."""
+    ids = files.where(F.col("name").endswith(".meta")).select("account", F.regexp_extract("name", r"\A(.*)\.meta\z", 1).alias("id")).where(valid_backup_id("id")).distinct()
+    n = F.count("*").over(W.partitionBy("account"))
+    counted = records.join(ids, ["account", "id"], "left_semi").withColumn("_n", n)
+    told = F.when(F.col("_n") <= most, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("too many backups of "), F.col("account").cast("string"))))
+    return counted.withColumn("id", told).drop("_n").orderBy("account", F.desc("timestamp"), "id")
+
+
+def download(history: DataFrame, contents: DataFrame) -> DataFrame:
+    """id, content of backups: contents (id, content) must have the size and sha256 that history (id, size, sha256) says, else it raises; a record without content is left out."""
+    joined = history.select("id", "size", "sha256").join(contents.select("id", "content"), "id")
+    good = (F.octet_length("content") == F.col("size")) & (F.sha2("content", 256) == F.col("sha256"))
+    kind = contents.schema["content"].dataType
+    return joined.select("id", F.when(good, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("stored backup differs from its record: "), F.col("id").cast("string"))).cast(kind)).alias("content"))
+
+
+def find_user(users: DataFrame, name: str) -> DataFrame:
+    return users.where(F.col("name") == name)
+
+
+def deletable(active: DataFrame, stored: DataFrame) -> DataFrame:
+    """storage, user of accounts that may go: one open session, their own, and no stored files (storage, user)."""
+    return sessions(active).where("deletable").select("storage", "user").join(stored, ["storage", "user"], "left_anti")
+
+
 def latest(history: DataFrame, by: str = "name") -> DataFrame:
     """The newest row of each name, the least id among those of one time. An aggregate, not a window: rows meet once partially reduced."""
     others = [c for c in history.columns if c != by]

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.paths import parent
+from .select import nearest_existing
+
 
 def conflicts(entries: DataFrame, destination: DataFrame) -> DataFrame:
     """Entries that are not directories and whose path the destination has."""
@@ -35,3 +38,20 @@ def space_needed(steps: DataFrame, volume: str = "volume", order: tuple[str, ...
 def space_short(needed: DataFrame, volumes: DataFrame) -> DataFrame:
     """Volumes (volume, free) with less free than needed."""
     return needed.join(volumes, "volume").where("needed > free")
+
+
+def refused(entries: DataFrame, destination: DataFrame, volumes: DataFrame, overwrite: bool = False) -> DataFrame:
+    """problem, key of everything that stops a restore before it begins; none where it can go on.
+
+    entries: path, type, size, ord, volume. destination: path, type, size, writable. volumes: volume,
+    free. Types and conflicts of `preflight`, the nearest existing folder above an entry not being
+    writable, and volumes with less room than the peak that entries in order need; what an entry
+    replaces is free again after it.
+    """
+    types = preflight(entries.select("path", "type"), destination.select("path", "type"), overwrite).select("problem", F.col("path").alias("key"))
+    up = nearest_existing(entries.select(parent("path").alias("path")).where("path <> ''"), destination.where("type = 'directory'").select("path"))
+    locked = up.join(destination.where("type = 'directory' AND NOT writable").select(F.col("path").alias("found")), "found", "left_semi").select(F.lit("locked").alias("problem"), F.col("found").alias("key")).distinct()
+    there = destination.where("type = 'file'").select("path", F.col("size").alias("_old"))
+    steps = entries.join(there, "path", "left").select("volume", "ord", F.when(F.col("type") == "file", F.col("size")).otherwise(0).alias("size"), F.coalesce("_old", F.lit(0)).alias("reclaimed"))
+    short = space_short(space_needed(steps), volumes).select(F.lit("space").alias("problem"), F.col("volume").cast("string").alias("key"))
+    return types.unionByName(locked).unionByName(short)

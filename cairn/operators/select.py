@@ -86,6 +86,26 @@ def visible(marked: DataFrame, hidden: bool = True) -> DataFrame:
     return marked.join(found.select("path").unionByName(up).distinct(), "path", "left_semi")
 
 
+def set_visible(leaves: DataFrame, shown: DataFrame, checked: bool) -> DataFrame:
+    """leaves (path, type, checked) after all visible ones are checked or unchecked: checking leaves directories as they are, as one would bring in what its filter hides; unchecking takes all."""
+    there = (checkable(shown) if checked else shown).select("path", F.lit(True).alias("_shown"))
+    return leaves.join(there, "path", "left").withColumn("checked", F.when(F.col("_shown"), F.lit(checked)).otherwise(F.col("checked"))).drop("_shown")
+
+
+def set_subtrees(entries: DataFrame, nodes: DataFrame, checked: bool) -> DataFrame:
+    """entries (path, checked) after nodes (path) and all below them are set."""
+    probes = entries.select("path", F.explode(F.concat(ancestors("path"), F.array("path"))).alias("_up"))
+    hit = probes.join(nodes.select(F.col("path").alias("_up")).distinct(), "_up", "left_semi").select("path").distinct().withColumn("_hit", F.lit(True))
+    return entries.join(hit, "path", "left").withColumn("checked", F.when(F.col("_hit"), F.lit(checked)).otherwise(F.col("checked"))).drop("_hit")
+
+
+def columns_order(column: str, descending: bool = False) -> list[Column]:
+    """Sort keys of a folder's listing: by name, type, category, size or mtime; numbers by value; ties by name."""
+    keys = {"name": F.lower("name"), "type": F.col("type"), "category": category("name", "type"), "size": F.col("size"), "mtime": F.col("mtime")}
+    first = keys[column]
+    return [first.desc() if descending else first.asc(), F.col("name").asc()]
+
+
 def checkable(shown: DataFrame) -> DataFrame:
     """What checking all visible entries checks: anything but directories."""
     return shown.where("type <> 'directory'")
