@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 import hashlib
 
@@ -13,6 +13,7 @@ import pyarrow as pa
 from ..functions import ciphers, scalars as S
 from ..functions.codecs import COMPRESS, DECOMPRESS
 from ..functions.paths import ancestors, basename, depth, extension, is_hidden, is_safe, parent
+from .. import options
 from ..sources import archive
 from ..operators import bytes as raw_bytes, catalog, delta, history, restore, select, validate
 from ..streaming.coalesce import triggers
@@ -111,9 +112,8 @@ _CATEGORY = "CASE WHEN type <> 'file' THEN '' WHEN path LIKE '%.JPG' THEN 'image
 def _filtered(name: str, where: str, **how):
     def run(spark, sf_dir):
         e = B.entries(spark, sf_dir)
-        if how.get("age"):
-            e = e.withColumn("now", F.lit(e.agg(F.max("mtime")).first()[0]))
-        return select.matching(e, now=F.col("now") if how.get("age") else None, **how).where("matches").select("path", "size")
+        now = e.agg(F.max("mtime")).scalar() if how.get("age") else None
+        return select.matching(e, now=now, **how).where("matches").select("path", "size")
 
     run.__name__ = name
     query(f"WITH {B.ENTRIES_SQL} SELECT path, size FROM entries WHERE {where}")(run)
@@ -123,8 +123,8 @@ _filtered("filter_type", "type NOT IN ('file', 'directory', 'symlink')", type_="
 _filtered("filter_category", f"{_CATEGORY} = 'archive'", category_="archive")
 for _band, _where in {1: "size = 0", 2: "size < 1048576", 3: "size >= 1048576 AND size < 104857600", 4: "size >= 104857600"}.items():
     _filtered(f"filter_size_{_band}", f"type = 'file' AND {_where}", size_band=_band)
-for _choice, _where in {3: ">= (SELECT max(mtime) FROM entries) - 30 * 86400", 4: "< (SELECT max(mtime) FROM entries) - 30 * 86400", 6: ">= (SELECT max(mtime) FROM entries) - 365 * 86400"}.items():
-    _filtered(f"filter_age_{_choice}", f"mtime {_where}", age=_choice)
+for _choice, _where in {1: ">= {now} - 86400", 2: ">= {now} - 7 * 86400", 3: ">= {now} - 30 * 86400", 4: "< {now} - 30 * 86400", 5: ">= {now} - 90 * 86400", 6: ">= {now} - 365 * 86400"}.items():
+    _filtered(f"filter_age_{_choice}", f"mtime {_where.format(now='(SELECT max(mtime) FROM entries)')}", age=_choice)
 _filtered("filter_hidden", "left(path, 1) <> '.'", hidden=False)
 _filtered("filter_owner", "uid = 7", uid=7)
 _filtered("filter_search", "lower(path) LIKE '%f/12%'", search="  F/12 ")
@@ -292,21 +292,11 @@ def user_accounts(spark, sf_dir):
     return c.select(F.col("c_custkey").alias("id"), S.user_directory("c_name").alias("directory"), S.valid_username("c_name").alias("valid"), S.short_id(digest).alias("short"), S.proof(digest, F.sha2(F.lit("n"), 256)).alias("proof"))
 
 
-@query("""WITH s AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) * CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 1000 WHEN 4 THEN 1000000 ELSE 50000000 END AS n FROM lineitem)
-SELECT l_orderkey, l_linenumber, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN CASE WHEN n / 1024.0 >= 100 THEN printf('%.0f KiB', CAST(n / 1024.0 AS DOUBLE)) ELSE printf('%.1f KiB', CAST(n / 1024.0 AS DOUBLE)) END ELSE 'more' END AS text FROM s WHERE (n * 10) % 1024 <> 512""")
-def format_bytes(spark, sf_dir):
-    line = B.table(spark, sf_dir, "lineitem")
-    factor = F.when(F.col("l_linenumber") == 1, 1).when(F.col("l_linenumber") == 2, 0).when(F.col("l_linenumber") == 3, 1000).when(F.col("l_linenumber") == 4, 1000000).otherwise(50000000)
-    n = F.floor("l_extendedprice").cast("long") * factor
-    rows = line.select("l_orderkey", "l_linenumber", n.alias("n")).where((F.col("n") * 10) % 1024 != 512)
-    return rows.select("l_orderkey", "l_linenumber", F.when(F.col("n") < S.MIB, S.format_bytes("n")).otherwise("more").alias("text"))
-
-
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) * CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 1000 WHEN 4 THEN 1000000 ELSE 50000000 END AS n FROM lineitem),
 u AS (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 WHEN n < 1099511627776 THEN 3 ELSE 4 END AS k FROM s), v AS (SELECT *, CAST(1 AS BIGINT) << (10 * k) AS one FROM u),
 r AS (SELECT *, (2 * n + one) // (2 * one) AS whole, (20 * n + one) // (2 * one) AS tenths FROM v)
 SELECT l_orderkey, l_linenumber, CASE WHEN k = 0 OR n >= 100 * one THEN CAST(whole AS VARCHAR) ELSE (tenths // 10) || '.' || (tenths % 10) END || ' ' || ['B', 'KiB', 'MiB', 'GiB', 'TiB'][k + 1] AS text FROM r""")
-def format_bytes_whole(spark, sf_dir):
+def format_bytes(spark, sf_dir):
     """Every row in every unit; a tie goes up, as in the reference's own formatting (Qt's fixed notation)."""
     line = B.table(spark, sf_dir, "lineitem")
     factor = F.when(F.col("l_linenumber") == 1, 1).when(F.col("l_linenumber") == 2, 0).when(F.col("l_linenumber") == 3, 1000).when(F.col("l_linenumber") == 4, 1000000).otherwise(50000000)
@@ -393,6 +383,56 @@ def validate_uploads(spark, sf_dir):
     return validate.upload_violations(declared, d)
 
 
+# --- what is written over the wire ---------------------------------------------------------------
+_BYTES = """v AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN ''::BLOB ELSE encode(coalesce(text, '')) || unhex(sha256(coalesce(text, ''))) END AS content, substr(coalesce(text, ''), 1, 64) AS series FROM documents),
+bases AS (SELECT id, lag(id) OVER (PARTITION BY series ORDER BY id) AS base FROM v WHERE series <> ''),
+h AS (SELECT id, hex(content) AS h, octet_length(content) AS n FROM v),
+b AS (SELECT id, i AS block_no, substr(h, CAST(i * 128 + 1 AS INT), 128) AS part FROM (SELECT id, h, unnest(range(0, CAST(ceil(n / 64.0) AS BIGINT))) AS i FROM h))"""
+
+
+def _binary_versions(spark, sf_dir) -> DataFrame:
+    """Versions that are no text: each document's bytes and those of its digest; every tenth is empty."""
+    v = B.blobs(spark, sf_dir)
+    raw = F.concat(F.encode("content", "UTF-8"), F.unhex(F.sha2("content", 256)))
+    return v.select("id", "series", F.when(F.col("id") % 10 == 0, F.lit(b"")).otherwise(raw).alias("content"))
+
+
+def _binary_deltas(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    versions = _binary_versions(spark, sf_dir)
+    cut = delta.blocks(versions.select("id", "content"), 64)
+    return versions, cut, delta.delta(cut, cut, delta.choose_base(versions))
+
+
+@query(f"WITH {_BYTES} SELECT id, sha256(content) AS sha256, CAST(octet_length(content) AS BIGINT) AS len FROM v")
+def binary_rebuild(spark, sf_dir):
+    """Every version, empty ones too, rebuilt from references and literals, and held against its declared size and digest."""
+    versions, cut, deltas = _binary_deltas(spark, sf_dir)
+    declared = versions.select("id", F.octet_length("content").alias("declared_size"), F.sha2("content", 256).alias("declared_sha256"))
+    whole = delta.assembled(delta.resolved(delta.references(deltas, 64), cut, 64), declared, by="place")
+    return whole.select("id", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("len"))
+
+
+@query(f"""WITH {_BYTES} SELECT n.id, n.block_no * 64 AS place, bases.base, CASE WHEN n.part = o.part THEN n.block_no * 64 END AS "offset", CASE WHEN n.part = o.part THEN CAST(length(n.part) // 2 AS BIGINT) END AS len,
+CASE WHEN n.part = o.part THEN NULL ELSE n.part END AS literal FROM b n LEFT JOIN bases ON bases.id = n.id LEFT JOIN b o ON o.id = bases.base AND o.block_no = n.block_no""")
+def copy_references(spark, sf_dir):
+    refs = delta.references(_binary_deltas(spark, sf_dir)[2], 64)
+    return refs.select("id", "place", "base", "copy.offset", "copy.len", F.hex("content").alias("literal"))
+
+
+@query(f"WITH {_BYTES} SELECT bases.id, bases.base, o.block_no, sha256(unhex(o.part)) AS sha256 FROM bases JOIN h ON h.id = bases.id JOIN b o ON o.id = bases.base WHERE o.block_no < least(ceil(h.n / 64.0), 3)")
+def indexed_base_blocks(spark, sf_dir):
+    versions, cut, _ = _binary_deltas(spark, sf_dir)
+    declared = versions.select("id", F.octet_length("content").alias("declared_size"))
+    return delta.indexed_blocks(cut, delta.choose_base(versions), declared, 64, most=3).select("id", "base", "block_no", "sha256")
+
+
+@query("SELECT doc_id AS id, lag(doc_id) OVER (PARTITION BY substr(text, 1, 64) ORDER BY doc_id) AS base FROM documents WHERE text <> '' AND doc_id % 4 <> 1")
+def plain_bases(spark, sf_dir):
+    """Encrypted versions take no part in deltas."""
+    v = B.blobs(spark, sf_dir).select("id", "series", F.when(F.col("id") % 4 == 1, "aes256").otherwise("none").alias("encryption"))
+    return delta.choose_base(v, encryption="encryption")
+
+
 # --- events -------------------------------------------------------------------------------------
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT user_id, epoch_us(ts) AS t FROM events WHERE user_id IS NOT NULL), nx AS (SELECT a.user_id, a.t, min(b.t) AS n FROM e a LEFT JOIN e b ON b.user_id = a.user_id AND b.t > a.t + {24 * HOUR} GROUP BY ALL),
 f AS (SELECT user_id, min(t) AS t FROM e GROUP BY user_id UNION ALL SELECT f.user_id, nx.n FROM f JOIN nx ON nx.user_id = f.user_id AND nx.t = f.t WHERE nx.n IS NOT NULL) SELECT user_id, t AS opened, t + {24 * HOUR} AS fires FROM f""")
@@ -454,3 +494,222 @@ def attach_tree(spark, sf_dir):
 @query(f"WITH {B.HISTORY_SQL} SELECT count(*) AS snapshots, CAST(sum(id) AS BIGINT) AS entry_count, CAST(sum(size) AS BIGINT) AS input_bytes FROM history")
 def snapshot_totals(spark, sf_dir):
     return history.snapshot_totals(B.history(spark, sf_dir).select(F.col("id").alias("entry_count"), F.col("size").alias("input_bytes")))
+
+
+# --- scalars ------------------------------------------------------------------------------------
+_MODES = {1: 0o100644, 2: 0o040755, 3: 0o120777, 4: 0o010600, 5: 0o020620, 6: 0o060660, 7: 0o140755}
+
+
+@query("SELECT o_orderkey AS id, CAST(1 + o_orderkey % 7 AS INT) AS type_id, ['file', 'directory', 'symlink', 'fifo', 'character-device', 'block-device', 'unix-socket'][1 + o_orderkey % 7] AS name FROM orders")
+def mode_types(spark, sf_dir):
+    k = F.col("o_orderkey")
+    mode = F.element_at(F.array(*(F.lit(m) for m in _MODES.values())), (k % 7 + 1).cast("int"))
+    typed = B.table(spark, sf_dir, "orders").select(k.alias("id"), S.type_of_mode(mode).alias("type_id"))
+    return typed.withColumn("name", S.entry_type_name("type_id"))
+
+
+_SERVER = """a AS (SELECT c_custkey AS id, (c_custkey * 7 % 300) || '.' || (c_custkey % 256) || CASE WHEN c_custkey % 11 = 0 THEN '.01' ELSE '.1' END || CASE WHEN c_custkey % 13 = 0 THEN '' ELSE '.9' END AS ip, c_custkey * 97 % 70000 AS port FROM customer),
+t AS (SELECT *, CASE id % 5 WHEN 0 THEN '[fe80::' || id || ']:' || port WHEN 1 THEN ip WHEN 2 THEN ':' || port WHEN 3 THEN 'host' || id || ':' || port ELSE ip || ':' || port END AS text FROM a)"""
+
+
+@query(f"""WITH {_SERVER} SELECT id, regexp_full_match(ip, '(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])([.](25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){{3}}') AS v4,
+CASE WHEN id % 5 IN (0, 3, 4) AND port BETWEEN 1 AND 65535 THEN CASE id % 5 WHEN 0 THEN 'fe80::' || id WHEN 3 THEN 'host' || id ELSE ip END END AS host, CASE WHEN id % 5 IN (0, 3, 4) AND port BETWEEN 1 AND 65535 THEN CAST(port AS INT) END AS port FROM t""")
+def server_addresses(spark, sf_dir):
+    k = F.col("c_custkey")
+    text = lambda x: x.cast("string")
+    ip = F.concat(text(k * 7 % 300), F.lit("."), text(k % 256), F.when(k % 11 == 0, ".01").otherwise(".1"), F.when(k % 13 == 0, "").otherwise(".9"))
+    port = text(k * 97 % 70000)
+    given = F.when(k % 5 == 0, F.concat(F.lit("[fe80::"), text(k), F.lit("]:"), port)).when(k % 5 == 1, ip).when(k % 5 == 2, F.concat(F.lit(":"), port)).when(k % 5 == 3, F.concat(F.lit("host"), text(k), F.lit(":"), port)).otherwise(F.concat(ip, F.lit(":"), port))
+    parsed = B.table(spark, sf_dir, "customer").select(k.alias("id"), S.is_ipv4(ip).alias("v4"), S.parse_server(given).alias("s"))
+    return parsed.select("id", "v4", F.col("s.host").alias("host"), F.col("s.port").alias("port"))
+
+
+@query("""SELECT o_orderkey AS id, CAST(o_orderkey % 4 AS INT) AS compression, CAST([0, 3, 4][1 + o_orderkey % 3] AS INT) AS encryption, CAST(1 + o_orderkey % 2 AS INT) AS pack,
+CASE WHEN o_custkey % 5 = 0 THEN 0 ELSE CAST(least(greatest(floor(o_orderkey * 100.0 / (o_custkey % 5 * 5000)), 0), 100) AS INT) END AS percent, CAST(least(greatest(o_custkey * 7, 100), 5000) AS INT) AS delay,
+strftime(make_timestamp(epoch_us(o_orderdate) + o_orderkey * 61000000), '%Y-%m-%d %H:%M') AS shown, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'explicit' END, CASE WHEN o_orderkey % 2 = 0 THEN 'configured' END, 'default') AS chosen,
+regexp_full_match(substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, CAST(30 + o_orderkey % 4 AS INT)), '[0-9A-Fa-f]{32}') AS valid_id FROM orders""")
+def small_rules(spark, sf_dir):
+    """Algorithm numbers, percentages, retry delays, displayed dates, the order of options and backup ids."""
+    k, cust = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    return B.table(spark, sf_dir, "orders").select(
+        k.alias("id"), S.algorithm_number(pick(["none", "rle", "huffman", "lz77"], k % 4), S.COMPRESSIONS).alias("compression"), S.algorithm_number(pick(["none", "chacha20", "aes256"], k % 3), S.ENCRYPTIONS).alias("encryption"),
+        S.algorithm_number(pick(["stream", "index"], k % 2), S.PACKINGS).alias("pack"), S.percent_done(k, cust % 5 * 5000).alias("percent"), S.retry_delay_ms((cust * 7).cast("int")).alias("delay"),
+        S.display_date(B.seconds("o_orderdate") + k * 61).alias("shown"), S.first_of(F.when(k % 3 == 0, "explicit"), F.when(k % 2 == 0, "configured"), F.lit("default")).alias("chosen"),
+        S.valid_backup_id(F.substr(F.sha2(k.cast("string"), 256), F.lit(1), (k % 4 + 30).cast("int"))).alias("valid_id"),
+    )
+
+
+_KEY = "sha256(unhex({0} || salt))"
+
+
+@query(f"""WITH s AS (SELECT c_custkey AS id, substr(sha256(c_name), 1, 32) AS salt, c_name FROM customer), f AS (SELECT id, salt, sha256(encode(c_name) || unhex(salt)) AS k FROM s)
+SELECT id, {_KEY.format(_KEY.format(_KEY.format('k')))} AS key FROM f""")
+def derived_keys(spark, sf_dir):
+    c = B.table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("id"), S.derived_key("c_name", F.unhex(F.substring(F.sha2("c_name", 256), 1, 32)), rounds=3).alias("key"))
+
+
+# --- states of a selection ----------------------------------------------------------------------
+_SHOWN = f"{_LEAVES}, dirs AS (SELECT DISTINCT up AS path FROM up), l AS (SELECT path, type, checked FROM leaves UNION ALL SELECT path, 'directory', false FROM dirs), m AS (SELECT path FROM leaves WHERE type = 'file' AND size >= 1048576), s AS (SELECT path FROM m UNION SELECT up FROM up WHERE path IN (SELECT path FROM m))"
+
+
+def _states(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    marked = select.matching(_with_directories(spark, sf_dir), size_band=3)
+    marked = marked.withColumn("matches", (F.col("size") >= S.MIB) & (F.col("type") == "file"))
+    leaves = _leaves(spark, sf_dir).select("path", "type", "checked")
+    dirs = leaves.select(F.explode(ancestors("path")).alias("path")).distinct().select("path", F.lit("directory").alias("type"), F.lit(False).alias("checked"))
+    return leaves.unionByName(dirs), select.visible(marked)
+
+
+@query(f"WITH {_SHOWN} SELECT path, checked OR (type <> 'directory' AND path IN (SELECT path FROM s)) AS checked FROM l")
+def check_visible(spark, sf_dir):
+    leaves, shown = _states(spark, sf_dir)
+    return select.set_visible(leaves, shown, True).select("path", "checked")
+
+
+@query(f"WITH {_SHOWN} SELECT path, checked AND path NOT IN (SELECT path FROM s) AS checked FROM l")
+def uncheck_visible(spark, sf_dir):
+    leaves, shown = _states(spark, sf_dir)
+    return select.set_visible(leaves, shown, False).select("path", "checked")
+
+
+@query(f"WITH {_SHOWN} SELECT path FROM s WHERE path IN (SELECT path FROM m)")
+def checkable_entries(spark, sf_dir):
+    return select.checkable(_states(spark, sf_dir)[1]).select("path")
+
+
+@query(f"WITH {_SHOWN} SELECT path, checked OR path LIKE 'c%5/%' AND regexp_full_match(string_split(path, '/')[1], 'c[0-9]*5') OR regexp_full_match(path, 'c[0-9]*5') AS checked FROM l")
+def subtree_state(spark, sf_dir):
+    leaves, _ = _states(spark, sf_dir)
+    return select.set_subtrees(leaves.select("path", "checked"), leaves.where(F.col("path").rlike(r"\Ac[0-9]*5\z")).select("path"), True)
+
+
+@query(f"WITH {_LEAVES} SELECT bool_and(checked) AS whole FROM leaves")
+def whole_tree(spark, sf_dir):
+    return select.whole_tree(_leaves(spark, sf_dir))
+
+
+@query("SELECT true AS whole FROM region WHERE r_regionkey = 0")
+def whole_tree_checked(spark, sf_dir):
+    return select.whole_tree(_leaves(spark, sf_dir).withColumn("checked", F.lit(True)))
+
+
+# --- orders -------------------------------------------------------------------------------------
+@query(f"""WITH {B.ENTRIES_SQL}, e AS (SELECT archive, 'r/' || path AS path FROM entries UNION ALL SELECT DISTINCT archive, 'r' FROM entries)
+SELECT archive, path, row_number() OVER (PARTITION BY archive ORDER BY CASE WHEN path = 'r' THEN 0 ELSE 1 END, path) AS place FROM e""")
+def archive_order(spark, sf_dir):
+    e = B.entries(spark, sf_dir).select("archive", F.concat(F.lit("r/"), "path").alias("path"))
+    e = e.unionByName(e.select("archive", F.lit("r").alias("path")).distinct())
+    return e.withColumn("place", F.row_number().over(W.partitionBy("archive").orderBy(*catalog.archive_keys("r"))).cast("long"))
+
+
+_COLUMNS = ("name", "type", "category", "size", "mtime")
+
+
+@query(f"""WITH {B.ENTRIES_SQL}, e AS (SELECT string_split(path, '/')[1] || '/' || status AS folder, string_split(path, '/')[3] AS name, type, {_CATEGORY} AS category, size, mtime FROM entries)
+SELECT folder, name, row_number() OVER (PARTITION BY folder ORDER BY lower(name), name) AS by_name, row_number() OVER (PARTITION BY folder ORDER BY type, name) AS by_type, row_number() OVER (PARTITION BY folder ORDER BY category, name) AS by_category,
+row_number() OVER (PARTITION BY folder ORDER BY size, name) AS by_size, row_number() OVER (PARTITION BY folder ORDER BY mtime DESC, name) AS by_mtime FROM e""")
+def folder_columns(spark, sf_dir):
+    """A folder's listing by each of its columns, the times newest first."""
+    e = B.entries(spark, sf_dir).select(parent("path").alias("folder"), basename("path").alias("name"), "type", "size", "mtime")
+    place = lambda c: F.row_number().over(W.partitionBy("folder").orderBy(*select.columns_order(c, descending=c == "mtime"))).cast("long").alias(f"by_{c}")
+    return e.select("folder", "name", *map(place, _COLUMNS))
+
+
+# --- accounts -----------------------------------------------------------------------------------
+_FILES = """f AS (SELECT l_orderkey AS k, l_returnflag AS account, substr(sha256(CAST(l_orderkey AS VARCHAR)), 1, CASE WHEN l_orderkey % 9 = 0 THEN 31 ELSE 32 END) AS id, l_orderkey % 5 > 0 AS meta FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 40 = 1),
+r AS (SELECT account, id, k AS timestamp FROM f)"""
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    k = F.col("l_orderkey")
+    some = B.table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_orderkey % 40 = 1")
+    return some.select(k.alias("k"), F.col("l_returnflag").alias("account"), F.substr(F.sha2(k.cast("string"), 256), F.lit(1), F.when(k % 9 == 0, 31).otherwise(32)).alias("id"))
+
+
+@query(f"WITH {_FILES} SELECT account, id, timestamp FROM r WHERE length(id) = 32 AND id IN (SELECT id FROM f WHERE meta)")
+def account_listing(spark, sf_dir):
+    f = _files(spark, sf_dir)
+    names = f.select("account", F.concat("id", F.when(F.col("k") % 5 > 0, ".meta").otherwise(".bak")).alias("name"))
+    return history.account_listing(names, f.select("account", "id", F.col("k").alias("timestamp")), most=1 << 20)
+
+
+@query("SELECT doc_id AS id, text AS content FROM documents WHERE text IS NOT NULL AND doc_id % 3 > 0")
+def downloads(spark, sf_dir):
+    d = B.table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return history.download(d.select("id", F.octet_length("content").alias("size"), F.sha2("content", 256).alias("sha256")), d.where("id % 3 > 0"))
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_name = 'Customer#000000007'")
+def find_user(spark, sf_dir):
+    return history.find_user(B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "Customer#000000007")
+
+
+@query("SELECT event_type AS storage, user_id AS user FROM events GROUP BY 1, 2 HAVING count(*) <= 1 AND user_id % 2 = 0")
+def deletable_accounts(spark, sf_dir):
+    e = B.table(spark, sf_dir, "events").select(F.col("event_type").alias("storage"), F.col("user_id").alias("user"))
+    return history.deletable(e, e.where("user % 2 <> 0"))
+
+
+_SNAPSHOTS = """n AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'directory' ELSE 'file' END AS type, 'auto-' || substr(sha256('s'), 1, 16) || '-' || lpad(CAST(event_id AS VARCHAR), 20, '0') || '-' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 16) || CASE WHEN event_id % 5 = 0 THEN '.bak' || chr(10) WHEN event_id % 5 = 1 THEN '.part' ELSE '.bak' END AS name FROM events)"""
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT name FROM n WHERE type = 'file' AND event_id % 5 > 1 AND event_id <> 8")
+def own_snapshots(spark, sf_dir):
+    """Names of a line break after them, folders and the current one do not count."""
+    k = F.col("event_id")
+    name = lambda k: S.snapshot_name(F.lit("s"), k, F.sha2(k.cast("string"), 256))
+    full = F.when(k % 5 == 0, F.concat(name(k), F.lit("\n"))).when(k % 5 == 1, F.regexp_replace(name(k), "bak", "part")).otherwise(name(k))
+    e = B.table(spark, sf_dir, "events").select(full.alias("name"), F.when(k % 7 == 0, "directory").otherwise("file").alias("type"), k)
+    prefix = "auto-" + hashlib.sha256(b"s").hexdigest()[:16] + "-"
+    current = f"{prefix}{8:020d}-{hashlib.sha256(b'8').hexdigest()[:16]}.bak"
+    return history.own_snapshots(e, prefix, current)
+
+
+@query("SELECT c, o FROM (SELECT ['backup', 'inspect', 'delete'][1 + n_nationkey % 3] AS c, ['-o', '--pack', '--server', '--include'][1 + n_nationkey % 4] AS o FROM nation) WHERE c <> 'backup' OR o = '--server'")
+def unsupported_options(spark, sf_dir):
+    k = F.col("n_nationkey")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    given = B.table(spark, sf_dir, "nation").select(pick(["backup", "inspect", "delete"], k % 3).alias("command"), pick(["-o", "--pack", "--server", "--include"], k % 4).alias("option"))
+    return options.unsupported(given).select(F.col("command").alias("c"), F.col("option").alias("o"))
+
+
+# --- checks before a restore --------------------------------------------------------------------
+_NEEDED = "SELECT l_suppkey AS volume, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS BIGINT) AS needed, CAST(l_suppkey * 400000 AS BIGINT) AS free FROM lineitem GROUP BY l_suppkey"
+
+
+@query(f"SELECT * FROM ({_NEEDED}) WHERE needed > free")
+def space_short(spark, sf_dir):
+    steps = B.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("volume"), "l_orderkey", "l_linenumber", F.floor("l_extendedprice").cast("long").alias("size"), F.lit(0).alias("reclaimed"))
+    volumes = steps.select("volume").distinct().select("volume", (F.col("volume") * 400000).cast("long").alias("free"))
+    return restore.space_short(restore.space_needed(steps, order=("l_orderkey", "l_linenumber")), volumes)
+
+
+@query(f"""WITH {B.ENTRIES_SQL}, d AS (SELECT DISTINCT string_split(path, '/')[1] AS path FROM entries), need AS (SELECT status, CAST(sum(CASE WHEN type = 'file' THEN size ELSE 0 END) AS BIGINT) AS n FROM entries GROUP BY status)
+SELECT 'conflict' AS problem, path AS key FROM entries WHERE id % 7 = 0 UNION ALL SELECT 'locked', path FROM d WHERE path LIKE '%3' UNION ALL SELECT 'space', status FROM need WHERE n > 5000000000""")
+def restore_refused(spark, sf_dir):
+    e = B.entries(spark, sf_dir).select("path", "type", "size", F.col("id").alias("ord"), F.col("status").alias("volume"))
+    dirs = e.select(F.get(ancestors("path"), F.lit(0)).alias("path")).distinct().select("path", F.lit("directory").alias("type"), F.lit(0).cast("long").alias("size"), (~F.col("path").endswith("3")).alias("writable"))
+    there = e.where("ord % 7 = 0").select("path", F.lit("symlink").alias("type"), "size", F.lit(True).alias("writable"))
+    return restore.refused(e, dirs.unionByName(there), e.select("volume").distinct().withColumn("free", F.lit(5_000_000_000)))
+
+
+@query("""WITH a AS (SELECT CAST(o_orderkey AS VARCHAR) AS path, 8 AS type_id, o_orderkey AS ord, CASE WHEN o_orderkey % 3 = 0 THEN 'lost' ELSE 'f' || (o_orderkey % 50) END AS t, o_orderkey % 50 AS f, o_orderkey % 4 AS mode FROM orders)
+SELECT CASE WHEN t = 'lost' THEN 'alias_target' WHEN f * 1000 >= ord THEN 'alias_order' WHEN mode <> f % 4 THEN 'alias_metadata' END AS rule, 'r/' || path AS key FROM a WHERE t = 'lost' OR f * 1000 >= ord OR mode <> f % 4""")
+def validate_aliases(spark, sf_dir):
+    """Hard links must name an earlier file of the same metadata."""
+    k = F.col("o_orderkey")
+    zero = [F.lit(0).alias(c) for c in ("uid", "gid", "mtime")]
+    target = F.when(k % 3 == 0, "r/lost").otherwise(F.concat(F.lit("r/f"), (k % 50).cast("string")))
+    aliases = B.table(spark, sf_dir, "orders").select(F.concat(F.lit("r/"), k.cast("string")).alias("path"), F.lit(8).alias("type_id"), k.alias("ord"), target.alias("link_target"), (k % 4).alias("mode"), *zero)
+    files = spark.range(50).select(F.concat(F.lit("r/f"), F.col("id").cast("string")).alias("path"), F.lit(1).alias("type_id"), (F.col("id") * 1000).alias("ord"), F.lit("").alias("link_target"), (F.col("id") % 4).alias("mode"), *zero)
+    root = spark.range(1).select(F.lit("r").alias("path"), F.lit(2).alias("type_id"), F.lit(-1).cast("long").alias("ord"), F.lit("").alias("link_target"), F.lit(0).cast("long").alias("mode"), *zero)
+    return validate.entry_violations(root.unionByName(files).unionByName(aliases), "r")
+
+
+@query("SELECT 'v1_hardlink' AS rule, CAST(o_custkey AS VARCHAR) AS key FROM orders WHERE o_custkey % 4 = 1 GROUP BY o_custkey HAVING bool_or(o_orderkey % 6 = 0)")
+def hardlink_versions(spark, sf_dir):
+    o = B.table(spark, sf_dir, "orders")
+    headers = o.select(F.col("o_custkey").alias("archive"), (F.col("o_custkey") % 4).alias("version")).distinct()
+    return validate.hardlink_versions(headers, o.select(F.col("o_custkey").alias("archive"), F.when(F.col("o_orderkey") % 6 == 0, 8).otherwise(1).alias("type_id")))
