@@ -69,9 +69,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 ROW = "_cairn_row"
 
 
-def numbered(docs: DataFrame, label: str = "rows") -> DataFrame:
+def row_name(docs: DataFrame) -> str:
+    """ROW, or a longer name where docs has it."""
+    taken, name = {c.lower() for c in docs.columns}, ROW
+    while name in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, label: str = "rows", name: str = ROW) -> DataFrame:
     """docs with a number of each row's own, staged so that it stays: what is found of a row goes back to it, whatever ids are null or repeated."""
-    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), label)
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), label)
 
 
 def kept_until_release(spark: SparkSession, path: str) -> str:

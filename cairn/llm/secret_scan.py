@@ -80,7 +80,8 @@ def secret_scan(
     Rows come out one for one. Null and empty texts have no spans; repeated rows count once in
     ownership, repeated and null ids keep their rows. An empty table gives an empty result. Columns
     of any other name are not read. Candidates are staged without their texts; a hash that a third
-    of all rows have is summed within tasks before it is shuffled, and its join is split at run time.
+    of all rows have is summed within tasks before it is shuffled, and adaptive execution can split
+    its join. Nothing is broadcast.
     """
     as_col = lambda x: F.col(x) if isinstance(x, str) else x
     who = F.coalesce(as_col(owner).cast("string"), F.lit("\0"))
@@ -98,16 +99,17 @@ def secret_scan(
     # A row's own number: ids may repeat.
     found = staged(rows.mapInArrow(scan, schema).withColumn("row", F.monotonically_increasing_id()), "secrets")
     hashes = found.select("owner", "repository", F.explode(F.array_distinct(F.transform("candidates", lambda x: x["hash"]))).alias("hash"))
-    frequency = ownership(hashes)
+    # Staged, so that the join deals out both sides anew and a hash of most rows can be split.
+    frequency = staged(ownership(hashes).select("hash", "n_owners", "n_repositories"), "ownership")
     places = found.where(F.size("candidates") > 0).select("row", F.explode("candidates").alias("c")).select("row", "c.*")
     judged = (
-        places.join(frequency, "hash")
+        places.join(frequency.hint("merge"), "hash")
         .withColumn("specific", (F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories))
         .groupBy("row")
         .agg(F.sort_array(F.collect_list(F.when(F.col("specific"), F.struct("start", F.lit(3).alias("kind"), "end")))).alias("more"), F.count_if("specific").alias("n_owner_specific"), F.count_if(~F.col("specific")).alias("n_widely_copied"))
     )
     inside = lambda x: F.exists("base_spans", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
-    joined = found.join(judged, "row", "left").withColumn("added", F.filter(F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>")), lambda x: ~inside(x)))
+    joined = found.join(judged.hint("merge"), "row", "left").withColumn("added", F.filter(F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>")), lambda x: ~inside(x)))
     return joined.select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_spans", F.sort_array(F.concat("base_spans", "added")).alias("spans"),
         F.size("added").cast("long").alias("n_owned"), F.coalesce("n_owner_specific", F.lit(0)).cast("long").alias("n_owner_specific"), F.coalesce("n_widely_copied", F.lit(0)).cast("long").alias("n_widely_copied"),
@@ -128,18 +130,30 @@ def joined_spans(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span replaced by `mark`, overlapping spans as one; ids must be unique: a row's number where they may be null or repeat. Columns and their order stay."""
-    spans = scanned.where(F.size("spans") > 0).select(F.col("doc_id").alias("_cairn_id"), F.col("spans").alias("_cairn_spans"))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(a, x):
-        apart = x["start"] >= a["at"]
-        more = F.concat(a["out"], F.substring(text_col, a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0))), F.lit(mark))
-        return F.struct(F.when(apart, more).otherwise(a["out"]).alias("out"), F.greatest(a["at"], x["end"]).alias("at"))
-
-    done = F.aggregate("_cairn_spans", start, step, lambda a: F.concat(a["out"], F.substring(text_col, a["at"] + 1, F.length(text_col))))
-    kept = [F.when(F.col("_cairn_spans").isNull(), F.col(c)).otherwise(done).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return docs.join(spans.hint("merge"), docs[id_col].cast("long") == spans["_cairn_id"], "left").select(*kept)
+    """docs with every span replaced by `mark`, overlapping spans as one, in one pass over a text; columns and their order stay.
+
+    id_col must be unique in docs, and is that of `scanned`: a row's number where ids may be null or repeat.
+    """
+
+    @F.arrow_udf("string")
+    def masked(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _masked(t, s or (), mark) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+
+    spans = scanned.where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.transform("spans", lambda x: F.array(x["start"], x["end"])).alias("_spans"))
+    held = text_rows(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    # Texts without spans stay where they are.
+    joined = held.join(spans.hint("merge"), "_id", "left").withColumn("_done", masked(F.when(F.col("_spans").isNotNull(), F.col("_text")), F.col("_spans")))
+    field = F.col("_row").getField
+    return joined.select(*(F.when(F.col("_spans").isNull(), field(c)).otherwise(F.col("_done")).alias(c) if c == text_col else field(c).alias(c) for c in docs.columns))
+
+
+def _masked(text: str, spans: list[list[int]], mark: str) -> str:
+    out, at = [], 0
+    for start, end in spans:  # by start
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
 
 
 def digest(spans: Column) -> Column:

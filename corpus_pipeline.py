@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cairn.llm.common import ROW, numbered, staged
+from cairn.llm.common import numbered, row_name, staged
 from cairn.llm.near_duplicates import deduplicated
 from cairn.llm.packing import pack
 from cairn.llm.quality_rules import accepted
@@ -24,15 +24,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span found is masked; n_chars follows the text."""
-    rows = numbered(docs)
-    found = secret_scan(rows, id_col=ROW, owner="source", repository=F.concat_ws("/", "source", "lang"))
-    return _measured(redacted(rows, found, id_col=ROW).drop(ROW))
+    row = row_name(docs)
+    rows = numbered(docs, name=row)
+    found = secret_scan(rows, id_col=row, owner="source", repository=F.concat_ws("/", "source", "lang"))
+    return _measured(redacted(rows, found, id_col=row).drop(row))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often, and as much of each, as the mix takes; an id may repeat from here on."""
-    rows = numbered(docs)
-    return _measured(mixed_documents(rows, mix_sources(rows, row_col=ROW), id_col=ROW, mix_col="row").drop(ROW))
+    row = row_name(docs)
+    rows = numbered(docs, name=row)
+    return _measured(mixed_documents(rows, mix_sources(rows, row_col=row), id_col=row, mix_col="row").drop(row))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ ORACLE_SQL = None
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    return docs.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return docs.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,25 @@ def test_null_and_repeated_ids(spark):
     assert collections.Counter({r.doc_id: r.n for r in P.best_fit_packing(spark, d, None).groupBy("doc_id").agg(P.F.countDistinct("piece", "bin", "place").alias("n")).collect()}).keys() == {r[0] for r in rows}
 
 
+def test_clashing_names(spark):
+    """Columns with dots and with the names of helpers go through every stage as they are."""
+    names = ["a.b", "_cairn_row", "_cairn_id", "_row", "_id", "_text", "_spans", "taken", "spans", "row", "size", "shard", "feature", "bin"]
+    rows = [(k, f"password = hunter2hunter{k} " + "of the words in this text number " + " ".join(f"w{k}x{j}" for j in range(60)), "en", f"s{k % 3}", 1, *(f"{k}{n}" for n in names)) for k in range(30)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    d = spark.createDataFrame(rows, schema)
+    for name, stage in P.STAGES[:-1]:
+        out = staged(stage(spark, d, None), name)
+        assert out.dtypes == d.dtypes, name
+        got = out.collect()
+        assert got and all(r[n] == f"{r.doc_id}{n}" for r in got for n in names), name
+        d = out
+    assert not any(_base(r.text) for r in d.collect()) and P.best_fit_packing(spark, d, None).count() > 0
+    e = spark.createDataFrame([], schema)
+    for _, stage in P.STAGES:
+        e = stage(spark, e, None)
+        assert e.count() == 0
+
+
 def test_ranges_of_a_document_share_no_bin(spark):
     rows = [(k % 30, f"w{k} " * (5 + k), "en", f"s{k}") for k in range(120)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
