@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import discard, staged
 
+#: Rows of a large group, about, that all its blocks are compared with first.
+HUBS = 4
+
 
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """id, component (the smallest id reachable) of every id in edges (a, b: long).
@@ -55,6 +58,49 @@ def blocked(members: DataFrame, keys: list[str], size: str, member: str, most: i
     return out.select(*(c for c in members.columns), F.col("_pair.i").alias("i"), F.col("_pair.j").alias("j"))
 
 
+def _hubbed(members: DataFrame, size: str, member: str, most: int) -> DataFrame:
+    """members with i and j: as `blocked`, but a row of a larger group goes to its own block alone, and a few hubs, about HUBS in a group, to all."""
+    n = F.ceil(F.col(size) * 2 / F.lit(most)).cast("int")
+    own, hub = F.pmod(F.xxhash64(F.lit(11), member), n).cast("int"), F.pmod(F.xxhash64(F.lit(13), member), F.greatest(F.lit(1), F.floor(F.col(size) / HUBS))) == 0
+    places = F.when(F.col(size) <= most, F.array(F.lit(0))).when(hub, F.sequence(F.lit(0), n - 1)).otherwise(F.array(own))
+    return members.select("*", F.explode(places).alias("i"), F.lit(0).alias("j"))
+
+
+def _apart(members: DataFrame, size: str, member: str, most: int) -> DataFrame:
+    """members (with `main` and `rest`, how many rows of the group are not main) with i and j: each row that is not main meets every row of its group."""
+    n, m = F.ceil(F.col(size) * 2 / F.lit(most)).cast("int"), F.greatest(F.lit(1), F.ceil(F.col("rest") * 2 / F.lit(most))).cast("int")
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    mine, own = F.col("_mine"), F.col("_own")
+    beside = F.transform(F.sequence(F.lit(0), m - 1), lambda r: pair(mine, r))
+    among = F.when(m == 1, F.array(pair(n, F.lit(0)))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), m - 1), lambda r: r != own), lambda r: pair(n + F.least(r, own), F.greatest(r, own))))
+    across = F.concat(F.transform(F.sequence(F.lit(0), n - 1), lambda k: pair(k, own)), among)
+    dealt = members.withColumn("_mine", F.pmod(F.xxhash64(F.lit(11), member), n).cast("int")).withColumn("_own", F.pmod(F.xxhash64(F.lit(12), member), m).cast("int"))
+    return dealt.withColumn("_pair", F.explode(F.when(F.col("main"), beside).otherwise(across))).select(*members.columns, "_pair.i", "_pair.j")
+
+
+def links(lean: DataFrame, key: str, size: str, member: str, node: str, most: int, carried, edges) -> DataFrame:
+    """a, b: edges whose components are those of all links within groups; lean, staged: key, size, member (unique within a group), node (what edges join).
+
+    carried(rows) joins what the comparison needs to rows of lean; edges(rows with i and j) is a
+    spanning forest of the links in each (key, i, j). Groups of up to `most` are compared whole. Of
+    larger ones each row first meets its block and a few hubs; only rows that are then still apart
+    from the largest part of their group meet all others. So a large group of rows that are alike
+    costs what it holds, and no link is lost in one that is not.
+    """
+    first = staged(edges(_hubbed(carried(lean), size, member, most)), "links")
+    large = lean.where(F.col(size) > most)
+    if large.isEmpty():
+        return first
+    stars = staged(components(first).where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")), "stars")
+    told = staged(large.join(stars.select(F.col("a").alias(node), F.col("b").alias("_part")).hint("merge"), node, "left").select(*lean.columns, F.coalesce("_part", node).alias("_part")), "told")
+    parts = told.groupBy(key, "_part").agg(F.count("*").alias("n"))
+    open_ = staged(parts.groupBy(key).agg(F.max(F.struct("n", "_part")).alias("m"), F.sum("n").alias("n")).select(key, F.col("m._part").alias("_main"), (F.col("n") - F.col("m.n")).alias("rest")).where("rest > 0"), "open")
+    left = staged(told.join(open_.hint("merge"), key).select(*lean.columns, (F.col("_part") == F.col("_main")).alias("main"), "rest"), "left")
+    if left.isEmpty():
+        return stars
+    return stars.unionByName(edges(_apart(carried(left), size, member, most)))
+
+
 def runs(batches, keys: int):
     """Groups of rows that agree in the first `keys` columns, as lists of columns, from batches sorted by them; a group may span batches."""
     held: pa.Table | None = None

@@ -6,7 +6,8 @@ decide what may be linked, with a margin of six standard deviations, and only a
 that leaves the task: edges stay linear in rows, however large a group of copies is. The components
 of those edges are families; in a family the full shingle sets are compared, again all pairs that
 could still join two parts, again only a spanning forest leaving. Buckets and families beyond a
-task's size are cut into blocks, and every pair of blocks is compared: no link is lost to a cap.
+task's size are cut into blocks; what hubs do not join meets every other block: no link is lost to
+a cap, and a large group of copies costs what it holds.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import superminhash
 from .common import shingles, slices, staged, text_rows, utf8, word_hashes, word_texts, words
-from .graph import blocked, components, runs, spanning
+from .graph import components, links, runs, spanning
 
 #: Values of a signature, and the chance that a pair at the threshold may share no band: at 0.85 that is 40 bands of 6.
 SLOTS, MISSED = 240, 1e-8
 SKETCH = 128
-BUCKET, FAMILY = 512, 1024
+#: Rows of a bucket or a family that one task compares, and shingles that count as one row.
+BUCKET, FAMILY, SHINGLES = 512, 1024, 2048
 
 
 def _sets(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[list[np.ndarray], list[bytes]]:
@@ -161,24 +163,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = seen.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # Staged, so that the joins deal out both sides anew and a class of most rows can be split.
     classes = staged(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by("row", "doc_id").alias("node")), "classes")
-    reps = staged(known.join(classes.select("h1", "h2", "node").hint("merge"), ["h1", "h2"]).where("row = node").select(F.col("node").alias("id"), "doc_id", "digest", "bands", "sketch"), "reps")
+    reps = staged(known.join(classes.select("h1", "h2", "node").hint("merge"), ["h1", "h2"]).where("row = node").select(F.col("node").alias("id"), "doc_id", "digest", "n_shingles", "bands", "sketch"), "reps")
     banded = reps.select("id", F.explode("bands").alias("bucket"))
     # Buckets of the same members, as the bands of a small family are, are looked at once.
     sums = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")).where("n > 1")
     buckets = sums.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    members = banded.join(buckets.hint("merge"), "bucket").join(reps.select("id", "sketch").hint("merge"), "id")
-    maybe = sketch_edges(blocked(members, ["bucket"], "n", "id", BUCKET), int(SKETCH * per / of - 6 * (SKETCH * per / of * (1 - per / of)) ** 0.5))
-    families = components(maybe).withColumnRenamed("component", "family")
-    sizes = families.groupBy("family").agg(F.count("*").alias("n"))
-    named = families.join(sizes, "family").join(reps.select("id", "doc_id", "digest").hint("merge"), "id").withColumnRenamed("id", "node")
-    texts = text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"), F.col(text_col).cast("string").alias("text"))
-    # Families grow with the corpus: never a side to broadcast. Of repeated rows one is read, in the order and the tasks of the join.
-    held = texts.join(named.hint("merge"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).withColumnRenamed("doc_id", "id")
+    least = int(SKETCH * per / of - 6 * (SKETCH * per / of * (1 - per / of)) ** 0.5)
+    lean = staged(banded.join(buckets.hint("merge"), "bucket"), "members")
+    maybe = links(lean, "bucket", "n", "id", "id", BUCKET, lambda rows: rows.join(reps.select("id", "sketch").hint("merge"), "id"), lambda rows: sketch_edges(rows, least))
+    families = staged(components(maybe).select(F.col("component").alias("family"), "id").join(reps.select("id", "doc_id", "digest", "n_shingles").hint("merge"), "id"), "families")
+    # A family's size is its rows, or its shingles where those are many to a row: it bounds what a task holds.
+    sizes = staged(families.groupBy("family").agg(F.greatest(F.count("*"), F.ceil(F.sum("n_shingles") / SHINGLES)).alias("n")), "family-sizes")
+    named = staged(families.join(sizes.hint("merge"), "family").select("family", "n", F.col("id").alias("row"), F.col("doc_id").alias("id"), "digest"), "named")
+    texts = text_rows(docs, F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"), F.col(text_col).cast("string").alias("text"))
+
+    def carried(rows: DataFrame) -> DataFrame:
+        """With texts: families grow with the corpus, never a side to broadcast. Of repeated rows one is read, in the order and the tasks of the join."""
+        return texts.join(rows.hint("merge"), ["id", "digest"]).dropDuplicates(["id", "digest"])
+
     # An id of several texts is in the class of each.
     owned = staged(seen.select("doc_id", "h1", "h2", "n_shingles").join(classes.select("h1", "h2", "rep").hint("merge"), ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "owned")
     several = staged(owned.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id"), "several")
     same = owned.join(several.hint("merge"), "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(set_edges(blocked(held, ["family"], "n", "node", FAMILY), width, per, of).unionByName(same))
+    linked_ids = links(named, "family", "n", "row", "id", FAMILY, carried, lambda rows: set_edges(rows, width, per, of))
+    found = components(linked_ids.unionByName(same))
     rows = owned.join(found.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -189,10 +197,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Of several rows of a kept id the one whose text has the least hash stays, as one document is one
     row. Rows of a null id are linked with nothing and all stay.
     """
-    key = F.col(id_col).cast("long")
-    gone = near_duplicates(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_cairn_id"))
-    left = docs.where(key.isNotNull()).withColumn("_cairn_id", key).join(gone.hint("merge"), "_cairn_id", "left_anti")
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("_tie"))
+    gone = near_duplicates(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_id"))
+    left = held.where("_id IS NOT NULL").join(gone.hint("merge"), "_id", "left_anti")
     # Dealt out and sorted by the join already: rows of an id stream by, and one is held.
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    one = left.groupBy("_cairn_id").agg(F.min_by(row, F.xxhash64(F.col(text_col).cast("string"))).alias("_cairn_row")).select("_cairn_row.*")
-    return one.unionByName(docs.where(key.isNull()))
+    one = left.groupBy("_id").agg(F.min_by("_row", "_tie").alias("_row")).select("_row")
+    return one.unionByName(held.where("_id IS NULL").select("_row")).select("_row.*")
