@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import mixed, shingles, slices, text_rows, utf8, word_hashes, words
 from .quality_rules import STOP_WORDS
 
-#: Rows that the scorer is fitted on, about: those of least hash of id and text.
+#: Rows that the scorer is fitted on, about: the share of all hashes of id and text that holds so many.
 FIT_ROWS = 6000
 BUCKETS = 1 << 15
 _SYMBOL, _UPPER, _LETTER = (np.zeros(256, np.int64) for _ in range(3))
@@ -27,9 +27,6 @@ _UPPER[65:91] = 1
 _LETTER[65:91] = _LETTER[97:123] = 1
 
 
-_SAMPLE = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
-
-
 def _stop_hashes() -> np.ndarray:
     raw = " ".join(STOP_WORDS).encode()
     one = np.frombuffer(raw, np.uint8)
@@ -145,13 +142,55 @@ def fitted_scorer(features: tuple[np.ndarray, np.ndarray, np.ndarray], goal: np.
     return w
 
 
+def scorer_weights(rows: DataFrame, posterior: dict[int, float], prior: float, share: float) -> np.ndarray:
+    """The scorer's weights, fitted on the rows (doc_id, text) whose hash of both lies in the first `share` of all hashes.
+
+    Their features are made where the rows are: a row holds BUCKETS + 6 of them at most, however long
+    its text. Equal rows are one with so much more weight, so hashes bound what is gathered.
+    """
+    most = max(-(2**63), min(2**63 - 1, int(2**64 * share) - 2**63))
+    key = F.xxhash64("doc_id", "text")
+    chosen = rows.select(key.alias("key"), "text").where(F.col("key") <= F.lit(most))
+
+    def featured(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                raw, at = utf8(part.column(1))
+                table = ratios(raw, at)
+                bucket, weight, owner = hashed(raw, at, table)
+                pair, place = np.unique(owner * BUCKETS + bucket, return_inverse=True)
+                edges = pa.array(np.searchsorted(pair, np.arange(part.num_rows + 1) * BUCKETS).astype(np.int32))
+                lists = pa.ListArray.from_arrays(edges, pa.array((pair % BUCKETS).astype(np.int32))), pa.ListArray.from_arrays(edges, pa.array(np.bincount(place, weight, minlength=len(pair))))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(patterns(table)), *lists], names=["key", "pattern", "buckets", "weights"])
+
+    each = chosen.mapInArrow(featured, "key long, pattern long, buckets array<int>, weights array<double>")
+    sample = each.groupBy("key").agg(F.count("*").alias("copies"), *(F.any_value(c).alias(c) for c in ("pattern", "buckets", "weights")))
+
+    def fit(batches):
+        held = list(batches)
+        table = pa.Table.from_batches(held).sort_by("key") if held else None
+        if not table or not table.num_rows:
+            return
+        copies = table.column("copies").to_numpy().astype(np.float64)
+        goal = np.array([posterior.get(k, prior) for k in table.column("pattern").to_pylist()])
+        importance = copies * np.where(goal > 0.5, 0.5 / max((copies * goal).sum(), 1), 0.5 / max((copies * (1 - goal)).sum(), 1)) * copies.sum()
+        buckets, weights = (table.column(c).combine_chunks() for c in ("buckets", "weights"))
+        owner = np.repeat(np.arange(table.num_rows), np.diff(buckets.offsets.to_numpy()))
+        w = fitted_scorer((buckets.flatten().to_numpy().astype(np.int64), weights.flatten().to_numpy(), owner), goal, importance)
+        yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f8").tobytes()], pa.binary())], names=["w"])
+
+    fitted = sample.repartition(1).mapInArrow(fit, "w binary").collect()
+    return np.frombuffer(bytes(fitted[0].w), "<f8") if fitted else np.zeros(BUCKETS + 1)
+
+
 def quality_classifier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, least: float = 0.4) -> DataFrame:
     """doc_id, label (posterior of good from the votes alone), score (the scorer's probability of good), kept (score >= least).
 
-    The posteriors come from all rows; the scorer is fitted on `fit_rows` of them, a share of all hashes,
-    with both classes weighed alike; every row is scored on its whole text. Null and empty texts get
-    the corpus' share of good as both and are kept if that is enough. Rows come out one for one,
-    repeated and null ids included. An empty table gives an empty result. Other columns are not read.
+    The posteriors come from all rows; the scorer is fitted on about `fit_rows` of them, a share of
+    all hashes, with both classes weighed alike; every row is scored on its whole text. Null and
+    empty texts get the corpus' share of good as both and are kept if that is enough. Rows come out
+    one for one, repeated and null ids included. An empty table gives an empty result. Other columns
+    are not read.
     """
     spark = docs.sparkSession
     rows = text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -164,33 +203,8 @@ def quality_classifier(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # At most 3 ** len(LABELLERS) rows.
     counts = {r.pattern: r.n for r in rows.select("text").mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
     share, _, posterior = fitted_labels(counts)
-    # A share of all hashes, so no row is sorted or moved to be left out; equal rows share a hash, hence the limit.
-    most = min(2**63 - 1, 2**64 * fit_rows // max(1, sum(counts.values())) - 2**63)
-    sample = rows.where(F.xxhash64("doc_id", "text") <= F.lit(most)).limit(2 * fit_rows)
     prior = float(share[0])
-
-    def fit(batches):
-        parts, goals, base = [], [], 0
-        held = list(batches)
-        table = pa.Table.from_batches(held) if held else _SAMPLE.empty_table()
-        for batch in table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks().to_batches() if table.num_rows else ():
-            for part in slices(batch, 1):
-                raw, at = utf8(part.column(1))
-                table = ratios(raw, at)
-                bucket, weight, owner = hashed(raw, at, table)
-                pair, place = np.unique(owner * BUCKETS + bucket, return_inverse=True)
-                parts.append((pair % BUCKETS, np.bincount(place, weight), pair // BUCKETS + base))
-                goals.append([posterior.get(k, prior) for k in patterns(table).tolist()])
-                base += part.num_rows
-        if not parts:
-            return
-        goal = np.concatenate(goals)
-        importance = np.where(goal > 0.5, 0.5 / max(goal.sum(), 1), 0.5 / max((1 - goal).sum(), 1)) * len(goal)
-        w = fitted_scorer(tuple(np.concatenate(x) for x in zip(*parts, strict=True)), goal, importance)
-        yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f8").tobytes()], pa.binary())], names=["w"])
-
-    fitted = sample.select("doc_id", "text").repartition(1).mapInArrow(fit, "w binary").collect()
-    shared = spark.sparkContext.broadcast(np.frombuffer(bytes(fitted[0].w), "<f8") if fitted else np.zeros(BUCKETS + 1))
+    shared = spark.sparkContext.broadcast(scorer_weights(rows, posterior, prior, fit_rows / max(1, sum(counts.values()))))
 
     def score(batches):
         w = shared.value
