@@ -127,15 +127,28 @@ def area_resized(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     rows, columns = pixels.shape
     if not rows or not columns:
         return np.zeros((height, width))
-    total = np.zeros((rows + 1, columns + 1))
-    np.cumsum(np.cumsum(pixels, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
 
-    def along(table: np.ndarray, n: int, parts: int) -> np.ndarray:
+    def edges(n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
         edge = np.arange(parts + 1) * (n / parts)
         low = np.minimum(edge.astype(np.int64), n - 1)
-        return table[low] + (edge - low)[:, None] * (table[low + 1] - table[low])
-
-    cut = along(along(total, rows, height).T, columns, width).T
+        return low, edge - low
+
+    # Of the integral image only the rows around edges are kept: bands of rows are summed one after the other.
+    low, part = edges(rows, height)
+    wanted = np.unique(np.concatenate([low, low + 1]))
+    total, held, begin = np.zeros(columns), np.zeros((len(wanted), columns)), 0
+    band = max(1, (1 << 18) // columns)
+    while begin < rows:
+        end = min(rows, begin + band)
+        mine = np.flatnonzero((wanted > begin) & (wanted <= end))
+        sums = np.cumsum(pixels[begin:end], axis=0, dtype=np.float64)
+        held[mine] = total + sums[wanted[mine] - begin - 1]
+        total, begin = total + sums[-1], end
+    table = np.concatenate([np.zeros((len(wanted), 1)), np.cumsum(held, axis=1)], axis=1)
+    first = table[np.searchsorted(wanted, low)]
+    table = (first + part[:, None] * (table[np.searchsorted(wanted, low + 1)] - first)).T
+    low, part = edges(columns, width)
+    cut = (table[low] + part[:, None] * (table[low + 1] - table[low])).T
     return np.diff(np.diff(cut, axis=0), axis=1) * (height * width / (rows * columns))
 
 
@@ -202,10 +215,12 @@ def media_features(rows: DataFrame, media_col: str = "media", tile: int | None =
     area-resized NPY tile. tiles: NPY bytes of each `tile` x `tile` cut, or null where none is asked
     for. Where `tiles_col` is given, the feature is that of the image read from its stored NPY tiles,
     and it is not in the result. Null or damaged media or tiles give nulls and do not stop the job. Rows are independent; no shuffle.
+    Columns of rows that have one of these names are replaced.
     """
-    others = [c for c in rows.columns if c not in (media_col, tiles_col)]
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tiles"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.binary())]
+    others = [c for c in rows.columns if c not in (media_col, tiles_col, *names)]
+    quoted = [F.col(f"`{c}`") for c in others]
 
     def features(batches):
         for batch in batches:
@@ -226,8 +241,8 @@ def media_features(rows: DataFrame, media_col: str = "media", tile: int | None =
             columns = list(zip(*out, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(others))), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*others, *names])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*others).schema.fields)
-    return rows.select(*others, media_col, *([tiles_col] if tiles_col else [])).mapInArrow(features, kinds + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tiles array<binary>")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*quoted).schema.fields)
+    return rows.select(*quoted, F.col(f"`{media_col}`"), *([F.col(f"`{tiles_col}`")] if tiles_col else [])).mapInArrow(features, kinds + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tiles array<binary>")
 
 
 def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int | None = None) -> DataFrame:
