@@ -23,6 +23,7 @@ from .graph import blocked, runs
 from .suffix_array import repeated
 
 WIDTH = 200
+#: Bytes of a key's string, a power of two; less where windows are shorter than two of them.
 GRAM = 64
 #: Windows of a segment at most: longer runs, as of one repeated byte, are cut.
 RUN = 2048
@@ -30,8 +31,11 @@ KEY_SEGMENTS = 1024
 SHARD_BYTES = 512 << 10
 
 
-def segments(raw: np.ndarray, at: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(raw: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, first byte in the text, windows, key and self of each segment; self: whether its key's string occurs in it twice, so that its windows may equal each other."""
+    gram = GRAM
+    while 2 * gram > max(width, 2):
+        gram //= 2
     n, span = len(raw), width - gram + 1
     none = np.zeros(0, np.int64)
     if n < width:
