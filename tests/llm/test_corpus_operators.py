@@ -11,12 +11,14 @@ from cairn.llm import graph, queries, superminhash
 from cairn.llm.common import shingles, utf8, word_hashes, words
 from cairn.llm.near_duplicates import deduplicated, linked, near_duplicates
 from cairn.llm.packing import fill_rate, pack
+from cairn.llm.quality_rules import STOP_WORDS
 from cairn.llm.source_mixing import apportioned, mix_sources, mixed_documents, targets
-from cairn.llm.weak_labels import LABELLERS, fitted_labels, quality_classifier
+from cairn.llm.weak_labels import BUCKETS, LABELLERS, fitted_labels, fitted_scorer, quality_classifier, scorer_weights
 from pyspark.sql import functions as F
 from tests.llm import cases
 
 SMALL = "/root/testdata/sf0.001"
+queries_stop = set(STOP_WORDS)
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -361,3 +363,78 @@ def test_classifier_rows(spark):
     a = sorted(str(tuple(r)) for r in quality_classifier(d).collect())
     assert len(a) == d.count() and a == sorted(str(tuple(r)) for r in quality_classifier(d.repartition(2)).collect())
     assert quality_classifier(cases.empty(spark)).count() == 0
+
+
+def plain_features(text):
+    """Weight of each bucket of a text, feature by feature."""
+
+    def bucket(code):
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            code = (code ^ code >> shift) * by & 0xFFFFFFFFFFFFFFFF
+        return (code ^ code >> 31) % BUCKETS
+
+    raw, words_ = text.encode(), cases.WORD.findall(text.translate(LOWER))
+    out = collections.defaultdict(float)
+    for k in range(len(raw) - 2):
+        out[bucket(int.from_bytes(raw[k : k + 3], "little"))] += 1 / (len(raw) - 2)
+    runs = [tuple(words_[k : k + 3]) for k in range(len(words_) - 2)] if len(words_) >= 3 else [tuple(words_)] * bool(words_)
+    letters, n = sum(c.isascii() and c.isalpha() for c in text), max(len(words_), 1)
+    table = [sum(text.count(c) for c in "#*$%&|<>!") / n, len("".join(words_).encode()) / n, sum(w in queries_stop for w in words_) / n, len(set(words_)) / n, len(set(runs)) / max(len(runs), 1), sum("A" <= c <= "Z" for c in text) / max(letters, 1)]
+    if len(words_) >= 20:
+        for k, (x, by) in enumerate(zip(table, (20, 1, 20, 10, 10, 10))):
+            out[bucket(min(20, int(x * by)) + (k + 1) * 1000)] += 0.2
+    return out
+
+
+def test_scores_are_those_of_plain_features(spark):
+    rows = [(r[0], r[1] or "") for r in cases.rows()]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    posterior = {k: (k % 7) / 7 for k in range(3 ** len(LABELLERS))}
+    w = scorer_weights(d, posterior, 0.5, 1.0)
+    assert (scorer_weights(d.union(d), posterior, 0.5, 1.0) == pytest.approx(w, abs=1e-9)) and not scorer_weights(d.limit(0), posterior, 0.5, 1.0).any()
+    features = {k: plain_features(t) for k, t in rows}
+    got = {r.doc_id: r.score for r in quality_classifier(d, fit_rows=10**6).collect()}
+    from unittest import mock
+
+    from cairn.llm import weak_labels
+
+    with mock.patch.object(weak_labels, "scorer_weights", lambda *a: w):
+        scores = {r.doc_id: r.score for r in quality_classifier(d).collect()}
+    for k, t in rows:
+        if cases.WORD.search(t):
+            assert scores[k] == pytest.approx(1 / (1 + np.exp(-sum(w[b] * x for b, x in features[k].items()) - w[-1]))), t[:40]
+    assert all(0 <= s <= 1 for s in got.values())
+
+
+def test_scorer_descends_to_the_least_loss():
+    """The loss at the fitted weights is less than around them, by plain sums."""
+    rng = np.random.default_rng(0)
+    x = rng.random((60, 5)) < 0.4
+    goal = 1 / (1 + np.exp(-(x @ np.array([3.0, -2, 1, 0, -1]) - 0.5)))
+    owner, bucket = np.nonzero(x)
+    w = fitted_scorer((bucket, np.ones(len(bucket)), owner), goal, np.ones(60), buckets=5, rounds=3000)
+    loss = lambda w: sum(-g * np.log(p) - (1 - g) * np.log(1 - p) for g, p in zip(goal, 1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))))) / 60 + 5e-6 * (w**2).sum()
+    assert all(loss(w + step) > loss(w) - 1e-6 for step in 0.05 * np.concatenate([np.eye(6), -np.eye(6)])) and np.abs(w[:-1] - [3, -2, 1, 0, -1]).max() < 0.1
+
+
+def test_best_fit_against_every_bin():
+    """Packer against a search of all bins for each item."""
+    from cairn.llm.packing import Packer
+
+    rng = np.random.default_rng(8)
+    for per_source in (1, 2, 3):
+        for _ in range(30):
+            capacity, packer, bins = 40, Packer(40, per_source), []
+            items = sorted(((int(a), int(b), int(c)) for a, b, c in zip(rng.integers(1, 30, 80), rng.integers(0, 5, 80), rng.integers(0, 30, 80))), key=lambda x: -x[0])
+            for size, source, cluster in items:
+                able = [b for b in bins if b[0] >= size and b[1].count(source) < per_source and cluster not in b[2]]
+                got, place = packer.add(size, 1 << source, 1 << cluster)
+                if not able:
+                    bins.append([capacity, [], set()])
+                    assert got == len(bins) - 1 and place == 0
+                else:
+                    assert bins[got] in able and bins[got][0] == min(b[0] for b in able) and place == len(bins[got][1])
+                bins[got][0] -= size
+                bins[got][1].append(source)
+                bins[got][2].add(cluster)
+            assert packer.residual == [b[0] for b in bins]
