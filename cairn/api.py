@@ -6,14 +6,21 @@ import hashlib
 import os
 import time
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .functions.codecs import PIECE
+from .functions.scalars import entry_type_name
+from .operators.catalog import fold_hardlinks, listed
 from .operators.restore import conflicts
+from .operators.validate import check_automatic
+from .options import check_algorithms
 from .sources import archive as A, register
-from .sources.datasource import SCHEMA, TreeReader
+from .sources.datasource import SCHEMA, ChangeReader, TreeReader
 from .sources.extract import Restored, extract
+from .streaming.coalesce import watch as repeated
 
 
 @dataclass(frozen=True)
@@ -29,71 +36,83 @@ def scan(spark: SparkSession, source: str, includes: list[str] | None = None, co
     return spark.read.format("tree").option("includes", "\n".join(includes or [])).option("content", str(content).lower()).load(source)
 
 
-def _entries(source: str, includes: list[str]) -> list[A.Entry]:
-    """A tree's entries in archive order, hard links folded: the first path keeps the content."""
-    reader = TreeReader({"path": source, "content": "true", "includes": "\n".join(includes)})
+def _entries(source: str, includes: list[str]) -> tuple[list[A.Entry], dict[str, tuple[int, int, int]]]:
+    """A tree's entries in archive order, hard links folded: the first path keeps the content; and of each file its device, inode and time, which must still be so when it is read."""
+    reader = TreeReader({"path": source, "includes": "\n".join(includes)})
     rows = [row for part in reader.partitions() for row in reader.read(part)]
     rows = [rows[0], *sorted(rows[1:], key=lambda r: os.fsencode(r[0]))]
     base, found = rows[0][0], {r[0] for r in rows}
     if lost := [x for x in includes if f"{base}/{x}" not in found]:
         raise ValueError(f"selected path is not there: {lost[0]}")
     first: dict[tuple, A.Entry] = {}
-    out = []
-    for path, kind, mode, uid, gid, size, atime, mtime, ctime, target, device, dev, inode, raw in rows:
-        e = A.Entry(path, kind, mode, uid, gid, size, atime, mtime, ctime, target, device, raw or b"")
+    out, states = [], {}
+    for path, kind, mode, uid, gid, size, atime, mtime, ctime, target, device, dev, inode, _ in rows:
+        e = A.Entry(path, kind, mode, uid, gid, size, atime, mtime, ctime, target, device)
         if kind == 1:
+            states[path] = (dev, inode, mtime[0] * 1_000_000_000 + mtime[1])
             f = first.setdefault((dev, inode), e)
             if f is not e:
                 if (f.mode, f.uid, f.gid, f.size, f.mtime) != (mode, uid, gid, size, mtime):
                     raise ValueError(f"hard link changed while it was read: {path}")
                 e = A.Entry(path, 8, mode, uid, gid, 0, f.atime, mtime, ctime, f.path, device)
         out.append(e)
-    return out
+    return out, states
 
 
-def backup(source: str, archive: str, pack: str = "index", compression: str = "none", encryption: str = "none", password: str = "", includes: list[str] | None = None) -> Result:
-    """An archive of a directory; never inside it, never over an existing file."""
+def _content(source: str, states: dict[str, tuple[int, int, int]]) -> A.Content:
+    above = os.path.dirname(os.path.realpath(source))
+
+    def pieces(e: A.Entry) -> Iterator[bytes]:
+        fd = os.open(os.path.join(above, e.path), os.O_RDONLY | os.O_NOFOLLOW | os.O_NONBLOCK)
+        with os.fdopen(fd, "rb", buffering=0) as f:
+            for _ in range(2):  # before and after
+                s = os.fstat(fd)
+                if (s.st_dev, s.st_ino, s.st_mtime_ns) != states[e.path] or s.st_size != e.size:
+                    raise ValueError(f"changed while it was read: {e.path}")
+                while piece := f.read(PIECE):
+                    yield piece
+
+    return pieces
+
+
+def backup(source: str, archive: str, pack: str = "index", compression: str = "none", encryption: str = "none", password: str = "", includes: list[str] | None = None, progress: A.Progress | None = None) -> Result:
+    """An archive of a directory; never inside it, never over an existing file. What progress raises (A.Cancelled) stops it and leaves nothing."""
     top, out = os.path.realpath(source), os.path.realpath(archive)
     if out == top or out.startswith(top + os.sep):
         raise ValueError("the archive lies inside the source")
     if os.path.lexists(out):
         raise FileExistsError(out)
-    entries = _entries(source, includes or [])
-    data = A.build(entries, pack, compression, encryption, password, os.urandom(16) if encryption != "none" else bytes(16))
+    check_algorithms(pack, compression, encryption, password)
+    entries, states = _entries(source, includes or [])
+    A.check_tree(entries)
     staged = f"{out}.{uuid.uuid4().hex}.part"
     try:
-        with open(os.open(staged, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "wb") as f:
-            f.write(data)
-            f.flush()
+        with open(os.open(staged, os.O_RDWR | os.O_CREAT | os.O_EXCL, 0o600), "w+b") as f:
+            n = A.write_archive(f, entries, pack, compression, encryption, password, os.urandom(16) if encryption != "none" else bytes(16), _content(source, states), progress)
             os.fsync(f.fileno())
         os.link(staged, out)
     finally:
         if os.path.exists(staged):
             os.unlink(staged)
-    return Result(len(entries), sum(e.size for e in entries if e.type_id == 1), len(data))
+    return Result(len(entries), sum(e.size for e in entries if e.type_id == 1), n)
 
 
 def inspect(archive: str) -> A.Header:
     """Header and encoded checksum only; needs no password and authenticates nothing."""
     with open(archive, "rb") as f:
-        data = f.read()
-    h = A.read_header(data)
-    if hashlib.sha256(data[A.HEADER.size : A.HEADER.size + h.encoded_size]).digest() != h.encoded_digest:
-        raise A.Malformed("encoded digest differs")
-    return h
+        return A.encoded_payload(f, authenticate=False)
 
 
-def verify(archive: str, password: str = "", allow_legacy_encryption: bool = False) -> Result:
+def verify(archive: str, password: str = "", allow_legacy_encryption: bool = False, progress: A.Progress | None = None) -> Result:
     """Every check of a restore without writing."""
-    with open(archive, "rb") as f:
-        entries = A.decode(f.read(), password, allow_legacy_encryption)[1]
-    return Result(len(entries), sum(e.size for e in entries if e.type_id == 1), 0)
+    with open(archive, "rb") as f, A.open_archive(f, password, allow_legacy_encryption, progress=progress) as a:
+        return Result(len(a.entries), sum(e.size for e in a.entries if e.type_id == 1), 0)
 
 
 def preview(spark: SparkSession, archive: str, destination: str, password: str = "") -> tuple[DataFrame, DataFrame]:
     """An archive's entries, and those whose path the destination has already."""
-    with open(archive, "rb") as f:
-        entries = A.decode(f.read(), password, content=False)[1]
+    with open(archive, "rb") as f, A.open_archive(f, password) as a:
+        entries = a.entries
     rows = [(e.path, e.type_id, e.mode, e.uid, e.gid, e.size, e.atime, e.mtime, e.ctime, e.link_target, e.device, 0, 0, None) for e in entries]
     listed = spark.createDataFrame(rows, SCHEMA).selectExpr("path", "CASE WHEN type_id = 2 THEN 'directory' ELSE 'file' END AS type", "size")
     base, top = os.path.realpath(destination), entries[0].path
@@ -101,11 +120,38 @@ def preview(spark: SparkSession, archive: str, destination: str, password: str =
     return listed, conflicts(listed, spark.createDataFrame(there, "path string"))
 
 
-def restore(archive: str, destination: str, password: str = "", overwrite: bool = False, allow_legacy_encryption: bool = False) -> Restored:
-    """Extract what one decode has checked."""
-    with open(archive, "rb") as f:
-        entries = A.decode(f.read(), password, allow_legacy_encryption)[1]
-    return extract(entries, destination, overwrite)
+def restore(archive: str, destination: str, password: str = "", overwrite: bool = False, allow_legacy_encryption: bool = False, progress: A.Progress | None = None) -> Restored:
+    """Extract what one decode has checked. The work file lies at the destination; a failure says how many entries were restored before it."""
+    with open(archive, "rb") as f, A.open_archive(f, password, allow_legacy_encryption, destination) as a:
+        return extract(a.entries, destination, overwrite, a.content, progress)
+
+
+def listing(spark: SparkSession, source: str) -> DataFrame:
+    """path (without the top directory), type, size, mode, uid, gid of what a directory holds; further names of a file are shown as files of its size."""
+    rows = scan(spark, source)
+    top = os.path.basename(os.path.realpath(source))
+    folded = fold_hardlinks(rows.select("path", entry_type_name("type_id").alias("type"), "dev", "inode", "mode", "uid", "gid", "size", "atime", "mtime"))
+    shown = listed(folded).where(F.col("path") != top)
+    return shown.select(F.substring("path", len(top) + 2, 1 << 20).alias("path"), "type", "size", "mode", "uid", "gid")
+
+
+def watch(source: str, folder: str, keep: int, interval_ms: int, wait: Callable[[float], bool], realtime: bool = False, most: int = 0, **how) -> int:
+    """Snapshots, at once and then every `interval_ms`, or where `realtime` is set once something has changed when that time is over; how many were made. wait(seconds) returns whether to stop."""
+    check_automatic(keep, interval_ms, os.path.realpath(source), os.path.realpath(folder))
+    changes = ChangeReader({"path": source}) if realtime else None
+    last = changes.initialOffset()["state"] if changes else None
+
+    def until_changed(seconds: float) -> bool:
+        nonlocal last
+        while not wait(seconds):
+            if not changes:
+                return False
+            before, last = last, changes.initialOffset()["state"]
+            if before != last:
+                return False
+        return True
+
+    return repeated(lambda: snapshot(source, folder, keep, **how), until_changed, interval_ms / 1000, most)
 
 
 def snapshot(source: str, folder: str, keep: int, **how) -> str:

@@ -3,17 +3,25 @@
 Everything is checked in one order, and nothing is used before it is: header, authentication,
 digest, decryption, decompression, size, digest, records, rules across records. Filters in a query
 plan may change places, so this order lives in one function and not in a plan.
+
+Both ways go through a file a piece at a time: what is held are the entries' records and a piece of
+content, however large files are. Only what is compressed or encrypted is unpacked to a work file.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import io
+import os
 import struct
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from typing import BinaryIO
 
-from ..functions.ciphers import archive_mac, crypt
-from ..functions.codecs import COMPRESS, DECOMPRESS, Malformed
+from ..functions.ciphers import Cipher, archive_authenticator
+from ..functions.codecs import PIECE, PIECES, UNPACKED, Malformed
 from ..functions.scalars import COMPRESSIONS, ENCRYPTIONS, PACKINGS
 
 # The header, a record's fixed parts, and the marks of both packings.
@@ -39,6 +47,16 @@ class Entry:
     link_target: str = ""
     device: int = 0
     content: bytes = field(default=b"", repr=False)
+    #: Where the content begins in the packed bytes, of an entry that was read.
+    at: int = field(default=0, compare=False, repr=False)
+
+
+class Cancelled(RuntimeError):
+    """Raised where a job was asked to stop."""
+
+
+#: Called with bytes done and bytes in all; what it raises stops the job.
+Progress = Callable[[int, int], None]
 
 
 @dataclass(frozen=True)
@@ -72,13 +90,23 @@ def _record(e: Entry, offset: int | None) -> bytes:
 
 
 class _Reader:
-    def __init__(self, data: bytes, at: int, end: int):
-        self.data, self.at, self.end = data, at, end
+    """Records of a file from `at` to before `end`."""
+
+    def __init__(self, file: BinaryIO, at: int, end: int):
+        self.file, self.at, self.end = file, at, end
+        file.seek(at)
 
     def take(self, n: int) -> bytes:
+        _need(0 <= n <= self.end - self.at, "data ends early")
+        raw = self.file.read(n)
+        _need(len(raw) == n, "data ends early")
+        self.at += n
+        return raw
+
+    def skip(self, n: int) -> None:
         _need(0 <= n <= self.end - self.at, "data ends early")
         self.at += n
-        return self.data[self.at - n : self.at]
+        self.file.seek(self.at)
 
     def number(self, form: str) -> int:
         return struct.unpack(form, self.take(struct.calcsize(form)))[0]
@@ -103,42 +131,71 @@ class _Reader:
         return e
 
 
-def pack_stream(entries: list[Entry]) -> bytes:
-    out = [STREAM, struct.pack("<I", len(entries))]
-    for e in entries:
-        out += [struct.pack("<I", MARK), _record(e, None), e.content if e.type_id == 1 else b""]
-    return b"".join(out)
+#: Pieces of an entry's content.
+Content = Callable[[Entry], Iterable[bytes]]
+
+
+def own_content(e: Entry) -> Iterator[bytes]:
+    for k in range(0, len(e.content), PIECE):
+        yield e.content[k : k + PIECE]
+
+
+def _exact(e: Entry, content: Content) -> Iterator[bytes]:
+    n = 0
+    for piece in content(e):
+        n += len(piece)
+        _need(n <= e.size, f"content has another size than its entry: {e.path}")
+        yield piece
+    _need(n == e.size, f"content has another size than its entry: {e.path}")
 
 
-def pack_index(entries: list[Entry]) -> bytes:
-    contents, records, at = [INDEX], [], len(INDEX)
+def packed_pieces(entries: list[Entry], pack: str, content: Content = own_content) -> Iterator[bytes]:
+    """The packed bytes: records each followed by content, or all content and then a directory of records with offsets."""
+    if pack == "stream":
+        yield STREAM + struct.pack("<I", len(entries))
+        for e in entries:
+            yield struct.pack("<I", MARK) + _record(e, None)
+            if e.type_id == 1:
+                yield from _exact(e, content)
+        return
+    yield INDEX
     for e in entries:
-        records.append(_record(e, at if e.type_id == 1 else 0))
         if e.type_id == 1:
-            contents.append(e.content)
-            at += len(e.content)
-    directory = DIRECTORY + struct.pack("<I", len(entries)) + b"".join(records)
-    return b"".join(contents) + directory + TRAILER + struct.pack("<QQII", at, len(directory), len(entries), 0)
+            yield from _exact(e, content)
+    at, length = len(INDEX), len(DIRECTORY) + 4
+    yield DIRECTORY + struct.pack("<I", len(entries))
+    for e in entries:
+        record = _record(e, at if e.type_id == 1 else 0)
+        at, length = at + (e.size if e.type_id == 1 else 0), length + len(record)
+        yield record
+    yield TRAILER + struct.pack("<QQII", at, length, len(entries), 0)
+
+
+def packed_size(entries: list[Entry], pack: str) -> int:
+    each = sum(len(_record(e, 0 if pack == "index" else None)) + (e.size if e.type_id == 1 else 0) for e in entries)
+    return each + (len(STREAM) + 4 + 4 * len(entries) if pack == "stream" else len(INDEX) + len(DIRECTORY) + 4 + 32)
 
 
-def unpack(packed: bytes, pack: str, content: bool = True) -> list[Entry]:
-    out = []
+def unpacked_entries(file: BinaryIO, base: int, size: int, pack: str) -> list[Entry]:
+    """Entries of packed bytes in a file, without their content; `at` says where in the file it begins."""
+    out, end = [], base + size
     if pack == "stream":
-        r = _Reader(packed, 0, len(packed))
+        r = _Reader(file, base, end)
         _need(r.take(8) == STREAM, "bad stream packing")
         n = r.number("<I")
-        _need(n <= MOST_ENTRIES and n <= (len(packed) - 12) // 78, "too many entries for the data")
+        _need(n <= MOST_ENTRIES and n <= (size - 12) // 78, "too many entries for the data")
         for _ in range(n):
             _need(r.number("<I") == MARK, "bad entry mark")
             e = r.entry()
-            raw = r.take(e.size)
-            out.append(replace(e, content=raw) if content else e)
+            out.append(replace(e, at=r.at))
+            r.skip(e.size)
         _need(r.at == r.end, "trailing data")
         return out
-    _need(len(packed) >= 52 and packed[:8] == INDEX and packed[-32:-24] == TRAILER, "bad index packing")
-    at, length, n, zero = struct.unpack("<QQII", packed[-24:])
-    _need(zero == 0 and at >= 8 and at + length == len(packed) - 32, "bad index trailer")
-    r = _Reader(packed, at, at + length)
+    _need(size >= 52 and _Reader(file, base, end).take(8) == INDEX, "bad index packing")
+    tail = _Reader(file, end - 32, end).take(32)
+    at, length, n, zero = struct.unpack("<QQII", tail[8:])
+    _need(tail[:8] == TRAILER and zero == 0 and at >= 8 and at + length == size - 32, "bad index trailer")
+    r = _Reader(file, base + at, base + at + length)
     _need(r.take(8) == DIRECTORY and r.number("<I") == n, "bad central directory")
     _need(n <= MOST_ENTRIES and n <= (length - 12) // 82, "too many entries for the data")
     for _ in range(n):
@@ -146,10 +203,9 @@ def unpack(packed: bytes, pack: str, content: bool = True) -> list[Entry]:
         offset = r.number("<Q")
         if e.type_id == 1:
             _need(8 <= offset <= at and e.size <= at - offset, "content outside the content region")
-            e = replace(e, content=packed[offset : offset + e.size]) if content else e
         else:
             _need(offset == 0, "only a file has an offset")
-        out.append(e)
+        out.append(replace(e, at=base + offset))
     _need(r.at == r.end, "trailing data")
     return out
 
@@ -176,8 +232,8 @@ def check_tree(entries: list[Entry]) -> None:
             _need(up is not None and up.type_id == 2, "an ancestor is missing or no directory")
 
 
-def read_header(data: bytes, whole: bool = True) -> Header:
-    """The header, checked; `whole`: data must be as long as it says."""
+def read_header(data: bytes, total: int | None = None) -> Header:
+    """The header, checked; total: bytes of the archive, which must be what the header says."""
     _need(len(data) >= HEADER.size, "archive is too short")
     magic, version, size, flags, pack, compression, encryption, reserved, packed, encoded, salt, packed_digest, encoded_digest = HEADER.unpack_from(data)
     _need(magic == MAGIC, "bad magic")
@@ -186,35 +242,167 @@ def read_header(data: bytes, whole: bool = True) -> Header:
     _need(compression != 3 or version >= 3, "LZ77 needs version 3")
     _need(version != 4 or encryption != 0, "version 4 is for encrypted archives")
     _need(flags == (1 | 2 * (compression != 0) | 4 * (encryption != 0)), "flags do not match the algorithms")
-    _need(not whole or len(data) == HEADER.size + encoded + TAG * (version == 4), "payload size differs")
+    _need(total is None or total == HEADER.size + encoded + TAG * (version == 4), "payload size differs")
     return Header(version, flags, PACKINGS[pack], COMPRESSIONS[compression], ENCRYPTIONS[encryption], packed, encoded, salt, packed_digest, encoded_digest)
 
 
-def build(entries: list[Entry], pack: str = "index", compression: str = "none", encryption: str = "none", password: str = "", salt: bytes = bytes(16)) -> bytes:
-    """An archive of entries, the top directory first, then by path. salt: 16 random bytes where it is encrypted."""
-    packed = pack_stream(entries) if pack == "stream" else pack_index(entries)
-    payload = crypt(encryption, password, salt, COMPRESS[compression](packed))
+def _regions(file: BinaryIO, at: int, n: int) -> Iterator[bytes]:
+    """n bytes of a file from `at` on, in pieces."""
+    file.seek(at)
+    while n:
+        piece = file.read(min(n, PIECE))
+        _need(bool(piece), "data ends early")
+        n -= len(piece)
+        yield piece
+
+
+def write_archive(
+    file: BinaryIO, entries: list[Entry], pack: str = "index", compression: str = "none", encryption: str = "none", password: str = "", salt: bytes = bytes(16), content: Content = own_content, progress: Progress | None = None
+) -> int:
+    """An archive of entries, the top directory first, then by path, to an empty file open both ways; its size. salt: 16 random bytes where it is encrypted."""
+    cipher, size = Cipher(encryption, password, salt), packed_size(entries, pack)
+    packed_digest, encoded_digest, done = hashlib.sha256(), hashlib.sha256(), 0
+    passes = 0
+
+    def make() -> Iterator[bytes]:
+        nonlocal packed_digest, passes, done
+        packed_digest, passes, done = hashlib.sha256(), passes + 1, 0
+        # Small records go together.
+        held: list[bytes] = []
+        n = 0
+        for piece in packed_pieces(entries, pack, content):
+            held.append(piece)
+            n += len(piece)
+            if n >= PIECE:
+                yield from joined(held)
+                held, n = [], 0
+        yield from joined(held)
+
+    def joined(held: list[bytes]) -> Iterator[bytes]:
+        nonlocal done
+        piece = held[0] if len(held) == 1 else b"".join(held)
+        packed_digest.update(piece)
+        done += len(piece)
+        if progress:
+            progress(done, size)
+        if piece:
+            yield piece
+
+    plain = compression == encryption == "none"
+    file.seek(HEADER.size)
+    n = 0
+    for piece in PIECES[compression](make, size):
+        out = cipher(piece)
+        if not plain:  # else both digests are of the same bytes
+            encoded_digest.update(out)
+        file.write(out)
+        n += len(out)
     version = 4 if encryption != "none" else 3 if compression == "lz77" else 2
     flags = 1 | 2 * (compression != "none") | 4 * (encryption != "none")
     numbers = [_NUMBERS[t][v] for t, v in (("pack", pack), ("compression", compression), ("encryption", encryption))]
-    head = HEADER.pack(MAGIC, version, HEADER.size, flags, *numbers, 0, len(packed), len(payload), salt, hashlib.sha256(packed).digest(), hashlib.sha256(payload).digest())
-    return head + payload + (archive_mac(password, salt, head + payload) if version == 4 else b"")
+    head = HEADER.pack(MAGIC, version, HEADER.size, flags, *numbers, 0, size, n, salt, packed_digest.digest(), (packed_digest if plain else encoded_digest).digest())
+    file.seek(0)
+    file.write(head)
+    if version == 4:
+        mac = archive_authenticator(password, salt)
+        for piece in _regions(file, 0, HEADER.size + n):
+            mac.update(piece)
+        file.seek(HEADER.size + n)
+        file.write(mac.digest())
+    file.flush()
+    return HEADER.size + n + TAG * (version == 4)
+
+
+class Opened:
+    """A checked archive: header, entries, and pieces of each entry's content. The work file, if there is one, goes when this is closed."""
+
+    def __init__(self, header: Header, entries: list[Entry], packed: BinaryIO, work: BinaryIO | None):
+        self.header, self.entries, self._packed, self._work = header, entries, packed, work
+
+    def content(self, e: Entry) -> Iterator[bytes]:
+        return _regions(self._packed, e.at, e.size) if e.type_id == 1 else iter(())
+
+    def __enter__(self) -> Opened:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self._work is not None:
+            self._work.close()
+
+
+def encoded_payload(file: BinaryIO, password: str = "", allow_legacy_encryption: bool = False, authenticate: bool = True, progress: Progress | None = None) -> Header:
+    """The header of an archive after its authentication, if it has any, and the digest of its payload."""
+    total = file.seek(0, os.SEEK_END)
+    file.seek(0)
+    head = file.read(HEADER.size)
+    h = read_header(head, total)
+    mac = None
+    if authenticate and h.encryption != "none":
+        _need(bool(password), "archive is encrypted; a password is required")
+        _need(h.version == 4 or allow_legacy_encryption, "legacy encrypted archive has no authentication")
+        mac = archive_authenticator(password, h.salt) if h.version == 4 else None
+    if mac:
+        mac.update(head)
+    digest, done = hashlib.sha256(), 0
+    for piece in _regions(file, HEADER.size, h.encoded_size):
+        digest.update(piece)
+        if mac:
+            mac.update(piece)
+        done += len(piece)
+        if progress:
+            progress(done, h.encoded_size)
+    if mac:
+        _need(hmac.compare_digest(mac.digest(), file.read(TAG)), "archive authentication failed")
+    _need(digest.digest() == h.encoded_digest, "encoded digest differs")
+    return h
+
+
+def open_archive(file: BinaryIO, password: str = "", allow_legacy_encryption: bool = False, work_folder: str | None = None, progress: Progress | None = None) -> Opened:
+    """An archive after every check. work_folder: of the work file, the machine's own where it is not given."""
+    h = encoded_payload(file, password, allow_legacy_encryption, progress=progress)
+    work = None
+    try:
+        if h.compression == h.encryption == "none":
+            _need(h.encoded_size == h.packed_size, "packed size differs")
+            _need(h.encoded_digest == h.packed_digest, "packed digest differs")
+            packed, base = file, HEADER.size
+        else:
+            packed = work = tempfile.TemporaryFile(dir=work_folder)
+            base, left, cipher, digest, made = 0, h.encoded_size, Cipher(h.encryption, password, h.salt), hashlib.sha256(), 0
+            file.seek(HEADER.size)
+
+            def read(n: int) -> bytes:
+                nonlocal left
+                raw = file.read(min(n, left))
+                left -= len(raw)
+                return cipher(raw) if raw else raw
+
+            for piece in UNPACKED[h.compression](read, h.packed_size):
+                made += len(piece)
+                _need(made <= h.packed_size, "packed size differs")
+                digest.update(piece)
+                packed.write(piece)
+            _need(made == h.packed_size, "packed size differs")
+            _need(digest.digest() == h.packed_digest, "packed digest differs")
+            packed.flush()
+        entries = unpacked_entries(packed, base, h.packed_size, h.pack)
+        _need(h.version > 1 or all(e.type_id != 8 for e in entries), "version 1 has no hard links")
+        check_tree(entries)
+    except BaseException:
+        if work is not None:
+            work.close()
+        raise
+    return Opened(h, entries, packed, work)
+
+
+def build(entries: list[Entry], pack: str = "index", compression: str = "none", encryption: str = "none", password: str = "", salt: bytes = bytes(16)) -> bytes:
+    """`write_archive` in memory."""
+    out = io.BytesIO()
+    write_archive(out, entries, pack, compression, encryption, password, salt)
+    return out.getvalue()
 
 
 def decode(data: bytes, password: str = "", allow_legacy_encryption: bool = False, content: bool = True) -> tuple[Header, list[Entry]]:
-    """Header and entries of an archive after every check."""
-    h = read_header(data)
-    payload = data[HEADER.size : HEADER.size + h.encoded_size]
-    if h.encryption != "none":
-        _need(bool(password), "archive is encrypted; a password is required")
-        _need(h.version == 4 or allow_legacy_encryption, "legacy encrypted archive has no authentication")
-        if h.version == 4:
-            _need(hmac.compare_digest(archive_mac(password, h.salt, data[: HEADER.size + h.encoded_size]), data[-TAG:]), "archive authentication failed")
-    _need(hashlib.sha256(payload).digest() == h.encoded_digest, "encoded digest differs")
-    packed = DECOMPRESS[h.compression](crypt(h.encryption, password, h.salt, payload), h.packed_size)
-    _need(len(packed) == h.packed_size, "packed size differs")
-    _need(hashlib.sha256(packed).digest() == h.packed_digest, "packed digest differs")
-    entries = unpack(packed, h.pack, content)
-    _need(h.version > 1 or all(e.type_id != 8 for e in entries), "version 1 has no hard links")
-    check_tree(entries)
-    return h, entries
+    """`open_archive` in memory, with the content of every entry."""
+    with open_archive(io.BytesIO(data), password, allow_legacy_encryption) as a:
+        return a.header, [replace(e, content=b"".join(a.content(e))) if content else e for e in a.entries]

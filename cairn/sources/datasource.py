@@ -7,6 +7,7 @@ import glob
 import hashlib
 import os
 import stat
+import tempfile
 import time
 import uuid
 from collections.abc import Iterator
@@ -104,24 +105,62 @@ def _times(t) -> tuple[int, int]:
     return (t[0], t[1])
 
 
+@dataclass
+class _Range(InputPartition):
+    """Entries first to before last of an archive; `check`: whether this one looks at the whole archive first."""
+
+    path: str
+    first: int
+    last: int | None
+    check: bool
+
+
 class ArchiveReader(DataSourceReader):
-    """A partition for each archive file of the path, which may be a pattern."""
+    """Partitions of archive files; the path may be a pattern.
+
+    Of an archive with a directory at its end and neither compression nor encryption, ranges of
+    entries are partitions of about `splitBytes` of content; the first one checks the digest of the
+    whole, so a damaged archive fails the job. Any other archive is one partition.
+    """
 
     def __init__(self, options):
         self.paths = sorted(glob.glob(options["path"]))
         self.password = options.get("password", "")
         self.legacy, self.content = _yes(options, "allowLegacyEncryption"), str(options.get("content", "true")).lower() == "true"
+        self.split = int(options.get("splitBytes", 128 << 20))
         if not self.paths:
             raise ValueError("no archive at the path")
 
+    @staticmethod
+    def _directory(f, total: int) -> tuple[A.Header, list[A.Entry]]:
+        h = A.read_header(f.read(A.HEADER.size), total)
+        return h, A.unpacked_entries(f, A.HEADER.size, h.packed_size, h.pack) if h.pack == "index" and h.compression == h.encryption == "none" else []
+
     def partitions(self):
-        return [_Part(p, True) for p in self.paths]
+        out = []
+        for path in self.paths:
+            ranges = [(0, None)]
+            if self.content and os.path.getsize(path) > self.split:
+                with open(path, "rb") as f:
+                    entries, edges, held = self._directory(f, os.path.getsize(path))[1], [0], 0
+                for k, e in enumerate(entries):
+                    held += e.size
+                    if held >= self.split and k + 1 < len(entries):
+                        edges.append(k + 1)
+                        held = 0
+                ranges = list(zip(edges, [*edges[1:], None]))
+            out += [_Range(path, a, z, k == 0) for k, (a, z) in enumerate(ranges)]
+        return out
 
     def read(self, partition) -> Iterator[tuple]:
-        with open(partition.top, "rb") as f:
-            data = f.read()
-        for e in A.decode(data, self.password, self.legacy, self.content)[1]:
-            yield (e.path, e.type_id, e.mode, e.uid, e.gid, e.size, e.atime, e.mtime, e.ctime, e.link_target, e.device, 0, 0, e.content if self.content and e.type_id == 1 else None)
+        with open(partition.path, "rb") as f:
+            if partition.check:
+                opened = A.open_archive(f, self.password, self.legacy)
+            else:
+                opened = A.Opened(*self._directory(f, os.path.getsize(partition.path)), f, None)
+            with opened as a:
+                for e in a.entries[partition.first : partition.last]:
+                    yield (e.path, e.type_id, e.mode, e.uid, e.gid, e.size, e.atime, e.mtime, e.ctime, e.link_target, e.device, 0, 0, b"".join(a.content(e)) if self.content and e.type_id == 1 else None)
 
 
 @dataclass
@@ -131,27 +170,37 @@ class _Written(WriterCommitMessage):
 
 
 class ArchiveWriter(DataSourceWriter):
-    """Each task writes its rows, the top directory first and then by path, as one staged archive; commit publishes them without replacing anything."""
+    """Each task writes its rows, the top directory first and then by path, as one staged archive beside the target, which all executors and the driver must share; commit publishes them without replacing anything.
+
+    Contents wait in a work file of the task until their order is known; in memory are records alone.
+    """
 
     def __init__(self, options):
         self.path, self.options = options["path"], dict(options)
 
     def write(self, iterator):
-        rows = list(iterator)
-        if not rows:
-            return _Written("", 0)
-        entries = [A.Entry(r.path, r.type_id, r.mode, r.uid, r.gid, r.size, _times(r.atime), _times(r.mtime), _times(r.ctime), r.link_target, r.device, bytes(r.content or b"")) for r in rows]
-        top = min(entries, key=lambda e: e.path.count("/"))
-        entries = [top, *sorted((e for e in entries if e is not top), key=lambda e: e.path.encode("utf-8", "surrogateescape"))]
-        password, encryption = self.options.get("password", ""), self.options.get("encryption", "none")
-        data = A.build(entries, self.options.get("pack", "index"), self.options.get("compression", "none"), encryption, password, os.urandom(16) if encryption != "none" else bytes(16))
-        A.decode(data, password)
-        staged = f"{self.path}.{uuid.uuid4().hex}.part"
-        with open(staged, "xb") as f:
-            os.fchmod(f.fileno(), 0o600)
-            f.write(data)
-            f.flush()
-            os.fsync(f.fileno())
+        entries: list[A.Entry] = []
+        with tempfile.TemporaryFile() as work:
+            for r in iterator:
+                raw = bytes(r.content or b"")
+                entries.append(A.Entry(r.path, r.type_id, r.mode, r.uid, r.gid, r.size, _times(r.atime), _times(r.mtime), _times(r.ctime), r.link_target, r.device, at=work.tell()))
+                work.write(raw)
+            if not entries:
+                return _Written("", 0)
+            top = min(entries, key=lambda e: e.path.count("/"))
+            entries = [top, *sorted((e for e in entries if e is not top), key=lambda e: e.path.encode("utf-8", "surrogateescape"))]
+            A.check_tree(entries)
+            password, encryption = self.options.get("password", ""), self.options.get("encryption", "none")
+            staged = f"{self.path}.{uuid.uuid4().hex}.part"
+            held = A.Opened(None, entries, work, None)
+            try:
+                with open(os.open(staged, os.O_RDWR | os.O_CREAT | os.O_EXCL, 0o600), "w+b") as f:
+                    A.write_archive(f, entries, self.options.get("pack", "index"), self.options.get("compression", "none"), encryption, password, os.urandom(16) if encryption != "none" else bytes(16), held.content)
+                    os.fsync(f.fileno())
+            except BaseException:
+                if os.path.exists(staged):
+                    os.unlink(staged)
+                raise
         return _Written(staged, len(entries))
 
     def commit(self, messages):

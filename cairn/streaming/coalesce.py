@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 
@@ -22,10 +23,24 @@ def triggers(events: DataFrame, interval_us: int, source: str = "source", ts: st
     w = W.partitionBy(source).orderBy(ts)
     gap = F.coalesce(F.col(ts) > F.lag(ts).over(w) + interval_us, F.lit(True))
     marked = events.select(source, ts).where(F.col(ts).isNotNull()).withColumn("_new", gap.cast("long"))
-    stretches = marked.withColumn("_s", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).groupBy(source, "_s").agg(F.sort_array(F.collect_list(ts)).alias("_t"))
-    none = F.array().cast("array<bigint>")
-    opened = F.aggregate("_t", none, lambda a, t: F.when((F.size(a) == 0) | (t > F.element_at(a, -1) + interval_us), F.concat(a, F.array(t))).otherwise(a))
-    return stretches.select(source, F.explode(opened).alias("opened")).withColumn("fires", F.col("opened") + interval_us)
+    stretches = marked.withColumn("_s", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).select(source, "_s", F.col(ts).cast("long").alias("_t"))
+    kind = events.schema[source].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come stretch by stretch, in order of time: what is held is the window that is open.
+        last, until = None, 0
+        for batch in batches:
+            keep = []
+            for k, (name, stretch, t) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True)):
+                if (name, stretch) != last or t > until:
+                    keep.append(k)
+                    last, until = (name, stretch), t + interval_us
+            some = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(2)], names=[source, "opened"])
+
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    opened = stretches.repartition(n, source, "_s").sortWithinPartitions(source, "_s", "_t").mapInArrow(fold, f"`{source}` {kind}, opened long")
+    return opened.withColumn("fires", F.col("opened") + interval_us)
 
 
 def stream_triggers(events: DataFrame, interval_us: int, delay: str = "10 minutes", source: str = "source", ts: str = "ts") -> DataFrame:
