@@ -78,8 +78,8 @@ def _apart(members: DataFrame, size: str, member: str, most: int) -> DataFrame:
     return dealt.withColumn("_pair", F.explode(F.when(F.col("main"), beside).otherwise(across))).select(*members.columns, "_pair.i", "_pair.j")
 
 
-def links(lean: DataFrame, key: str, size: str, member: str, node: str, most: int, carried, edges) -> DataFrame:
-    """a, b: edges whose components are those of all links within groups; lean, staged: key, size, member (unique within a group), node (what edges join).
+def linked_groups(lean: DataFrame, key: str, size: str, member: str, node: str, most: int, carried, edges, more: DataFrame | None = None) -> DataFrame:
+    """id, component over all links within groups, and over `more` (a, b); lean, staged: key, size, member (unique within a group), node (what edges join).
 
     carried(rows) joins what the comparison needs to rows of lean; edges(rows with i and j) is a
     spanning forest of the links in each (key, i, j). Groups of up to `most` are compared whole. Of
@@ -87,18 +87,19 @@ def links(lean: DataFrame, key: str, size: str, member: str, node: str, most: in
     from the largest part of their group meet all others. So a large group of rows that are alike
     costs what it holds, and no link is lost in one that is not.
     """
-    first = staged(edges(_hubbed(carried(lean), size, member, most)), "links")
+    first = edges(_hubbed(carried(lean), size, member, most))
+    found = components(first if more is None else first.unionByName(more))
     large = lean.where(F.col(size) > most)
     if large.isEmpty():
-        return first
-    stars = staged(components(first).where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")), "stars")
-    told = staged(large.join(stars.select(F.col("a").alias(node), F.col("b").alias("_part")).hint("merge"), node, "left").select(*lean.columns, F.coalesce("_part", node).alias("_part")), "told")
+        return found
+    told = staged(large.join(found.select(F.col("id").alias(node), F.col("component").alias("_part")).hint("merge"), node, "left").select(*lean.columns, F.coalesce("_part", node).alias("_part")), "told")
     parts = told.groupBy(key, "_part").agg(F.count("*").alias("n"))
-    open_ = staged(parts.groupBy(key).agg(F.max(F.struct("n", "_part")).alias("m"), F.sum("n").alias("n")).select(key, F.col("m._part").alias("_main"), (F.col("n") - F.col("m.n")).alias("rest")).where("rest > 0"), "open")
-    left = staged(told.join(open_.hint("merge"), key).select(*lean.columns, (F.col("_part") == F.col("_main")).alias("main"), "rest"), "left")
-    if left.isEmpty():
-        return stars
-    return stars.unionByName(edges(_apart(carried(left), size, member, most)))
+    apart = staged(parts.groupBy(key).agg(F.max(F.struct("n", "_part")).alias("m"), F.sum("n").alias("n")).select(key, F.col("m._part").alias("_main"), (F.col("n") - F.col("m.n")).alias("rest")).where("rest > 0"), "apart")
+    if apart.isEmpty():
+        return found
+    left = staged(told.join(apart.hint("merge"), key).select(*lean.columns, (F.col("_part") == F.col("_main")).alias("main"), "rest"), "left")
+    stars = found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return components(stars.unionByName(edges(_apart(carried(left), size, member, most))))
 
 
 def runs(batches, keys: int):

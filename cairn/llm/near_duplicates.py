@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import superminhash
 from .common import shingles, slices, staged, text_rows, utf8, word_hashes, word_texts, words
-from .graph import components, links, runs, spanning
+from .graph import linked_groups, runs, spanning
 
 #: Values of a signature, and the chance that a pair at the threshold may share no band: at 0.85 that is 40 bands of 6.
 SLOTS, MISSED = 240, 1e-8
@@ -170,8 +170,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = sums.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     least = int(SKETCH * per / of - 6 * (SKETCH * per / of * (1 - per / of)) ** 0.5)
     lean = staged(banded.join(buckets.hint("merge"), "bucket"), "members")
-    maybe = links(lean, "bucket", "n", "id", "id", BUCKET, lambda rows: rows.join(reps.select("id", "sketch").hint("merge"), "id"), lambda rows: sketch_edges(rows, least))
-    families = staged(components(maybe).select(F.col("component").alias("family"), "id").join(reps.select("id", "doc_id", "digest", "n_shingles").hint("merge"), "id"), "families")
+    alike = linked_groups(lean, "bucket", "n", "id", "id", BUCKET, lambda rows: rows.join(reps.select("id", "sketch").hint("merge"), "id"), lambda rows: sketch_edges(rows, least))
+    families = staged(alike.select(F.col("component").alias("family"), "id").join(reps.select("id", "doc_id", "digest", "n_shingles").hint("merge"), "id"), "families")
     # A family's size is its rows, or its shingles where those are many to a row: it bounds what a task holds.
     sizes = staged(families.groupBy("family").agg(F.greatest(F.count("*"), F.ceil(F.sum("n_shingles") / SHINGLES)).alias("n")), "family-sizes")
     named = staged(families.join(sizes.hint("merge"), "family").select("family", "n", F.col("id").alias("row"), F.col("doc_id").alias("id"), "digest"), "named")
@@ -185,8 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     owned = staged(seen.select("doc_id", "h1", "h2", "n_shingles").join(classes.select("h1", "h2", "rep").hint("merge"), ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "owned")
     several = staged(owned.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id"), "several")
     same = owned.join(several.hint("merge"), "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    linked_ids = links(named, "family", "n", "row", "id", FAMILY, carried, lambda rows: set_edges(rows, width, per, of))
-    found = components(linked_ids.unionByName(same))
+    found = linked_groups(named, "family", "n", "row", "id", FAMILY, carried, lambda rows: set_edges(rows, width, per, of), same)
     rows = owned.join(found.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
