@@ -70,7 +70,7 @@ _OWNED = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("hash"
 def secret_scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | str = "source", repository: Column | str | None = None, most_owners: int = 2, most_repositories: int = 6
 ) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_spans and spans (arrays of start, kind, end; code points, end exclusive), n_owned, n_owner_specific, n_widely_copied.
+    """doc_id, n_assign, n_access, n_hex, base_spans and spans (arrays of start, kind, end; code points, end exclusive), n_owned, n_owner_specific, n_widely_copied, h0 and h1 (128 bits of the text).
 
     A candidate hash that at most `most_owners` owners and `most_repositories` repositories have is
     owner-specific: its places not inside a base span become spans of kind `owned`. One beyond
@@ -86,16 +86,16 @@ def secret_scan(
     as_col = lambda x: F.col(x) if isinstance(x, str) else x
     who = F.coalesce(as_col(owner).cast("string"), F.lit("\0"))
     where = who if repository is None else F.coalesce(as_col(repository).cast("string"), F.lit("\0"))
-    rows = text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(who).alias("owner"), F.xxhash64(who, where).alias("repository"), F.col(text_col).cast("string").alias("text"))
+    rows = text_rows(docs, F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(who).alias("owner"), F.xxhash64(who, where).alias("repository"), F.col(text_col).cast("string").alias("text"), *(x.alias(f"h{k}") for k, x in enumerate(_text_hashes(F.col(text_col)))))
 
     def scan(batches):
         for batch in batches:
             found = _found(batch.column(3))
             columns = list(zip(*found, strict=True)) or [[]] * 5
             arrays = [pa.array(columns[k], pa.int64()) for k in range(3)] + [pa.array(columns[3], _SPANS), pa.array(columns[4], _OWNED)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *arrays], names=["doc_id", "owner", "repository", "n_assign", "n_access", "n_hex", "base_spans", "candidates"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2, 4, 5)), *arrays], names=["doc_id", "owner", "repository", "h0", "h1", "n_assign", "n_access", "n_hex", "base_spans", "candidates"])
 
-    schema = "doc_id long, owner long, repository long, n_assign long, n_access long, n_hex long, base_spans array<struct<start:int,kind:int,end:int>>, candidates array<struct<start:int,end:int,hash:long>>"
+    schema = "doc_id long, owner long, repository long, h0 long, h1 long, n_assign long, n_access long, n_hex long, base_spans array<struct<start:int,kind:int,end:int>>, candidates array<struct<start:int,end:int,hash:long>>"
     # A row's own number: ids may repeat.
     found = staged(rows.mapInArrow(scan, schema).withColumn("row", F.monotonically_increasing_id()), "secrets")
     hashes = found.select("owner", "repository", F.explode(F.array_distinct(F.transform("candidates", lambda x: x["hash"]))).alias("hash"))
@@ -112,10 +112,14 @@ def secret_scan(
     joined = found.join(judged.hint("merge"), "row", "left").withColumn("added", F.filter(F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>")), lambda x: ~inside(x)))
     return joined.select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_spans", F.sort_array(F.concat("base_spans", "added")).alias("spans"),
-        F.size("added").cast("long").alias("n_owned"), F.coalesce("n_owner_specific", F.lit(0)).cast("long").alias("n_owner_specific"), F.coalesce("n_widely_copied", F.lit(0)).cast("long").alias("n_widely_copied"),
+        F.size("added").cast("long").alias("n_owned"), F.coalesce("n_owner_specific", F.lit(0)).cast("long").alias("n_owner_specific"), F.coalesce("n_widely_copied", F.lit(0)).cast("long").alias("n_widely_copied"), "h0", "h1",
     )
 
 
+def _text_hashes(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text.cast("string")), F.xxhash64(F.lit(1), text.cast("string"))
+
+
 def ownership(hashes: DataFrame) -> DataFrame:
     """hash, n_rows, n_owners, n_repositories of rows of owner, repository, hash: first by all three, within tasks and then across, then by hash."""
     each = hashes.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
@@ -129,20 +133,22 @@ def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redacted(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span replaced by `mark`, overlapping spans as one, in one pass over a text; columns and their order stay.
+def redacted(docs: DataFrame, scanned: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """docs with every span of `scanned` replaced by `mark`, overlapping spans as one, in one pass over a text; columns and their order stay.
 
-    id_col must be unique in docs, and is that of `scanned`: a row's number where ids may be null or repeat.
+    Spans follow from a text alone once ownership is known, so they find their texts by 128 bits of
+    them: ids may be null or repeat, and rows of one text are masked alike.
     """
 
     @F.arrow_udf("string")
     def masked(texts: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([None if t is None else _masked(t, s or (), mark) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
-    spans = scanned.where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.transform("spans", lambda x: F.array(x["start"], x["end"])).alias("_spans"))
-    held = text_rows(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    spans = scanned.where(F.size("spans") > 0).groupBy("h0", "h1").agg(F.any_value(F.transform("spans", lambda x: F.array(x["start"], x["end"]))).alias("_spans"))
+    text = F.col(f"`{text_col}`")
+    held = text_rows(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text.cast("string").alias("_text"), *(x.alias(f"h{k}") for k, x in enumerate(_text_hashes(text))))
     # Texts without spans stay where they are.
-    joined = held.join(spans.hint("merge"), "_id", "left").withColumn("_done", masked(F.when(F.col("_spans").isNotNull(), F.col("_text")), F.col("_spans")))
+    joined = held.join(spans.hint("merge"), ["h0", "h1"], "left").withColumn("_done", masked(F.when(F.col("_spans").isNotNull(), F.col("_text")), F.col("_spans")))
     field = F.col("_row").getField
     return joined.select(*(F.when(F.col("_spans").isNull(), field(c)).otherwise(F.col("_done")).alias(c) if c == text_col else field(c).alias(c) for c in docs.columns))
 

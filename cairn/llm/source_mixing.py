@@ -20,8 +20,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from .common import SPACE_RUN, SPACES, WORD, fenced, staged
+from .common import SPACE_RUN, SPACES, WORD, fenced, staged, text_rows
 from .graph import runs
 
 BLOCK = 64
@@ -185,7 +186,7 @@ def _picked(sizes: np.ndarray, quota: int, block: int, seed: int, key: int) -> t
 
 
 def mix_sources(
-    docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: Fraction = Fraction(3, 2), seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, block: int = BLOCK, passes: int = PASSES, shard_rows: int = SHARD_ROWS, row_col: str | None = None
+    docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: Fraction = Fraction(3, 2), seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, block: int = BLOCK, passes: int = PASSES, shard_rows: int = SHARD_ROWS, carry: bool = False
 ) -> DataFrame:
     """doc_id, size, source, source_size, target, shard, passes, parts (word ranges taken once more), taken.
 
@@ -193,24 +194,24 @@ def mix_sources(
     a target stops at `passes` times its source. `size` is the words of the text unless given; null
     and empty texts have size 0 and are taken 0 times. taken never exceeds passes * size. A source's
     taken words differ from its target by rounding to blocks, once for all its shards. Rows come out
-    one for one; rows alike in id and text are told apart by nothing. `row_col`, unique, is carried
-    as `row` where it is given, and ties go by it. An empty table gives an empty result. Columns of
-    other names are not read.
+    one for one; rows alike in id and text are told apart by nothing. `carry`: each row comes with
+    all columns of docs in one, `_row`, so that nothing has to find it again. An empty table gives an
+    empty result. Columns of other names are not read otherwise.
 
     shard numbers the shards of a source; they grow in number with its rows, about `shard_rows` to
     one, whatever part of all rows a source holds. No table of sources or shards reaches the driver,
     and that of the sources is broadcast only up to BROADCAST_SOURCES.
     """
     spark = docs.sparkSession
-    own = [F.col(row_col).cast("long").alias("row")] if row_col else []
-    names_out, extra = ([*_OUT, "row"], ["row"]) if row_col else (_OUT, [])
-    text = F.col(text_col).cast("string")
+    text = F.col(f"`{text_col}`").cast("string")
     words = word_count(text) if size is None else F.coalesce(size.cast("long"), F.lit(0))
-    rows = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), F.xxhash64(text).alias("tie"), *own), "sizes")
+    lean = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), words.alias("size"), F.xxhash64(text).alias("tie")]
+    rows = staged(docs.select(*lean), "sizes")
     known, n_sources = source_targets(rows, weights, share, passes)
     told = known.select(F.col("source").alias("_source"), "rank", "source_size", "target", F.ceil(F.col("n_rows") / shard_rows).alias("_shards"))
     told = F.broadcast(told) if n_sources <= BROADCAST_SOURCES else told.hint("merge")
-    dealt = rows.join(told, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie"), F.col("_shards")).cast("long"))
+    in_shards = lambda df: df.join(told, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie"), F.col("_shards")).cast("long"))
+    dealt = in_shards(rows)
     here = dealt.groupBy("rank", "shard").agg(F.sum("size").alias("here"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     cells = staged(here.withColumn("blocks", _blocks(F.col("here"), block)).withColumn("group", F.floor(F.col("shard") / GROUP).cast("long")), "cells")
     groups = staged(cells.groupBy("rank", "group").agg(F.sum("blocks").alias("blocks"), F.first("source_size").alias("source_size"), F.first("target").alias("target")), "groups")
@@ -230,38 +231,44 @@ def mix_sources(
     by_group = groups.select("rank", "group", "blocks").join(by_source, "rank").groupBy("rank").applyInPandas(shared("group"), "rank long, group long, quota long")
     by_shard = cells.select("rank", "group", "shard", "blocks").join(by_group, ["rank", "group"]).groupBy("rank", "group").applyInPandas(shared("shard"), "rank long, shard long, quota long")
     won = by_shard.join(cells.select("rank", "shard", "here"), ["rank", "shard"])
+    if carry:
+        dealt = in_shards(text_rows(docs, *lean, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")))
+    carried = ["_row"] if carry else []
+    names_out = [*_OUT, *carried]
 
     def pick(batches):
+        # A shard's quota comes as a row before its documents: no join has to bring it to them.
         for table in runs(batches, 2):
-            key, quota = [table.column(k)[0].as_py() for k in range(2)], table.column("quota")[0].as_py()
+            key = [table.column(k)[0].as_py() for k in range(2)]
+            quota, here, first = (table.column(c)[0].as_py() for c in ("quota", "here", "doc"))
+            table = table.slice(1)
             sizes = table.column("size").to_numpy()
-            if int(sizes.sum()) != table.column("here")[0].as_py():
-                raise AssertionError("a cell came in parts")
-            whole, taken, parts = _picked(sizes, quota, block, seed, key[0] * 131 + key[1])
+            if first or int(sizes.sum()) != here:
+                raise AssertionError("a shard came in parts")
+            whole, taken, parts = _picked(sizes, quota, block, seed, key[1] * 131 + key[0])
             out = {"passes": pa.array(whole, pa.int64()), "parts": pa.array([[{"begin": a, "end": b} for a, b in p] for p in parts], _PARTS), "taken": pa.array(taken, pa.int64())}
             for name, column in out.items():
                 table = table.append_column(name, column)
             yield from table.select(names_out).combine_chunks().to_batches()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.join(won.hint("merge"), ["shard", "rank"]).withColumn("order", F.xxhash64(F.lit(seed + 1), "doc_id", "tie"))
-    ordered = ordered.select("shard", "rank", "order", "doc_id", "source", "size", "source_size", "target", "here", "quota", *extra)
-    # By a hash of the keys: by the keys themselves, the planner would drop this exchange for the
-    # join's, whose partitions adaptive execution may then split or read in another way.
-    ordered = ordered.repartition(n, F.xxhash64("shard", "rank")).sortWithinPartitions("shard", "rank", "order", "doc_id", "size", *extra)
-    return ordered.mapInArrow(pick, "doc_id long, source string, size long, source_size long, target double, shard long, passes long, parts array<struct<begin:long,end:long>>, taken long" + (", row long" if row_col else ""))
-
-
-def mixed_documents(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text", mix_col: str = "doc_id") -> DataFrame:
-    """The mix itself, with the columns of docs: a document's row once for each pass, and once more for each word range taken besides, cut to it. id_col, which mix has as mix_col, must be unique in docs: a row's number where ids may be null or repeat."""
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    plan = mix.where(F.col("taken") > 0).select(F.col(mix_col).alias("_id"), F.col("passes").alias("_passes"), F.col("parts").alias("_parts"))
+    held = dealt.select("rank", "shard", F.lit(1).alias("doc"), F.xxhash64(F.lit(seed + 1), "doc_id", "tie").alias("order"), "doc_id", "size", "source", "source_size", "target", F.lit(None).cast("long").alias("quota"), F.lit(None).cast("long").alias("here"), *carried)
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in held.schema}
+    quotas = won.select(*(F.col(c) if c in ("rank", "shard", "quota", "here") else F.lit(0).alias(c) if c == "doc" else none[c] for c in held.columns))
+    ordered = held.unionByName(quotas).repartition(n, "rank", "shard").sortWithinPartitions("rank", "shard", "doc", "order", "doc_id", "size")
+    kinds = "doc_id long, source string, size long, source_size long, target double, shard long, passes long, parts array<struct<begin:long,end:long>>, taken long"
+    return ordered.mapInArrow(pick, StructType([*StructType.fromDDL(kinds), *(held.schema[c] for c in carried)]))
+
+
+def mixed_documents(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """The mix itself, with the columns of docs: a document's row once for each pass, and once more for each word range taken besides, cut to it. Rows carry themselves, so ids may be null or repeat."""
+    mix = mix_sources(docs, text_col=text_col, carry=True, **how).where("taken > 0")
     # Words once for each document, however many ranges it has; behind a fence, or the lambda below
     # would find them again for each range.
-    words = F.when(F.size("_parts") > 0, F.regexp_extract_all("_text", F.lit(WORD + SPACE_RUN.replace("+", "*")), F.lit(0)))
-    rows = fenced(held.join(plan.hint("merge"), "_id").withColumn("_words", words))
-    whole = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_passes"), F.lit(1)).cast("int")), lambda _: F.lit(None).cast("string"))
-    cut = F.transform("_parts", lambda p: F.array_join(F.slice("_words", p["begin"].cast("int") + 1, (p["end"] - p["begin"]).cast("int")), ""))
-    copies = F.concat(F.when(F.col("_passes") > 0, whole).otherwise(F.array().cast("array<string>")), F.coalesce(cut, F.array().cast("array<string>")))
+    words = F.when(F.size("parts") > 0, F.regexp_extract_all(F.col("_row").getField(text_col).cast("string"), F.lit(WORD + SPACE_RUN.replace("+", "*")), F.lit(0)))
+    rows = fenced(mix.select("_row", "passes", "parts", words.alias("_words")))
+    whole = F.transform(F.sequence(F.lit(1), F.greatest(F.col("passes"), F.lit(1)).cast("int")), lambda _: F.lit(None).cast("string"))
+    cut = F.transform("parts", lambda p: F.array_join(F.slice("_words", p["begin"].cast("int") + 1, (p["end"] - p["begin"]).cast("int")), ""))
+    copies = F.concat(F.when(F.col("passes") > 0, whole).otherwise(F.array().cast("array<string>")), F.coalesce(cut, F.array().cast("array<string>")))
     out = rows.select("_row", F.explode(copies).alias("_copy"))
     return out.select(*(F.coalesce(F.col("_copy"), F.col("_row").getField(c)).alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cairn.llm.common import numbered, row_name, staged
+from cairn.llm.common import staged
 from cairn.llm.near_duplicates import deduplicated
 from cairn.llm.packing import pack
 from cairn.llm.quality_rules import accepted
 from cairn.llm.secret_scan import redacted, secret_scan
-from cairn.llm.source_mixing import mix_sources, mixed_documents
+from cairn.llm.source_mixing import mixed_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,17 +24,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span found is masked; n_chars follows the text."""
-    row = row_name(docs)
-    rows = numbered(docs, name=row)
-    found = secret_scan(rows, id_col=row, owner="source", repository=F.concat_ws("/", "source", "lang"))
-    return _measured(redacted(rows, found, id_col=row).drop(row))
+    return _measured(redacted(docs, secret_scan(docs, owner="source", repository=F.concat_ws("/", "source", "lang"))))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often, and as much of each, as the mix takes; an id may repeat from here on."""
-    row = row_name(docs)
-    rows = numbered(docs, name=row)
-    return _measured(mixed_documents(rows, mix_sources(rows, row_col=row), id_col=row, mix_col="row").drop(row))
+    return _measured(mixed_documents(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -325,7 +325,7 @@ def test_targets_without_the_driver(spark):
 def test_mixed_texts(spark):
     d = cases.docs(spark)
     mix = mix_sources(d)
-    out = mixed_documents(d, mix)
+    out = mixed_documents(d)
     assert out.columns == d.columns
     known = {r.doc_id: r.text for r in d.collect()}
     n = collections.Counter()

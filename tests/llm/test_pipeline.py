@@ -7,6 +7,7 @@ import pytest
 
 from cairn.llm.common import release, staged
 from cairn.llm.quality_rules import quality_rules
+from cairn.llm.source_mixing import mix_sources
 from tests.llm import cases
 from tests.llm.test_corpus_operators import grouped_rows, plain_groups
 from tests.llm.test_text_operators import _base
@@ -86,7 +87,7 @@ def test_null_and_repeated_ids(spark):
     out, want = collections.Counter(), collections.Counter()
     for r in P.source_mixing(spark, d, None).collect():
         out[r.source, r.doc_id is None] += len(cases.WORD.findall(r.text))
-    for r in P.mix_sources(d).collect():
+    for r in mix_sources(d).collect():
         want[r.source, r.doc_id is None] += r.taken
     assert out == +want and any(null for _, null in out)
     assert collections.Counter({r.doc_id: r.n for r in P.best_fit_packing(spark, d, None).groupBy("doc_id").agg(P.F.countDistinct("piece", "bin", "place").alias("n")).collect()}).keys() == {r[0] for r in rows}
@@ -94,7 +95,7 @@ def test_null_and_repeated_ids(spark):
 
 def test_clashing_names(spark):
     """Columns with dots and with the names of helpers go through every stage as they are."""
-    names = ["a.b", "_cairn_row", "_cairn_id", "_row", "_id", "_text", "_spans", "taken", "spans", "row", "size", "shard", "feature", "bin"]
+    names = ["a.b", "_cairn_row", "_cairn_id", "_row", "_id", "_text", "_spans", "taken", "spans", "row", "size", "shard", "feature", "bin", "h0", "h1", "tie", "rank", "order", "here", "quota", "parts", "passes", "_copy", "_words", "_done"]
     rows = [(k, f"password = hunter2hunter{k} " + "of the words in this text number " + " ".join(f"w{k}x{j}" for j in range(60)), "en", f"s{k % 3}", 1, *(f"{k}{n}" for n in names)) for k in range(30)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
     d = spark.createDataFrame(rows, schema)
