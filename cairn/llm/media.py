@@ -15,6 +15,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from .common import staged, text_rows
 
@@ -220,7 +221,9 @@ def media_features(rows: DataFrame, media_col: str = "media", tile: int | None =
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tiles"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.binary())]
     others = [c for c in rows.columns if c not in (media_col, tiles_col, *names)]
-    quoted = [F.col(f"`{c}`") for c in others]
+    # Names of one's own on the way through Python: any others may have dots.
+    quoted = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]
+    held = [f"c{k}" for k in range(len(others))]
 
     def features(batches):
         for batch in batches:
@@ -239,10 +242,10 @@ def media_features(rows: DataFrame, media_col: str = "media", tile: int | None =
                 cut = [npy(x) for x in tiles(pixels, tile)] if tile else None
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, cut))
             columns = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(others))), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*others, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(others))), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*held, *names])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*quoted).schema.fields)
-    return rows.select(*quoted, F.col(f"`{media_col}`"), *([F.col(f"`{tiles_col}`")] if tiles_col else [])).mapInArrow(features, kinds + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tiles array<binary>")
+    kinds = StructType([*rows.select(*quoted).schema, *StructType.fromDDL("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tiles array<binary>")])
+    return rows.select(*quoted, F.col(f"`{media_col}`"), *([F.col(f"`{tiles_col}`")] if tiles_col else [])).mapInArrow(features, kinds).toDF(*others, *names)
 
 
 def stored_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int | None = None) -> DataFrame:

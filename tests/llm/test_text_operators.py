@@ -326,6 +326,9 @@ def test_image_formats(spark):
     fine = np.repeat(np.repeat(x, 6, axis=0), 10, axis=1)  # each target pixel is whole here
     assert np.allclose(media.area_resized(x, 6, 10), fine.reshape(6, 11, 10, 7).mean(axis=(1, 3)))
     assert (np.load(__import__("io").BytesIO(media.npy(x))) == x).all() and media.difference_hash(np.tile(np.arange(90), (8, 1))) == "ff" * 8
+    clash = spark.createDataFrame([(1, bytearray(media.encode_netpbm(np.ones((2, 2), np.uint8))), "x", ("y",))], "id long, media binary, feature string, `a.b` struct<`c.d`:string>")
+    row = media.media_features(clash).first()
+    assert row["a.b"]["c.d"] == "y" and len(row.feature) == 32 and row.payload_bytes == 4
     rows = media.media_features(spark.createDataFrame([(1, bytearray(b"junk")), (2, None)], "id long, media binary")).collect()
     assert [(r.id, r.payload_bytes, r.feature) for r in rows] == [(1, None, None), (2, None, None)]
 
