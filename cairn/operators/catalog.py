@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from ..functions.paths import depth
+from .ranges import in_ranges, over_range, with_totals
 
 _SAME = ("mode", "uid", "gid", "size", "mtime")
 
@@ -37,6 +38,12 @@ def listed(folded: DataFrame) -> DataFrame:
     return out.withColumn("size", F.when(F.col("type") == "hardlink", F.col("_size")).otherwise(F.col("size"))).withColumn("type", F.when(F.col("type") == "hardlink", "file").otherwise(F.col("type"))).drop("_size")
 
 
+def observed(entries: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
+    """entries, and what has passed when an action on them is done: entry_count and input_bytes. A listener sees each streaming batch's."""
+    seen = Observation(name)
+    return entries.observe(seen, F.count("*").alias("entry_count"), F.coalesce(F.sum(F.when(F.col("type") == "file", F.col("size"))), F.lit(0)).alias("input_bytes")), seen
+
+
 def totals(entries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """entry_count and input_bytes (of regular files)."""
     return entries.groupBy(*by).agg(F.count("*").alias("entry_count"), F.coalesce(F.sum(F.when(F.col("type") == "file", F.col("size"))), F.lit(0)).cast("long").alias("input_bytes"))
@@ -44,8 +51,11 @@ def totals(entries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def content_offsets(entries: DataFrame, by: str = "archive", start: int = 8) -> DataFrame:
     """entries with `offset`: where each one's content begins in its archive's content region, in path order; `start` bytes come first."""
-    w = W.partitionBy(by).orderBy("path").rowsBetween(W.unboundedPreceding, -1)
-    return entries.withColumn("offset", (F.lit(start) + F.coalesce(F.sum(F.when(F.col("type") == "file", F.col("size")).otherwise(0)).over(w), F.lit(0))).cast("long"))
+    held = F.when(F.col("type") == "file", F.col("size")).otherwise(0)
+    ranged = in_ranges(entries.withColumn("_held", held), by, ("path",), "offsets")
+    joined = with_totals(ranged, by, {"_sum": F.sum("_held")}, lambda w: {"_before": F.coalesce(F.sum("_sum").over(w), F.lit(0))})
+    here = F.sum("_held").over(over_range(by, ("path",))) - F.col("_held")
+    return joined.withColumn("offset", (F.lit(start) + F.col("_before") + here).cast("long")).select(*entries.columns, "offset")
 
 
 def archive_keys(root: str = "") -> list[Column]:

@@ -69,6 +69,13 @@ def capacity(history: DataFrame, by: str = "account") -> DataFrame:
     return out.withColumn("fits", (F.col("n_rows") <= MOST_ROWS) & (F.col("n_bytes") <= MOST_BYTES))
 
 
+def within_capacity(history: DataFrame, by: str = "account") -> DataFrame:
+    """history; an account beyond either limit of its listing raises."""
+    over = capacity(history, by).where("NOT fits").select(by, F.lit(True).alias("_over"))
+    told = F.when(F.col("_over"), F.raise_error(F.concat(F.lit("listing is too large: "), F.col(by).cast("string"))).cast("boolean"))
+    return history.join(over, by, "left").where(told.isNull()).select(*history.columns)
+
+
 def upsert(presets: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """presets with rows of new in place of those of the same keys."""
     return presets.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.paths import parent
+from .ranges import in_ranges, over_range, with_totals
 from .select import nearest_existing
 
 
@@ -27,12 +28,23 @@ def space_needed(steps: DataFrame, volume: str = "volume", order: tuple[str, ...
     The fold `occupied += size; peak = max; occupied -= min(occupied, reclaimed)` in closed form:
     with c the running sum of size - reclaimed, occupied after a step is c - min(0, least c so far).
     """
-    w = W.partitionBy(volume).orderBy(*order)
-    so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    a = steps.withColumn("c", F.sum(F.col("size") - F.col("reclaimed")).over(so_far))
-    b = a.withColumn("occupied", F.col("c") - F.least(F.lit(0), F.min("c").over(so_far)))
-    d = b.withColumn("need", F.lag("occupied", 1, 0).over(w) + F.col("size"))
-    return d.groupBy(volume).agg(F.max("need").cast("long").alias("needed"))
+    ranged = in_ranges(steps.select(volume, *order, "size", (F.col("size") - F.col("reclaimed")).alias("_d")), volume, order, "steps")
+    w = over_range(volume, order)
+    lean = ranged.withColumn("_c", F.sum("_d").over(w))
+    ends = {"_sum": F.sum("_d"), "_low": F.min("_c")}
+
+    def before(earlier) -> dict[str, Column]:
+        start = F.coalesce(F.sum("_sum").over(earlier), F.lit(0))
+        return {"_before": start, "_here": start + F.col("_low")}
+
+    parts = with_totals(lean, volume, ends, before)
+    # The least sum of earlier ranges, from their starts and own least ones.
+    lows = parts.select(volume, "_range", "_here").distinct().withColumn("_least", F.min("_here").over(W.partitionBy(volume).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)))
+    joined = parts.join(lows.select(volume, "_range", "_least").hint("merge"), [volume, "_range"]).withColumn("c", F.col("_before") + F.col("_c"))
+    # Before a step: the sum without it, and the least sum so far, which nothing is at the start.
+    past = F.col("c") - F.col("_d")
+    least = F.least(F.lit(0), F.coalesce("_least", F.lit(0)), F.coalesce(F.min("c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return joined.select(volume, (past - least + F.col("size")).alias("need")).groupBy(volume).agg(F.max("need").cast("long").alias("needed"))
 
 
 def space_short(needed: DataFrame, volumes: DataFrame) -> DataFrame:

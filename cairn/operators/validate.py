@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.paths import ancestors, is_inside, is_safe
+from .ranges import staged
 
 MOST_ENTRIES = 1_000_000
 
@@ -39,8 +40,10 @@ def row_violations(entries: DataFrame) -> DataFrame:
 
 
 def entry_violations(entries: DataFrame, root: str, most: int = MOST_ENTRIES) -> DataFrame:
-    """Rules across entries (ord, path, type_id, link_target, and mode, uid, gid, mtime for aliases): unsafe or repeated paths, outside the root, root not first, ancestors that are missing or no directories, aliases without an earlier file of the same metadata, too many or none."""
+    """Rules across entries (ord, path, type_id, link_target, and mode, uid, gid, mtime for aliases): unsafe or repeated paths, outside the root, root not first, ancestors that are missing or no directories, aliases without an earlier file of the same metadata, too many or none. Entries are staged, as each rule reads them."""
     c = F.col
+    meta = ["mode", "uid", "gid", "mtime"]
+    entries = staged(entries.select("ord", "path", "type_id", "link_target", *meta), "entries")
     alone = _rules(entries, c("path"), {"unsafe": ~is_safe("path"), "outside": ~is_inside("path", F.lit(root))})
     repeated = entries.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate").alias("rule"), c("path").alias("key"))
     first = entries.agg(F.min_by(F.struct("path", "type_id"), "ord").alias("f"), F.count("*").alias("n"))
@@ -50,7 +53,6 @@ def entry_violations(entries: DataFrame, root: str, most: int = MOST_ENTRIES) ->
     up = entries.select("path", F.explode(ancestors("path")).alias("_up"))
     bad = up.select("_up").distinct().join(kinds, "_up", "left").where("_dir IS NULL OR NOT _dir").select("_up", F.when(c("_dir").isNull(), "parent_missing").otherwise("parent_type").alias("rule"))
     lineage = up.join(bad, "_up").select("rule", c("path").alias("key"))
-    meta = ["mode", "uid", "gid", "mtime"]
     files = entries.where("type_id = 1").select(c("path").alias("link_target"), c("ord").alias("_ord"), *(c(m).alias(f"_{m}") for m in meta))
     same = reduce(lambda a, b: a & b, (c(m).eqNullSafe(c(f"_{m}")) for m in meta))
     aliases = entries.where("type_id = 8").join(files, "link_target", "left")
@@ -58,6 +60,14 @@ def entry_violations(entries: DataFrame, root: str, most: int = MOST_ENTRIES) ->
     return reduce(DataFrame.unionByName, [alone, repeated, whole, lineage, links])
 
 
+def content_violations(entries: DataFrame, archives: DataFrame, start: int = 8) -> DataFrame:
+    """Content outside its archive's content region: entries (archive, path, type_id, size, offset), archives (archive, content_end)."""
+    joined = entries.join(archives.select("archive", "content_end"), "archive")
+    file = F.col("type_id") == 1
+    inside = (F.col("offset") >= start) & (F.col("offset") <= F.col("content_end")) & (F.col("size") <= F.col("content_end") - F.col("offset"))
+    return _rules(joined, F.concat_ws(":", F.col("archive").cast("string"), "path"), {"content": file & ~inside, "offset": ~file & (F.col("offset") != 0)})
+
+
 def header_violations(headers: DataFrame) -> DataFrame:
     """Rules of an archive header (archive, magic, version, header_size, flags, pack, compression, encryption, reserved)."""
     c = F.col

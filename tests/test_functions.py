@@ -109,3 +109,51 @@ def test_paths(spark):
     for bad in ("", ".", "/etc/passwd", "../outside", "docs/manual/../readme.md"):
         with pytest.raises(Exception, match="selected"):
             spark.createDataFrame([(bad,)], "p string").select(normalized("p")).collect()
+
+
+def test_codecs_a_piece_at_a_time():
+    import io
+    import random
+
+    from cairn.functions.codecs import COMPRESS, PIECES, UNPACKED
+
+    rng = random.Random(4)
+    skewed, a, b = b"", 1, 1
+    for k in range(20):  # code lengths beyond the tables' width
+        skewed, a, b = skewed + bytes([k]) * a, b, a + b
+    for data in (b"", b"a", bytes(5000), skewed, bytes(rng.randrange(256) for _ in range(3000)), b"abc" * 900 + bytes(130) + b"xy" * 3, b"".join(bytes([rng.randrange(3)]) * rng.randrange(1, 300) for _ in range(60))):
+        for name in COMPRESS:
+            for step in (1, 5, 128, 129, 4096):
+                stream = b"".join(PIECES[name](lambda: (data[k : k + step] for k in range(0, len(data), step)), len(data)))
+                assert stream == COMPRESS[name](data)
+                assert b"".join(UNPACKED[name](io.BytesIO(stream).read, len(data))) == data
+
+
+def test_options():
+    from cairn import options as O
+    from cairn.operators.validate import Invalid
+
+    o = O.parsed(["backup", "src", "-o", "x.bak", "--include", "a", "--include", "b", "--compress", "lz77"])
+    assert o.operands == ["src"] and o.required("-o") == "x.bak" and o.repeated == {"--include": ["a", "b"]} and o.values["--compress"] == "lz77" and not o.flags
+    assert O.parsed(["restore", "x", "-d", "to", "--overwrite"]).flags == {"--overwrite"}
+    for bad in ([], ["fly"], ["backup", "--overwrite"], ["backup", "-o"], ["backup", "-o", "--pack"], ["backup", "-o", "x", "-o", "y"], ["restore", "--overwrite", "--overwrite"], ["inspect", "--include", "x"], ["user", "extra"]):
+        with pytest.raises(Invalid):
+            O.parsed(bad)
+    with pytest.raises(Invalid):
+        o.required("--key-file")
+    assert O.check_algorithms("index", "none", "none", incremental=True) and not O.check_algorithms("index", "none", "aes256", "pw", incremental=True)
+    for bad in (("zip", "none", "none", ""), ("index", "gz", "none", ""), ("index", "none", "aes256", "")):
+        with pytest.raises(Invalid):
+            O.check_algorithms(*bad)
+    assert O.settled({"port": 1, "host": None}, {"host": "h", "port": 2}, {"host": "d", "keep": 5}) == {"port": 1, "host": "h", "keep": 5}
+
+
+def test_file_secrets(tmp_path):
+    from cairn.operators.validate import Invalid
+    from cairn.options import file_secret
+
+    (tmp_path / "a").write_bytes(b"pass word\r\n\n")
+    (tmp_path / "b").write_bytes(b"\n")
+    assert file_secret(str(tmp_path / "a")) == "pass word"
+    with pytest.raises(Invalid):
+        file_secret(str(tmp_path / "b"))

@@ -179,3 +179,144 @@ def test_snapshots_are_kept(tree, tmp_path):
     (folder / "manual.bak").write_bytes(b"x")
     names = [api.snapshot(str(tree), str(folder), 2) for _ in range(4)]
     assert sorted(os.listdir(folder)) == sorted([*names[2:], "manual.bak"])
+
+
+def test_bounded_memory(tmp_path):
+    """A file far larger than what is held; the peak is that of another process, which does nothing else."""
+    import subprocess
+    import sys
+
+    top = tmp_path / "big"
+    (top / "sub").mkdir(parents=True)
+    with open(top / "sub" / "f", "wb") as f:
+        f.truncate(200 << 20)
+    (tmp_path / "to").mkdir()
+    run = "import resource, sys; from cairn import api; before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; a = sys.argv[1]; api.backup(a + '/big', a + '/x.bak'); r = api.restore(a + '/x.bak', a + '/to'); print(r.output_bytes, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)"
+    out = subprocess.run([sys.executable, "-c", run, str(tmp_path)], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).stdout.split()
+    assert int(out[0]) == 200 << 20 and int(out[1]) < 32 << 10
+
+
+def test_progress_and_cancellation(tree, tmp_path):
+    from cairn import api
+
+    seen = []
+    made = api.backup(str(tree), str(tmp_path / "p.bak"), compression="huffman", progress=lambda done, total: seen.append((done, total)))
+    assert seen[-1][0] == seen[-1][1] and all(a[1] == seen[0][1] for a in seen) and made.entry_count > 10
+
+    def stop(done, total):
+        raise A.Cancelled("stopped")
+
+    with pytest.raises(A.Cancelled):
+        api.backup(str(tree), str(tmp_path / "q.bak"), progress=stop)
+    assert sorted(os.listdir(tmp_path)) == ["p.bak", "testsrc"]
+    seen.clear()
+    assert api.verify(str(tmp_path / "p.bak"), progress=lambda *x: seen.append(x)).entry_count == made.entry_count and seen
+
+
+def test_partial_restore_says_how_far_it_came(tree, tmp_path):
+    from cairn import api
+    from cairn.sources.extract import Partial
+
+    api.backup(str(tree), str(tmp_path / "a.bak"))
+    (tmp_path / "to").mkdir()
+
+    def fail(done, total):
+        if done:
+            raise OSError("no more")
+
+    with pytest.raises(Partial) as e:
+        api.restore(str(tmp_path / "a.bak"), str(tmp_path / "to"), progress=fail)
+    files = [os.path.join(d, x) for d, _, f in os.walk(tmp_path / "to") for x in f]
+    assert e.value.committed == len(files) > 0 and not [x for x in files if x.endswith(".part")]
+
+
+def test_no_room_and_locked_folders(tree, tmp_path, monkeypatch):
+    from cairn import api
+    from cairn.sources import extract
+
+    api.backup(str(tree), str(tmp_path / "a.bak"))
+    (tmp_path / "to").mkdir()
+    plain = os.statvfs
+    monkeypatch.setattr(extract.os, "statvfs", lambda p: os.statvfs_result((*plain(p)[:4], 0, *plain(p)[5:])))
+    with pytest.raises(FileExistsError, match="space"):
+        api.restore(str(tmp_path / "a.bak"), str(tmp_path / "to"))
+    monkeypatch.setattr(extract.os, "statvfs", plain)
+    monkeypatch.setattr(extract.os, "access", lambda *a: False)
+    with pytest.raises(FileExistsError, match="locked"):
+        api.restore(str(tmp_path / "a.bak"), str(tmp_path / "to"))
+    assert not os.listdir(tmp_path / "to")
+
+
+def test_archives_in_ranges(spark, tree, tmp_path):
+    from cairn import api
+
+    register(spark)
+    out = str(tmp_path / "a.bak")
+    api.backup(str(tree), out)
+    whole = spark.read.format("archive").load(out)
+    cut = spark.read.format("archive").option("splitBytes", "300").load(out)
+    assert whole.rdd.getNumPartitions() == 1 < cut.rdd.getNumPartitions() and sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))
+    raw = bytearray(open(out, "rb").read())
+    raw[130] ^= 1
+    bad = tmp_path / "b.bak"
+    bad.write_bytes(raw)
+    with pytest.raises(Exception, match="digest"):
+        spark.read.format("archive").option("splitBytes", "300").load(str(bad)).count()
+
+
+def test_listing_of_a_source(spark, tree):
+    from cairn import api
+
+    os.link(tree / "hello.txt", tree / "same.txt")
+    got = {r.path: r for r in api.listing(spark, str(tree)).collect()}
+    assert len(got) == sum(len(d) + len(f) for _, d, f in os.walk(tree)) and got["same.txt"].type == "file" and got["same.txt"].size == got["hello.txt"].size == 6
+    assert got["中文目录/数据.txt"].size == 6 and got["pipe"].type == "fifo" and "testsrc" not in got
+
+
+def test_watch_on_changes(tree, tmp_path):
+    from cairn import api
+
+    folder, waits = tmp_path / "out", []
+    folder.mkdir()
+
+    def wait(seconds):
+        waits.append(seconds)
+        if len(waits) == 3:
+            (tree / "new").write_bytes(b"x")
+        return len(waits) > 6
+
+    assert api.watch(str(tree), str(folder), 5, 100, wait, realtime=True) == 2 and len(os.listdir(folder)) == 2
+    waits.clear()
+    assert api.watch(str(tree), str(folder), 3, 100, lambda s: waits.append(s) or len(waits) > 3) == 4 and len(os.listdir(folder)) == 3
+    with pytest.raises(ValueError):
+        api.watch(str(tree), str(tree / "x"), 3, 100, wait)
+
+
+def test_saved_stores(tmp_path):
+    users = [stores.User("a.b", bytes(16), bytes(32)), stores.User("c", b"s" * 16, b"v" * 32)]
+    path = str(tmp_path / "users")
+    assert stores.load_users(stores.held(path)) == []
+    stores.save_users(path, users[:1])
+    stores.save_users(path, users)
+    assert stores.load_users(stores.held(path)) == users and os.listdir(tmp_path) == ["users"] and stat.S_IMODE(os.stat(path).st_mode) == 0o600
+    assert stores.find_user(users, "c") == users[1] and stores.find_user(users, "d") is None
+    with pytest.raises(Malformed):
+        stores.save_users(path, [users[0], users[0]])
+    assert stores.load_users(stores.held(path)) == users
+    account = tmp_path / "account"
+    account.mkdir()
+    for k in range(5):
+        stores.save_backup(str(account / f"{k:032x}.meta"), stores.Backup("n", 100 + k // 2, k, "a" * 64))
+    (account / "x.meta").write_bytes(b"")
+    (account / f"{9:032x}.bak").write_bytes(b"")
+    assert [(int(i, 16), b.timestamp) for i, b in stores.account_history(str(account))] == [(4, 102), (2, 101), (3, 101), (0, 100), (1, 100)]
+
+
+def test_wire_fields():
+    data = stores.to_wire("BHIQs", 1, 2, 3, 4, "é\udcff")
+    assert data == bytes([1, 0, 2, 0, 0, 0, 3, 0, 0, 0, 0, 0, 0, 0, 4, 0, 3]) + "é".encode() + b"\xff" and stores.from_wire("BHIQs", data) == (1, 2, 3, 4, "é\udcff")
+    for bad in (data[:-1], data + b"x", data[:5], b""):
+        with pytest.raises(Malformed):
+            stores.from_wire("BHIQs", bad)
+    with pytest.raises(Malformed):
+        stores.to_wire("s", "x" * 70_000)
