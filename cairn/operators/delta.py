@@ -21,6 +21,12 @@ def blocks(blobs: DataFrame, size: int = BLOCK) -> DataFrame:
     return parts.select("id", F.col("block_no").cast("long").alias("block_no"), F.length("content").cast("long").alias("len"), F.sha2("content", 256).alias("sha256"), "content")
 
 
+def range_digest(content, offset, length):
+    """SHA-256 of bytes `offset` to `offset + length` of binary content; a range that is not there raises."""
+    there = (offset >= 0) & (length >= 0) & (offset + length <= F.octet_length(content))
+    return F.when(there, F.sha2(F.substr(content, (offset + 1).cast("int"), length.cast("int")), 256)).otherwise(F.raise_error(F.lit("range is outside the content")).cast("string"))
+
+
 def choose_base(versions: DataFrame, series: str = "series", order: str = "id", encryption: str | None = None) -> DataFrame:
     """id, base: the newest earlier version of the same non-empty series; null means a full upload. Content stays out of the sort.
 
@@ -70,9 +76,10 @@ def resolved(refs: DataFrame, base_blocks: DataFrame, size: int = BLOCK) -> Data
     return refs.where("copy IS NULL").select("id", "place", "content").unionByName(copied)
 
 
-def reuse(deltas: DataFrame) -> DataFrame:
-    """Blocks, reused blocks and reused length of each id."""
-    return deltas.groupBy("id").agg(F.count("*").alias("n_blocks"), F.count_if("reused").alias("n_reused"), F.coalesce(F.sum(F.when(F.col("reused"), F.col("len"))), F.lit(0)).cast("long").alias("reused_len"))
+def reuse(deltas: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """Blocks, reused blocks and reused length of each id; of all of versions where they are given, empty ones included."""
+    out = deltas.groupBy("id").agg(F.count("*").alias("n_blocks"), F.count_if("reused").alias("n_reused"), F.coalesce(F.sum(F.when(F.col("reused"), F.col("len"))), F.lit(0)).cast("long").alias("reused_len"))
+    return out if versions is None else versions.select("id").join(out, "id", "left").na.fill(0, ["n_blocks", "n_reused", "reused_len"])
 
 
 def apply_delta(deltas: DataFrame, base_blocks: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalars import is_snapshot_of, valid_backup_id
 
@@ -53,8 +53,13 @@ def latest(history: DataFrame, by: str = "name") -> DataFrame:
     return best.select(by, "b.row.*")
 
 
+def listing_keys() -> list[Column]:
+    """Sort keys of a history: newest first, then by id."""
+    return [F.desc("timestamp"), F.col("id").asc()]
+
+
 def listing(history: DataFrame) -> DataFrame:
-    return history.orderBy(F.desc("timestamp"), "id")
+    return history.orderBy(*listing_keys())
 
 
 def search(history: DataFrame, needle: str) -> DataFrame:

@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 import hashlib
+import os
+import tempfile
 
+import pandas as pd
 import pyarrow as pa
 
 from ..functions import ciphers, scalars as S
 from ..functions.codecs import COMPRESS, DECOMPRESS
 from ..functions.paths import ancestors, basename, depth, extension, is_hidden, is_safe, parent
-from .. import options
+from .. import api, options
 from ..sources import archive
 from ..operators import bytes as raw_bytes, catalog, delta, history, restore, select, validate
 from ..streaming.coalesce import triggers
@@ -46,17 +49,18 @@ def _deltas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return delta.delta(cut, cut, delta.choose_base(versions)), cut
 
 
-@query(f"""WITH {_BLOCKS} SELECT n.id, count(*) AS n_blocks, count(*) FILTER (WHERE n.part = o.part) AS n_reused, CAST(coalesce(sum(length(n.part)) FILTER (WHERE n.part = o.part), 0) AS BIGINT) AS reused_len
-FROM b n LEFT JOIN bases ON bases.id = n.id LEFT JOIN b o ON o.id = bases.base AND o.block_no = n.block_no GROUP BY n.id""")
+@query(f"""WITH {_BLOCKS} SELECT v.id, count(n.id) AS n_blocks, count(*) FILTER (WHERE n.part = o.part) AS n_reused, CAST(coalesce(sum(length(n.part)) FILTER (WHERE n.part = o.part), 0) AS BIGINT) AS reused_len
+FROM v LEFT JOIN b n ON n.id = v.id LEFT JOIN bases ON bases.id = n.id LEFT JOIN b o ON o.id = bases.base AND o.block_no = n.block_no GROUP BY v.id""")
 def delta_reuse(spark, sf_dir):
-    return delta.reuse(_deltas(spark, sf_dir)[0])
+    return delta.reuse(_deltas(spark, sf_dir)[0], B.blobs(spark, sf_dir))
 
 
-@query("SELECT doc_id AS id, sha256(text) AS sha256, CAST(length(text) AS BIGINT) AS len FROM documents WHERE text <> ''")
+@query("SELECT doc_id AS id, sha256(coalesce(text, '')) AS sha256, CAST(length(coalesce(text, '')) AS BIGINT) AS len FROM documents")
 def delta_apply(spark, sf_dir):
-    """Versions rebuilt from their deltas: equal to the versions themselves."""
+    """Versions rebuilt from their deltas, empty ones too: equal to the versions themselves."""
     deltas, cut = _deltas(spark, sf_dir)
-    whole = delta.assembled(delta.apply_delta(deltas, cut))
+    declared = B.blobs(spark, sf_dir).select("id", F.octet_length("content").alias("declared_size"), F.sha2("content", 256).alias("declared_sha256"))
+    whole = delta.assembled(delta.apply_delta(deltas, cut), declared)
     return whole.select("id", F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("len"))
 
 
@@ -713,3 +717,63 @@ def hardlink_versions(spark, sf_dir):
     o = B.table(spark, sf_dir, "orders")
     headers = o.select(F.col("o_custkey").alias("archive"), (F.col("o_custkey") % 4).alias("version")).distinct()
     return validate.hardlink_versions(headers, o.select(F.col("o_custkey").alias("archive"), F.when(F.col("o_orderkey") % 6 == 0, 8).otherwise(1).alias("type_id")))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS archive, l_linenumber AS n, CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS type_id, l_partkey AS size, 8 + l_linenumber * 40 AS o FROM lineitem)
+SELECT CASE WHEN type_id = 1 THEN 'content' ELSE 'offset' END AS rule, archive || ':' || n AS key FROM a WHERE type_id = 2 OR o > 200 OR size > 200 - o""")
+def validate_contents(spark, sf_dir):
+    n = F.col("l_linenumber")
+    e = B.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("archive"), n.cast("string").alias("path"), F.when(F.col("l_returnflag") == "R", 2).otherwise(1).alias("type_id"), F.col("l_partkey").alias("size"), (n * 40 + 8).alias("offset"))
+    return validate.content_violations(e, e.select("archive").distinct().withColumn("content_end", F.lit(200)))
+
+
+@query("SELECT doc_id AS id, sha256(unhex(substr(hex(encode(text)), 1 + 2 * CAST(doc_id % 7 AS INT), 2 * CAST(strlen(text) - doc_id % 7 - doc_id % 3 AS INT)))) AS sha256 FROM documents WHERE strlen(text) >= 10")
+def range_digests(spark, sf_dir):
+    d = B.table(spark, sf_dir, "documents").where(F.octet_length("text") >= 10).select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("content"))
+    k = F.col("id")
+    return d.select("id", delta.range_digest(F.col("content"), k % 7, F.octet_length("content") - k % 7 - k % 3).alias("sha256"))
+
+
+@query(f"WITH {B.HISTORY_SQL} SELECT account, id, row_number() OVER (PARTITION BY account ORDER BY timestamp DESC, id) AS place FROM history")
+def history_order(spark, sf_dir):
+    return B.history(spark, sf_dir).select("account", "id", F.row_number().over(W.partitionBy("account").orderBy(*history.listing_keys())).cast("long").alias("place"))
+
+
+_JOBS = [("stream", "none", "none"), ("index", "rle", "chacha20"), ("stream", "huffman", "aes256"), ("index", "lz77", "none")]
+
+
+@query(f"""SELECT j AS job, 't/' || (item_id % 4) || '/' || item_id || '.txt' AS path, 'file' AS type, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256 FROM benchmark, (SELECT unnest({['-'.join(j) for j in _JOBS]}) AS j)
+UNION ALL SELECT j, 't/' || g || '/again', 'file', CAST(strlen(text) AS BIGINT), sha256(text) FROM (SELECT item_id % 4 AS g, arg_min(text, item_id) AS text FROM benchmark GROUP BY 1), (SELECT unnest({['-'.join(j) for j in _JOBS]}) AS j)
+UNION ALL SELECT j, 't/' || g || '/link', 'symlink', 0, 'again' FROM (SELECT DISTINCT item_id % 4 AS g FROM benchmark), (SELECT unnest({['-'.join(j) for j in _JOBS]}) AS j)""")
+def backup_round_trip(spark, sf_dir):
+    """Trees on a task's own disk, in folders that go with it: scanned, backed up, verified and restored by every packing, codec and cipher, a hard link and a symbolic one among them."""
+
+    def run(rows):
+        group, out = int(rows["item_id"].iloc[0] % 4), []
+        rows = rows.sort_values("item_id")
+        with tempfile.TemporaryDirectory() as work:
+            top = os.path.join(work, "t")
+            os.makedirs(os.path.join(top, str(group)))
+            for item, text in zip(rows["item_id"], rows["text"], strict=True):
+                with open(os.path.join(top, str(group), f"{item}.txt"), "wb") as f:
+                    f.write(text.encode())
+            os.link(os.path.join(top, str(group), f"{rows['item_id'].iloc[0]}.txt"), os.path.join(top, str(group), "again"))
+            os.symlink("again", os.path.join(top, str(group), "link"))
+            for k, (pack, compression, encryption) in enumerate(_JOBS):
+                made, to = os.path.join(work, f"{k}.bak"), os.path.join(work, str(k))
+                os.mkdir(to)
+                sizes = api.backup(top, made, pack, compression, encryption, "secret").input_bytes, api.verify(made, "secret").input_bytes, api.restore(made, to, "secret").output_bytes
+                if len(set(sizes)) > 1:
+                    raise AssertionError("sizes differ")
+                for name in os.listdir(os.path.join(to, "t", str(group))):
+                    full = os.path.join(to, "t", str(group), name)
+                    path, job = f"t/{group}/{name}", "-".join(_JOBS[k])
+                    if os.path.islink(full):
+                        out.append((job, path, "symlink", 0, os.readlink(full)))
+                    else:
+                        with open(full, "rb") as f:
+                            raw = f.read()
+                        out.append((job, path, "file", len(raw), hashlib.sha256(raw).hexdigest()))
+        return pd.DataFrame(out, columns=["job", "path", "type", "size", "sha256"])
+
+    return B.table(spark, sf_dir, "benchmark").select("item_id", "text").groupBy(F.col("item_id") % 4).applyInPandas(run, "job string, path string, type string, size long, sha256 string")
