@@ -13,7 +13,7 @@ from .media import media_features, stored_media
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .quality_rules import oracle_sql as quality_sql, quality_rules
-from .secret_scan import digest, joined_spans, secret_scan
+from .secret_scan import digest, joined_spans, joined_verdicts, secret_scan
 from .source_mixing import mix_sources
 from .substring_dedup import without_repeats
 from .token_counts import token_counts
@@ -38,7 +38,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(documents(spark, sf_dir), owner="source", repository=F.concat_ws("/", "source", "lang"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest(F.col("base_spans")).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"), "n_owned", "n_owner_specific", "n_widely_copied")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest(F.col("base_spans")).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"), "n_owned", "n_owner_specific", "n_widely_copied", joined_verdicts(F.col("judged")).alias("verdicts"))
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

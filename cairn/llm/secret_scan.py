@@ -70,7 +70,7 @@ _OWNED = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("hash"
 def secret_scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | str = "source", repository: Column | str | None = None, most_owners: int = 2, most_repositories: int = 6
 ) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_spans and spans (arrays of start, kind, end; code points, end exclusive), n_owned, n_owner_specific, n_widely_copied, h0 and h1 (128 bits of the text).
+    """doc_id, n_assign, n_access, n_hex, base_spans and spans (arrays of start, kind, end; code points, end exclusive), judged (start, end, n_owners, n_repositories and specific of each candidate place, those inside base spans too), n_owned, n_owner_specific, n_widely_copied, h0 and h1 (128 bits of the text).
 
     A candidate hash that at most `most_owners` owners and `most_repositories` repositories have is
     owner-specific: its places not inside a base span become spans of kind `owned`. One beyond
@@ -106,16 +106,25 @@ def secret_scan(
         places.join(frequency.hint("merge"), "hash")
         .withColumn("specific", (F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories))
         .groupBy("row")
-        .agg(F.sort_array(F.collect_list(F.when(F.col("specific"), F.struct("start", F.lit(3).alias("kind"), "end")))).alias("more"), F.count_if("specific").alias("n_owner_specific"), F.count_if(~F.col("specific")).alias("n_widely_copied"))
+        .agg(F.sort_array(F.collect_list(F.struct("start", "end", "n_owners", "n_repositories", "specific"))).alias("judged"))
     )
     inside = lambda x: F.exists("base_spans", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
-    joined = found.join(judged.hint("merge"), "row", "left").withColumn("added", F.filter(F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>")), lambda x: ~inside(x)))
+    judged_of = F.coalesce("judged", F.array().cast(judged.schema["judged"].dataType))
+    joined = found.join(judged.hint("merge"), "row", "left").withColumn("judged", judged_of)
+    joined = joined.withColumn("added", F.transform(F.filter("judged", lambda x: x["specific"] & ~inside(x)), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end"))))
+    specific = F.size(F.filter("judged", lambda x: x["specific"])).cast("long")
     return joined.select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_spans", F.sort_array(F.concat("base_spans", "added")).alias("spans"),
-        F.size("added").cast("long").alias("n_owned"), F.coalesce("n_owner_specific", F.lit(0)).cast("long").alias("n_owner_specific"), F.coalesce("n_widely_copied", F.lit(0)).cast("long").alias("n_widely_copied"), "h0", "h1",
+        "doc_id", "n_assign", "n_access", "n_hex", "base_spans", F.sort_array(F.concat("base_spans", "added")).alias("spans"), "judged",
+        F.size("added").cast("long").alias("n_owned"), specific.alias("n_owner_specific"), (F.size("judged") - specific).alias("n_widely_copied"), "h0", "h1",
     )
 
 
+def joined_verdicts(judged: Column) -> Column:
+    """start:end:owners:repositories:verdict of each candidate place, comma-joined."""
+    verdict = lambda x: F.when(x["specific"], "owner").otherwise("copied")
+    return F.array_join(F.transform(judged, lambda x: F.concat_ws(":", *(x[c].cast("string") for c in ("start", "end", "n_owners", "n_repositories")), verdict(x))), ",")
+
+
 def _text_hashes(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text.cast("string")), F.xxhash64(F.lit(1), text.cast("string"))
 

@@ -73,6 +73,25 @@ def test_ownership(spark):
     assert clean[1].text == "see [SECRET] here" and clean[9].text == "[SECRET]" and clean[21].text is None and clean[22].text == "[SECRET] [SECRET]" and clean[3].text == rows[3][1]
 
 
+def test_verdicts_against_plain_counts(spark):
+    """Every candidate place of a table, with the distinct owners and repositories of its string."""
+    from cairn.llm.secret_scan import RUN, looks_live
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    owners, repositories = collections.defaultdict(set), collections.defaultdict(set)
+    for r in rows:
+        for m in RUN.finditer(r.text or ""):
+            owners[m[0]].add(r.source)
+            repositories[m[0]].add((r.source, r.lang))
+    want = {}
+    for r in rows:
+        live = [m for m in RUN.finditer(r.text or "") if looks_live(m[0])]
+        few = lambda x: "owner" if len(owners[x]) <= 2 and len(repositories[x]) <= 6 else "copied"
+        want[r.doc_id] = ",".join(f"{m.start()}:{m.end()}:{len(owners[m[0]])}:{len(repositories[m[0]])}:{few(m[0])}" for m in live)
+    got = {r.doc_id: r.verdicts for r in queries.op1_secret_scans(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want and any(want.values())
+
+
 def test_redaction_of_many_spans(spark):
     """In time that grows with the text, not with its square."""
     import time
