@@ -48,18 +48,8 @@ def _print(edges: DataFrame) -> tuple:
     return row.n, row.x, row.y
 
 
-def blocked(members: DataFrame, keys: list[str], size: str, member: str, most: int) -> DataFrame:
-    """members with i and j: groups of at most `most` rows stay whole (0, 0); larger ones are cut into blocks of about most / 2, and each row goes to every pair of blocks that has its own, so that all pairs of rows meet in some (i, j) of at most about `most`."""
-    n = F.ceil(F.col(size) * 2 / F.lit(most)).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(11), member), n).cast("int")
-    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    pairs = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda x: x != F.col("_own")), lambda x: F.struct(F.least(x, F.col("_own")).alias("i"), F.greatest(x, F.col("_own")).alias("j")))
-    out = members.withColumn("_own", own).withColumn("_pair", F.explode(F.when(F.col(size) <= most, whole).otherwise(pairs)))
-    return out.select(*(c for c in members.columns), F.col("_pair.i").alias("i"), F.col("_pair.j").alias("j"))
-
-
 def _hubbed(members: DataFrame, size: str, member: str, most: int) -> DataFrame:
-    """members with i and j: as `blocked`, but a row of a larger group goes to its own block alone, and a few hubs, about HUBS in a group, to all."""
+    """members with i and j: groups of at most `most` rows stay whole (0, 0); of larger ones each row goes to one block of about most / 2, and a few hubs, about HUBS in a group, to all."""
     n = F.ceil(F.col(size) * 2 / F.lit(most)).cast("int")
     own, hub = F.pmod(F.xxhash64(F.lit(11), member), n).cast("int"), F.pmod(F.xxhash64(F.lit(13), member), F.greatest(F.lit(1), F.floor(F.col(size) / HUBS))) == 0
     places = F.when(F.col(size) <= most, F.array(F.lit(0))).when(hub, F.sequence(F.lit(0), n - 1)).otherwise(F.array(own))

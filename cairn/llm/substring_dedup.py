@@ -5,8 +5,10 @@ have equal keys, and a key holds over a run of neighbouring windows: the run's b
 So all windows of a key can be looked at in one place, and a key met once needs no look at all.
 Segments are counted by key and digest. One that occurs twice is repeated as a whole; of the others,
 one of each digest goes to a shard, where induced sorting and permuted common prefixes tell which of
-its windows also start elsewhere. A key with more segments than a task takes is cut into blocks, and
-every pair of blocks is sorted together: nothing is capped.
+its windows also start elsewhere. Segments of a key with more of them than a shard takes are cut into
+pieces keyed by the core that a piece's windows share, all but a few of their bytes; pieces of a
+core that is hot still are cut into single windows. Work stays linear in segments: nothing is capped
+and no two blocks of a key are paired.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import ROW, discard, mixed, numbered, slices, staged, text_rows, utf8
-from .graph import blocked, runs
+from .graph import runs
 from .suffix_array import repeated
 
 WIDTH = 200
@@ -27,25 +29,38 @@ WIDTH = 200
 GRAM = 64
 #: Windows of a segment at most: longer runs, as of one repeated byte, are cut.
 RUN = 2048
-KEY_SEGMENTS = 1024
+#: Segments of one key that are sorted as they are; pieces that the windows of any others are cut into.
+KEY_SEGMENTS, STEPS = 1024, 8
+#: Segments of hot keys, by count, up to which their places are sent to all tasks; beyond it texts are dealt out to meet them.
+BROADCAST_SEGMENTS = 200_000
 SHARD_BYTES = 512 << 10
 
 
-def segments(raw: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first byte in the text, windows, key and self of each segment; self: whether its key's string occurs in it twice, so that its windows may equal each other."""
+def _gram(width: int) -> int:
     gram = GRAM
     while 2 * gram > max(width, 2):
         gram //= 2
-    n, span = len(raw), width - gram + 1
-    none = np.zeros(0, np.int64)
-    if n < width:
-        return none, none, none, none, none.astype(bool)
+    return gram
+
+
+def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
+    """Of the string of `gram` bytes at each place; strings that collide share a key, and are told apart by their bytes."""
     h = raw.astype(np.uint64) + np.uint64(1)
     step, base = 1, 0x9E3779B97F4A7C15
     while step < gram:
         h = h[:-step] * np.uint64(base) + h[step:]
         base, step = base * base & 0xFFFFFFFFFFFFFFFF, 2 * step
-    h = mixed(h)
+    return mixed(h)
+
+
+def segments(raw: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first byte in the text, windows, key and self of each segment; self: whether its key's string occurs in it twice, so that its windows may equal each other."""
+    gram = _gram(width)
+    n, span = len(raw), width - gram + 1
+    none = np.zeros(0, np.int64)
+    if n < width:
+        return none, none, none, none, none.astype(bool)
+    h = _gram_hashes(raw, gram)
 
     def sliding(x: np.ndarray, size: int, pick) -> np.ndarray:
         done = 1
@@ -121,9 +136,31 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     whole = met.join(texts.where("n > 1").select("key", "digest").hint("merge"), ["key", "digest"])
     # A segment met once is looked at if its key has others, or repeats within it.
     looked = told.where("kinds > 1 OR (own AND n = 1)")
-    by_doc = looked.groupBy("doc").agg(F.collect_list(F.struct("key", "digest", "n", "kinds", "place")).alias("wanted"))
+    hot = F.col("kinds") > KEY_SEGMENTS
+    cold, spans = _fetched(docs, looked.where(~hot), width), _spans(whole, width)
+    most = kinds.where(hot).agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    if not most:
+        return spans.unionByName(_sorted_shards(cold, width))
+    # Hot keys: pieces whose windows share nearly all of their bytes, and of those that are hot still,
+    # windows one by one. Both are counted by digests, within tasks first.
+    pieces = staged(_cut_rows(_fetched(docs, looked.where(hot), width, most <= BROADCAST_SEGMENTS), width, lambda raw, key: cores(raw, key, width)), "pieces")
+    texts = staged(pieces.groupBy("key", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "low")).alias("one"), F.any_value("bytes").alias("bytes")), "piece-texts")
+    kinds = staged(texts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "piece-kinds")
+    again = pieces.where("n = 1").select("key", "digest", "doc", "low", F.length("bytes").alias("size")).join(texts.where("n > 1").select("key", "digest").hint("merge"), ["key", "digest"])
+    looked = texts.join(kinds.hint("merge"), "key").select("key", "kinds", "n", "one.*", "bytes")
+    windows = staged(_cut_rows(looked.where(hot), width, lambda raw, key: ((k, 1, raw[k : k + width]) for k in range(len(raw) - width + 1))).drop("bytes"), "windows")
+    counts = staged(windows.groupBy("key", "digest").agg(F.sum("n").alias("n")).where("n > 1").select("key", "digest"), "window-counts")
+    alike = windows.where("n = 1").select("key", "digest", "doc", "low", F.lit(width).alias("size")).join(counts.hint("merge"), ["key", "digest"])
+    for found in (again, alike):
+        spans = spans.unionByName(found.select("doc", "low", (F.col("low") + F.col("size")).alias("high")))
+    return spans.unionByName(_sorted_shards(cold.unionByName(looked.where(~hot).select("key", "n", "doc", "low", "bytes")), width))
+
+
+def _fetched(docs: DataFrame, looked: DataFrame, width: int, small: bool = False) -> DataFrame:
+    """key, n, doc, low, bytes of segments (key, n, doc, place); small: whether there are few enough of them to be sent to all tasks."""
+    by_doc = looked.groupBy("doc").agg(F.collect_list(F.struct("key", "n", "place")).alias("wanted"))
     # All columns, as the join that strips the texts has them: the texts are then dealt out once for both.
-    held = docs.join(by_doc.hint("merge"), "doc").select(*docs.columns, "wanted")
+    held = docs.join(F.broadcast(by_doc) if small else by_doc.hint("merge"), "doc").select(*docs.columns, "wanted")
     columns = [held.columns.index(c) for c in ("doc", "text", "wanted")]
 
     def fetch(batches):
@@ -132,13 +169,54 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 raw, out = text.as_py().encode(), []
                 for x in wanted.as_py():
                     low, size = x["place"] >> (_SIZE + 1), x["place"] & (1 << _SIZE) - 1
-                    out.append((x["key"], x["kinds"], x["digest"], x["n"], doc.as_py(), low, raw[low : low + size + width - 1]))
-                names = ["key", "kinds", "digest", "n", "doc", "low", "bytes"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 6 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], names=names)
+                    out.append((x["key"], x["n"], doc.as_py(), low, raw[low : low + size + width - 1]))
+                names = ["key", "n", "doc", "low", "bytes"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 4 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], names=names)
+
+    return held.mapInArrow(fetch, "key long, n long, doc long, low long, bytes binary")
+
+
+def cores(raw: bytes, key: int, width: int) -> list[tuple[int, int, bytes]]:
+    """First window, windows and core of each piece of a segment: a run of windows that have the key's string first at one place, at one step of distances to their ends. The core is what those windows share.
+
+    Equal windows have that string at one distance, so they are in pieces of one core; two windows of
+    a piece have it at different ones, so they are never equal.
+    """
+    gram = _gram(width)
+    h = _gram_hashes(np.frombuffer(raw, np.uint8), gram).view(np.int64)
+    at = np.flatnonzero(h == key)
+    window = np.arange(len(raw) - width + 1)
+    place = at[np.searchsorted(at, window)]
+    step = max(1, (width - gram) // STEPS)
+    which = (window + width - place - gram) // step
+    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (which[1:] != which[:-1])]))
+    out = []
+    for a, z in zip(first.tolist(), [*first[1:].tolist(), len(window)], strict=True):
+        p, j = int(place[a]), int(which[a])
+        left = max(0, width - gram - step * j - (step - 1))  # bytes before the string that all windows of this step have
+        out.append((a, z - a, raw[p - left : p + gram + step * j] + j.to_bytes(2, "little")))
+    return out
+
 
-    parts = held.mapInArrow(fetch, "key long, kinds long, digest long, n long, doc long, low long, bytes binary")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = blocked(parts, ["key"], "kinds", "digest", KEY_SEGMENTS).select("key", "i", "j", "n", "doc", "low", "bytes").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+def _cut_rows(rows: DataFrame, width: int, cut) -> DataFrame:
+    """key, digest, n, doc, low, bytes of the pieces that cut(bytes, key) gives as (first window, windows, core): the key is that of the core, the digest that of the piece."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, n, doc, low, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                for a, size, core in cut(raw, key):
+                    piece = raw[a : a + size + width - 1]
+                    out.append((xxhash.xxh3_64_intdigest(core) - (1 << 63), xxhash.xxh3_64_intdigest(piece, 1) - (1 << 63), n, doc, low + a, piece))
+            names = ["key", "digest", "n", "doc", "low", "bytes"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(zip(*out, strict=True) if out else [()] * 6)], names=names)
+
+    return rows.select("key", "n", "doc", "low", "bytes").mapInArrow(run, "key long, digest long, n long, doc long, low long, bytes binary")
+
+
+def _sorted_shards(parts: DataFrame, width: int) -> DataFrame:
+    """doc, low, high of the repeated strings of parts (key, n, doc, low, bytes), found by the suffix arrays of shards of whole keys."""
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def sort(batches):
         held: list[pa.Table] = []
@@ -154,15 +232,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     out += [(doc, low + a, low + z + width - 1) for a, z in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] or [pa.array([], pa.int64())] * 3, names=["doc", "low", "high"])
 
-        # A shard is a run of whole groups: equal strings have equal keys. Two pairs of blocks of one
-        # key share segments, which must not meet themselves.
-        last = None
-        for group in runs(batches, 3):
-            key = group.column("key")[0].as_py()
-            if held and key == last:
-                yield flush()
-                held, size = [], 0
-            last = key
+        # A shard is a run of whole groups: equal strings have equal keys.
+        for group in runs(batches, 1):
             held.append(group.select(["n", "doc", "low", "bytes"]))
             size += group.column("bytes").nbytes
             if size >= SHARD_BYTES:
@@ -171,7 +242,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         if held:
             yield flush()
 
-    return _spans(whole, width).unionByName(shards.mapInArrow(sort, "doc long, low long, high long"))
+    return parts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(sort, "doc long, low long, high long")
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -144,15 +144,47 @@ def test_removed_strings_of_tables(spark):
         assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == want, k
 
 
-def test_blocks_of_a_hot_key(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_hot_keys(spark, monkeypatch, few):
+    """Keys of more segments than a shard takes: cut into pieces, and those into windows, with the places broadcast or not."""
+    import random
+
     from cairn.llm import substring_dedup as D
 
     monkeypatch.setattr(D, "KEY_SEGMENTS", 4)
-    passage = "".join(chr(97 + k * 7 % 26) for k in range(260))
-    d = spark.createDataFrame([(k, f"{k:040d}{passage}{k * 37:050d}", "s") for k in range(25)] + [(99, passage, "s"), (99, passage, "s")], "doc_id long, text string, source string")
-    rows = d.orderBy("doc_id").collect()
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in without_repeats(d).collect())
-    assert got == sorted((r.doc_id, *w) for r, w in zip(rows, _stripped([r.text.encode() for r in rows], 200), strict=True))
+    monkeypatch.setattr(D, "BROADCAST_SEGMENTS", few)
+    rng = random.Random(5)
+    passages = ["".join(chr(97 + k * 7 % 26) for k in range(260)), "".join(rng.choices("abcdefg ", k=205)), "".join(rng.choices("xyz", k=150)), "ab" * 300, "word " * 90]
+    texts = [f"{k:040d}{passages[0]}{k * 37:050d}" for k in range(25)] + [passages[0], passages[0]]
+    texts += ["".join(rng.choices("pqr", k=rng.randrange(60))) + passages[1 + k % 4][rng.randrange(30) : -rng.randrange(1, 30)] + "".join(rng.choices("pqr", k=rng.randrange(60))) for k in range(60)]
+    d = spark.createDataFrame([(k // 2, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string").repartition(3)
+    for width in (200, 40):
+        got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in without_repeats(d, width).collect())
+        assert got == sorted(_stripped([t.encode() for t in texts], width))
+
+
+def test_cores():
+    """Equal windows are in pieces of one core, and a piece's windows differ."""
+    import random
+
+    from cairn.llm import substring_dedup as D
+
+    rng = random.Random(9)
+    for _ in range(40):
+        raw = "".join(rng.choices("ab", k=rng.randrange(200, 420))).encode() if rng.random() < 0.5 else (b"abcdefghij" * 50)[: rng.randrange(200, 420)]
+        one = np.frombuffer(raw, np.uint8)
+        text, low, size, key, _ = D.segments(one, np.array([0, len(raw)]))
+        seen = {}
+        for a, n, k in zip(low.tolist(), size.tolist(), key.tolist()):
+            covered = 0
+            for first, windows, core in D.cores(raw[a : a + n + 199], k, 200):
+                own = [raw[a + w : a + w + 200] for w in range(first, first + windows)]
+                assert first == covered and len(set(own)) == windows and all(core[:-2] in w for w in own)
+                covered += windows
+                for w in own:
+                    assert seen.setdefault(w, core) == core
+            assert covered == n
+        assert len(seen) <= len(raw) - 199
 
 
 def test_suffix_arrays():
