@@ -144,15 +144,14 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # Hot keys: pieces whose windows share nearly all of their bytes, and of those that are hot still,
     # windows one by one. Both are counted by digests, within tasks first.
     pieces = staged(_cut_rows(_fetched(docs, looked.where(hot), width, most <= BROADCAST_SEGMENTS), width, lambda raw, key: cores(raw, key, width)), "pieces")
-    texts = staged(pieces.groupBy("key", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "low")).alias("one"), F.any_value("bytes").alias("bytes")), "piece-texts")
+    texts = staged(pieces.where("n > 0").groupBy("key", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "low")).alias("one"), F.any_value("bytes").alias("bytes")), "piece-texts")
     kinds = staged(texts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "piece-kinds")
-    again = pieces.where("n = 1").select("key", "digest", "doc", "low", F.length("bytes").alias("size")).join(texts.where("n > 1").select("key", "digest").hint("merge"), ["key", "digest"])
     looked = texts.join(kinds.hint("merge"), "key").select("key", "kinds", "n", "one.*", "bytes")
     windows = staged(_cut_rows(looked.where(hot), width, lambda raw, key: ((k, 1, raw[k : k + width]) for k in range(len(raw) - width + 1))).drop("bytes"), "windows")
-    counts = staged(windows.groupBy("key", "digest").agg(F.sum("n").alias("n")).where("n > 1").select("key", "digest"), "window-counts")
-    alike = windows.where("n = 1").select("key", "digest", "doc", "low", F.lit(width).alias("size")).join(counts.hint("merge"), ["key", "digest"])
-    for found in (again, alike):
-        spans = spans.unionByName(found.select("doc", "low", (F.col("low") + F.col("size")).alias("high")))
+    counts = staged(windows.where("n > 0").groupBy("key", "digest").agg(F.sum("n").alias("n")), "window-counts")
+    for rows, sums in ((pieces, texts), (windows, counts)):
+        met = rows.where("n = 1").join(sums.where("n > 1").select("key", "digest").hint("merge"), ["key", "digest"])
+        spans = spans.unionByName(rows.where("n = 0").select("doc", "low", "high")).unionByName(met.select("doc", "low", "high"))
     return spans.unionByName(_sorted_shards(cold.unionByName(looked.where(~hot).select("key", "n", "doc", "low", "bytes")), width))
 
 
@@ -199,19 +198,36 @@ def cores(raw: bytes, key: int, width: int) -> list[tuple[int, int, bytes]]:
 
 
 def _cut_rows(rows: DataFrame, width: int, cut) -> DataFrame:
-    """key, digest, n, doc, low, bytes of the pieces that cut(bytes, key) gives as (first window, windows, core): the key is that of the core, the digest that of the piece."""
+    """key, digest, n, doc, low, high, bytes of the pieces that cut(bytes, key) gives as (first window, windows, core): the key is that of the core, the digest that of the piece.
+
+    Pieces alike are added up before they leave a task: one that a few segments, or one that repeats
+    within itself, have twice is a row for the others to meet, and its places are rows of n = 0,
+    spans that need no more looking, neighbours as one.
+    """
 
     def run(batches):
         for batch in batches:
-            out = []
-            for key, n, doc, low, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                for a, size, core in cut(raw, key):
-                    piece = raw[a : a + size + width - 1]
-                    out.append((xxhash.xxh3_64_intdigest(core) - (1 << 63), xxhash.xxh3_64_intdigest(piece, 1) - (1 << 63), n, doc, low + a, piece))
-            names = ["key", "digest", "n", "doc", "low", "bytes"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(zip(*out, strict=True) if out else [()] * 6)], names=names)
-
-    return rows.select("key", "n", "doc", "low", "bytes").mapInArrow(run, "key long, digest long, n long, doc long, low long, bytes binary")
+            for begin in range(0, batch.num_rows, 64):
+                held: dict[tuple[int, int], list] = {}
+                places, spans = [], []
+                for key, n, doc, low, raw in zip(*(batch.column(k).slice(begin, 64).to_pylist() for k in range(5)), strict=True):
+                    for a, size, core in cut(raw, key):
+                        piece = raw[a : a + size + width - 1]
+                        name = xxhash.xxh3_64_intdigest(core) - (1 << 63), xxhash.xxh3_64_intdigest(piece, 1) - (1 << 63)
+                        held.setdefault(name, [0, doc, low + a, low + a + len(piece), piece])[0] += n
+                        if n == 1:
+                            places.append((name, doc, low + a, low + a + len(piece)))
+                for name, doc, low, high in places:
+                    if held[name][0] > 1:
+                        if spans and spans[-1][0] == doc and spans[-1][1] <= low <= spans[-1][2]:
+                            spans[-1][2] = max(spans[-1][2], high)
+                        else:
+                            spans.append([doc, low, high])
+                out = [(*name, *x) for name, x in held.items()] + [(0, 0, 0, *x, None) for x in spans]
+                names = ["key", "digest", "n", "doc", "low", "high", "bytes"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 6 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], names=names)
+
+    return rows.select("key", "n", "doc", "low", "bytes").mapInArrow(run, "key long, digest long, n long, doc long, low long, high long, bytes binary")
 
 
 def _sorted_shards(parts: DataFrame, width: int) -> DataFrame:
