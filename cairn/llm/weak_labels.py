@@ -131,12 +131,21 @@ def fitted_scorer(features: tuple[np.ndarray, np.ndarray, np.ndarray], goal: np.
     """Weights of each bucket and, last, the bias: logistic regression on soft labels by Adagrad over all rows at once."""
     bucket, weight, owner = features
     pair, place = np.unique(owner * buckets + bucket, return_inverse=True)
-    x, owner, bucket = np.bincount(place, weight), pair // buckets, pair % buckets
-    w, seen = np.zeros(buckets + 1), np.full(buckets + 1, 1e-8)
+    x = np.bincount(place, weight)
+    owner, bucket = pair // buckets, pair % buckets
+    # Both ways in order, so that sums are over neighbours: by row, and by bucket.
+    rows, first = np.unique(owner, return_index=True)
+    turn = np.argsort(bucket, kind="stable")
+    own_buckets, start = np.unique(bucket[turn], return_index=True)
+    x_turned, owner_turned = x[turn], owner[turn]
+    w, seen, score = np.zeros(buckets + 1), np.full(buckets + 1, 1e-8), np.zeros(len(goal))
     for _ in range(rounds):
-        score = np.bincount(owner, x * w[bucket], minlength=len(goal)) + w[-1]
-        error = importance * (1 / (1 + np.exp(-np.clip(score, -50, 50))) - goal) / max(importance.sum(), 1e-9)
-        slope = np.append(np.bincount(bucket, x * error[owner], minlength=buckets), error.sum()) + decay * w
+        score[rows] = np.add.reduceat(x * w[bucket], first) if len(x) else 0.0
+        error = importance * (1 / (1 + np.exp(-np.clip(score + w[-1], -50, 50))) - goal) / max(importance.sum(), 1e-9)
+        slope = decay * w
+        if len(x):
+            slope[own_buckets] += np.add.reduceat(x_turned * error[owner_turned], start)
+        slope[-1] += error.sum()
         seen += slope**2
         w -= rate * slope / np.sqrt(seen)
     return w
