@@ -4,7 +4,9 @@ import random
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, bin string, row string, n string, bands string, spans string, kept string, doc string, key string, shard long, quota long"
+#: Columns that operators have by the same names, and one with a dot.
+EXTRA = "size bin row n bands spans kept doc key shard quota h0 h1 tie rank order _row _id _text _cairn_row pattern weights buckets media feature bucket digest family id component word a.b".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{x}` string" for x in EXTRA)
 
 
 def texts():
@@ -30,13 +32,13 @@ def rows():
     out = []
     for k, text in enumerate(texts()):
         source = None if k % 11 == 0 else f"s{0 if k % 3 == 0 else k % 7}"
-        out.append((k, text, "en" if k % 2 else None, source, None if text is None else len(text), *["clash"] * 0, k, *["x"] * 8, k, k))
+        out.append((k, text, "en" if k % 2 else None, source, None if text is None else len(text), *["x"] * len(EXTRA)))
     return out
 
 
 def docs(spark, extra=()):
     """All cases; extra: more rows of (doc_id, text, source)."""
-    more = [(i, t, None, s, None, 0, *["x"] * 8, 0, 0) for i, t, s in extra]
+    more = [(i, t, None, s, None, *["x"] * len(EXTRA)) for i, t, s in extra]
     return spark.createDataFrame([*rows(), *more], SCHEMA).repartition(5)
 
 

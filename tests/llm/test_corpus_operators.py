@@ -322,6 +322,36 @@ def test_targets_without_the_driver(spark):
         assert count == n and got == {s: (k, sizes[s], pytest.approx(float(goals[k]), rel=1e-12)) for k, s in enumerate(order)}
 
 
+def test_picked_words_against_a_plain_choice():
+    """Blocks of words one by one: whole passes, then the blocks of least seeded hash."""
+    from cairn.llm.source_mixing import _picked, block_count
+
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        sizes, block = rng.integers(0, 90, rng.integers(1, 12)), int(rng.integers(1, 70))
+        n = int(sizes.sum())
+        blocks = int(block_count(np.int64(n), block))
+        quota, seed, key = int(rng.integers(0, 2 * blocks + 1)), int(rng.integers(0, 5)), int(rng.integers(0, 1000))
+        passes, taken, parts = _picked(sizes, quota, block, seed, key)
+        owner = [(k, j) for k, size in enumerate(sizes) for j in range(size)]  # every word of the shard
+        edges = [b * n // blocks for b in range(blocks + 1)] if blocks else [0]
+        times = collections.Counter({w: quota // blocks for w in owner}) if blocks else collections.Counter()
+
+        def hash_of(b):
+            h = (b + seed * 1_000_003 + key) * 0x9E3779B97F4A7C15 % 2**64
+            h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+            return h ^ h >> 32
+
+        for b in sorted(range(blocks), key=hash_of)[: quota % blocks if blocks else 0]:
+            times.update(owner[edges[b] : edges[b + 1]])
+        got = collections.Counter({(k, j): int(passes[k]) for k, j in owner})
+        for k, ranges in enumerate(parts):
+            for a, z in ranges:
+                got.update((k, j) for j in range(a, z))
+        assert +got == +times and taken.tolist() == [sum(times[k, j] for j in range(size)) for k, size in enumerate(sizes)]
+        assert blocks == 0 or max(z - a for a, z in zip(edges, edges[1:])) - min(z - a for a, z in zip(edges, edges[1:])) <= 1
+
+
 def test_mixed_texts(spark):
     d = cases.docs(spark)
     mix = mix_sources(d)

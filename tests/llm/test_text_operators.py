@@ -384,6 +384,48 @@ def test_image_formats(spark):
     assert [(r.id, r.payload_bytes, r.feature) for r in rows] == [(1, None, None), (2, None, None)]
 
 
+def test_features_against_plain_means(spark):
+    """Each target pixel as the mean over its rectangle, pixel by pixel with their fractions; then neighbours and a digest."""
+    import io
+
+    def mean(pixels, y0, y1, x0, x1):
+        total = 0.0
+        for y in range(int(y0), -int(-y1 // 1)):
+            for x in range(int(x0), -int(-x1 // 1)):
+                total += pixels[y][x] * (min(y + 1, y1) - max(y, y0)) * (min(x + 1, x1) - max(x, x0))
+        return total / ((y1 - y0) * (x1 - x0))
+
+    def resized(pixels, height, width):
+        rows, columns = len(pixels), len(pixels[0])
+        return [[mean(pixels, y * rows / height, (y + 1) * rows / height, x * columns / width, (x + 1) * columns / width) for x in range(width)] for y in range(height)]
+
+    texts = ["", "short", "word " * 90, "Überlänge é " * 40, "".join(chr(33 + k % 90) for k in range(1000))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.feature for r in media.media_features(media.stored_media(d, tile=64), tiles_col="npy_tiles").collect()}
+    for k, text in enumerate(texts):
+        raw = text.encode()
+        raw += bytes(64 if not raw else -len(raw) % 64)
+        pixels = [list(raw[a : a + 64]) for a in range(0, len(raw), 64)]
+        small = resized(pixels, 8, 9)
+        bits = "".join("01"[round(a, 6) < round(b, 6)] for row in small for a, b in zip(row, row[1:]))
+        out = io.BytesIO()
+        np.save(out, np.array([[round(round(x, 9)) for x in row] for row in resized(pixels, 32, 32)], np.uint8))
+        assert got[k] == f"{int(bits, 2):016x}" + hashlib.sha256(out.getvalue()).hexdigest()[:16], k
+
+
+def test_bands_of_the_integral_image(monkeypatch):
+    """Tall images go through band by band."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 256, (9001, 64)).astype(np.uint8)
+    total = np.zeros((9002, 65))
+    total[1:, 1:] = x.cumsum(axis=0, dtype=np.float64).cumsum(axis=1)
+    edge = np.arange(33) * (9001 / 32)
+    low = np.minimum(edge.astype(int), 9000)
+    rows = total[low] + (edge - low)[:, None] * (total[low + 1] - total[low])
+    want = np.diff(np.diff(rows[:, ::2], axis=0), axis=1) * (32 * 32 / (9001 * 64))
+    assert np.allclose(media.area_resized(x, 32, 32), want)
+
+
 def test_stored_tiles(spark, monkeypatch):
     held = []
     monkeypatch.setattr(queries, "stored_media", lambda *a, **k: held.append(media.stored_media(*a, **k)) or held[-1])
