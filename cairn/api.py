@@ -18,7 +18,7 @@ from .operators.restore import conflicts
 from .operators.validate import check_automatic
 from .options import check_algorithms
 from .sources import archive as A, register
-from .sources.datasource import SCHEMA, ChangeReader, TreeReader
+from .sources.datasource import SCHEMA, TreeReader, tree_state
 from .sources.extract import Restored, extract
 from .streaming.coalesce import watch as repeated
 
@@ -138,15 +138,14 @@ def listing(spark: SparkSession, source: str) -> DataFrame:
 def watch(source: str, folder: str, keep: int, interval_ms: int, wait: Callable[[float], bool], realtime: bool = False, most: int = 0, **how) -> int:
     """Snapshots, at once and then every `interval_ms`, or where `realtime` is set once something has changed when that time is over; how many were made. wait(seconds) returns whether to stop."""
     check_automatic(keep, interval_ms, os.path.realpath(source), os.path.realpath(folder))
-    changes = ChangeReader({"path": source}) if realtime else None
-    last = changes.initialOffset()["state"] if changes else None
+    last = tree_state(source) if realtime else None
 
     def until_changed(seconds: float) -> bool:
         nonlocal last
         while not wait(seconds):
-            if not changes:
+            if not realtime:
                 return False
-            before, last = last, changes.initialOffset()["state"]
+            before, last = last, tree_state(source)
             if before != last:
                 return False
         return True

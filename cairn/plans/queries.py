@@ -650,9 +650,9 @@ def find_user(spark, sf_dir):
     return history.find_user(B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "Customer#000000007")
 
 
-@query("SELECT event_type AS storage, user_id AS user FROM events GROUP BY 1, 2 HAVING count(*) <= 1 AND user_id % 2 = 0")
+@query("SELECT event_type || '-' || (event_id % 20) AS storage, user_id AS user FROM events GROUP BY 1, 2 HAVING count(*) <= 1 AND user_id % 2 = 0")
 def deletable_accounts(spark, sf_dir):
-    e = B.table(spark, sf_dir, "events").select(F.col("event_type").alias("storage"), F.col("user_id").alias("user"))
+    e = B.table(spark, sf_dir, "events").select(F.concat_ws("-", "event_type", (F.col("event_id") % 20).cast("string")).alias("storage"), F.col("user_id").alias("user"))
     return history.deletable(e, e.where("user % 2 <> 0"))
 
 

@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from . import archive as A
 
@@ -232,38 +232,68 @@ class ArchiveSource(DataSource):
         return ArchiveWriter(self.options)
 
 
-class ChangeReader(SimpleDataSourceStreamReader):
-    """A row for each poll that finds a tree in another state than the poll before; which entry changed is not told."""
+def tree_state(root: str) -> str:
+    """A digest of what a tree's entries are: another one after any change. For a watch on the machine that has the tree."""
+    digest = hashlib.sha256()
+    for folder, folders, files in os.walk(root):
+        folders.sort()
+        for name in sorted((*folders, *files)):
+            try:
+                s = os.lstat(os.path.join(folder, name))
+            except FileNotFoundError:
+                continue
+            digest.update(f"{folder}\0{name}\0{s.st_mode}\0{s.st_size}\0{s.st_ino}\0{s.st_mtime_ns}\0{s.st_ctime_ns}\n".encode("utf-8", "surrogateescape"))
+    return digest.hexdigest()
+
+
+@dataclass
+class _Changed(InputPartition):
+    top: str
+    whole: bool
+    start: int
+    end: int
 
-    def __init__(self, options):
-        self.root = os.path.realpath(options["path"])
 
-    def _state(self) -> str:
-        digest = hashlib.sha256()
-        for folder, folders, files in os.walk(self.root):
-            folders.sort()
-            for name in sorted((*folders, *files)):
-                try:
-                    s = os.lstat(os.path.join(folder, name))
-                except FileNotFoundError:
-                    continue
-                digest.update(f"{folder}\0{name}\0{s.st_mode}\0{s.st_size}\0{s.st_ino}\0{s.st_mtime_ns}\0{s.st_ctime_ns}\n".encode("utf-8", "surrogateescape"))
-        return digest.hexdigest()
+class ChangeReader(DataSourceStreamReader):
+    """A row for each part of a tree that has changed between two times; which entry changed is not told.
+
+    Any change of an entry sets its change time, and that of its folder where it comes or goes. So
+    offsets are times, a task for each top-level entry looks for change times between two of them,
+    and neither the driver nor a checkpoint holds anything of the tree. What happens while no query
+    runs is found when it goes on. A second is read once LAG_NS have passed, as clocks of files lag.
+    """
+
+    LAG_NS = SECOND_NS = 1_000_000_000
+
+    def __init__(self, options):
+        self.root, self.first = os.path.realpath(options["path"]), 0
 
     def initialOffset(self) -> dict:
-        return {"state": self._state(), "ts": 0}
+        self.first = time.time_ns()
+        return {"ns": self.first}
 
-    def read(self, start: dict):
-        state = self._state()
-        if state == start["state"]:
-            return iter(()), start
-        now = time.time_ns() // 1000
-        return iter([(self.root, datetime.datetime.fromtimestamp(now / 1e6, datetime.timezone.utc))]), {"state": state, "ts": now}
+    def latestOffset(self) -> dict:
+        return {"ns": max(self.first, (time.time_ns() - self.LAG_NS) // self.SECOND_NS * self.SECOND_NS)}
+
+    def partitions(self, start: dict, end: dict):
+        if start["ns"] >= end["ns"]:
+            return []
+        tops = [("", False), *((os.fsdecode(x), True) for x in sorted(os.listdir(os.fsencode(self.root))))]
+        return [_Changed(top, whole, start["ns"], end["ns"]) for top, whole in tops]
+
+    def read(self, partition) -> Iterator[tuple]:
+        def changed(path: str) -> bool:
+            try:
+                return partition.start < os.lstat(path).st_ctime_ns <= partition.end
+            except FileNotFoundError:
+                return False  # its folder has changed then
 
-    def readBetweenOffsets(self, start: dict, end: dict):
-        if end["state"] == start["state"]:
-            return iter(())
-        return iter([(self.root, datetime.datetime.fromtimestamp(end["ts"] / 1e6, datetime.timezone.utc))])
+        top = os.path.join(self.root, partition.top) if partition.whole else self.root
+        found = changed(top)
+        if partition.whole and not found and os.path.isdir(top) and not os.path.islink(top):
+            found = any(changed(os.path.join(folder, name)) for folder, folders, files in os.walk(top) for name in (*folders, *files))
+        if found:
+            yield self.root, datetime.datetime.fromtimestamp(partition.end / 1e9, datetime.timezone.utc)
 
 
 class ChangeSource(DataSource):
@@ -276,5 +306,5 @@ class ChangeSource(DataSource):
     def schema(self) -> str:
         return "source string, ts timestamp"
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return ChangeReader(self.options)

@@ -320,3 +320,29 @@ def test_wire_fields():
             stores.from_wire("BHIQs", bad)
     with pytest.raises(Malformed):
         stores.to_wire("s", "x" * 70_000)
+
+
+def test_legacy_archives():
+    """Encrypted archives of versions 1 to 3 have no authentication and are read only where that is allowed; version 1 has no hard links."""
+    import hashlib
+
+    from cairn.functions.ciphers import crypt
+
+    def legacy(entries, version, compression="none"):
+        packed = b"".join(A.packed_pieces(entries, "stream"))
+        payload = crypt("chacha20", "pw", bytes(16), A.PIECES[compression] and b"".join(A.PIECES[compression](lambda: iter([packed]), len(packed))))
+        numbers = (1, {"none": 0, "rle": 1}[compression], 3)
+        return A.HEADER.pack(A.MAGIC, version, A.HEADER.size, 1 | 2 * (compression != "none") | 4, *numbers, 0, len(packed), len(payload), bytes(16), hashlib.sha256(packed).digest(), hashlib.sha256(payload).digest()) + payload
+
+    root, file, alias = _small()
+    for version in (1, 2, 3):
+        for compression in ("none", "rle"):
+            data = legacy([root, file], version, compression)
+            assert A.decode(data, "pw", allow_legacy_encryption=True)[1] == [root, file]
+            with pytest.raises(Malformed, match="legacy"):
+                A.decode(data, "pw")
+            with pytest.raises(Malformed):
+                A.decode(data, "no", allow_legacy_encryption=True)
+    with pytest.raises(Malformed, match="hard links"):
+        A.decode(legacy([root, file, alias], 1), "pw", allow_legacy_encryption=True)
+    assert A.decode(legacy([root, file, alias], 2), "pw", allow_legacy_encryption=True)[1] == [root, file, alias]
