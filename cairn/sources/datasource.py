@@ -266,10 +266,9 @@ class ChangeReader(DataSourceStreamReader):
     LAG_NS = SECOND_NS = 1_000_000_000
 
     def __init__(self, options):
-        self.root, self.first = os.path.realpath(options["path"]), 0
+        self.root, self.first = os.path.realpath(options["path"]), time.time_ns()
 
     def initialOffset(self) -> dict:
-        self.first = time.time_ns()
         return {"ns": self.first}
 
     def latestOffset(self) -> dict:
