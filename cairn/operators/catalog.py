@@ -53,7 +53,7 @@ def content_offsets(entries: DataFrame, by: str = "archive", start: int = 8) ->
     """entries with `offset`: where each one's content begins in its archive's content region, in path order; `start` bytes come first."""
     held = F.when(F.col("type") == "file", F.col("size")).otherwise(0)
     ranged = in_ranges(entries.withColumn("_held", held), by, ("path",), "offsets")
-    joined = with_totals(ranged, by, {"_sum": F.sum("_held")}, lambda w: {"_before": F.coalesce(F.sum("_sum").over(w), F.lit(0))})
+    joined = with_totals(ranged, by, {"_sum": F.sum("_held")}, lambda each, w: each.withColumn("_before", F.coalesce(F.sum("_sum").over(w), F.lit(0))))
     here = F.sum("_held").over(over_range(by, ("path",))) - F.col("_held")
     return joined.withColumn("offset", (F.lit(start) + F.col("_before") + here).cast("long")).select(*entries.columns, "offset")
 

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.window import WindowSpec
 
 _STAGED: list[tuple[SparkSession, str]] = []
 
@@ -51,9 +52,8 @@ def over_range(by: str, order: tuple[str, ...]):
     return W.partitionBy(by, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
-def with_totals(ranged: DataFrame, by: str, totals: dict[str, Column], before: Callable[[object], dict[str, Column]]) -> DataFrame:
-    """ranged joined with what its group's earlier ranges come to; before(window over earlier ranges) names it from `totals`. A group has as many totals as there are ranges, whatever it holds."""
+def with_totals(ranged: DataFrame, by: str, totals: dict[str, Column], before: Callable[[DataFrame, WindowSpec], DataFrame]) -> DataFrame:
+    """ranged joined with what its group's earlier ranges come to: before(totals of each range, window over earlier ranges) adds the columns. A group has as many totals as there are ranges, whatever it holds."""
     each = ranged.groupBy(by, "_range").agg(*(v.alias(k) for k, v in totals.items()))
-    earlier = W.partitionBy(by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    sums = each.select(by, "_range", *(v.alias(k) for k, v in before(earlier).items()))
+    sums = before(each, W.partitionBy(by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).drop(*totals)
     return ranged.join(sums.hint("merge"), [by, "_range"])

@@ -31,16 +31,13 @@ def space_needed(steps: DataFrame, volume: str = "volume", order: tuple[str, ...
     ranged = in_ranges(steps.select(volume, *order, "size", (F.col("size") - F.col("reclaimed")).alias("_d")), volume, order, "steps")
     w = over_range(volume, order)
     lean = ranged.withColumn("_c", F.sum("_d").over(w))
-    ends = {"_sum": F.sum("_d"), "_low": F.min("_c")}
 
-    def before(earlier) -> dict[str, Column]:
-        start = F.coalesce(F.sum("_sum").over(earlier), F.lit(0))
-        return {"_before": start, "_here": start + F.col("_low")}
+    def before(each: DataFrame, earlier) -> DataFrame:
+        """The sum of earlier ranges, and the least that any sum came to in them."""
+        started = each.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+        return started.withColumn("_least", F.min(F.col("_before") + F.col("_low")).over(earlier))
 
-    parts = with_totals(lean, volume, ends, before)
-    # The least sum of earlier ranges, from their starts and own least ones.
-    lows = parts.select(volume, "_range", "_here").distinct().withColumn("_least", F.min("_here").over(W.partitionBy(volume).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)))
-    joined = parts.join(lows.select(volume, "_range", "_least").hint("merge"), [volume, "_range"]).withColumn("c", F.col("_before") + F.col("_c"))
+    joined = with_totals(lean, volume, {"_sum": F.sum("_d"), "_low": F.min("_c")}, before).withColumn("c", F.col("_before") + F.col("_c"))
     # Before a step: the sum without it, and the least sum so far, which nothing is at the start.
     past = F.col("c") - F.col("_d")
     least = F.least(F.lit(0), F.coalesce("_least", F.lit(0)), F.coalesce(F.min("c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
