@@ -39,15 +39,15 @@ def row_violations(entries: DataFrame) -> DataFrame:
     )
 
 
-def entry_violations(entries: DataFrame, root: str, most: int = MOST_ENTRIES) -> DataFrame:
-    """Rules across entries (ord, path, type_id, link_target, and mode, uid, gid, mtime for aliases): unsafe or repeated paths, outside the root, root not first, ancestors that are missing or no directories, aliases without an earlier file of the same metadata, too many or none. Entries are staged, as each rule reads them."""
+def entry_violations(entries: DataFrame, root: str, most: int | None = MOST_ENTRIES) -> DataFrame:
+    """Rules across entries (ord, path, type_id, link_target, and mode, uid, gid, mtime for aliases): unsafe or repeated paths, outside the root, root not first, ancestors that are missing or no directories, aliases without an earlier file of the same metadata, too many or none. `most` is what one archive may hold; None for trees that are not one archive, of any size. Entries are staged, as each rule reads them."""
     c = F.col
     meta = ["mode", "uid", "gid", "mtime"]
     entries = staged(entries.select("ord", "path", "type_id", "link_target", *meta), "entries")
     alone = _rules(entries, c("path"), {"unsafe": ~is_safe("path"), "outside": ~is_inside("path", F.lit(root))})
     repeated = entries.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate").alias("rule"), c("path").alias("key"))
     first = entries.agg(F.min_by(F.struct("path", "type_id"), "ord").alias("f"), F.count("*").alias("n"))
-    whole = first.select(F.explode(F.filter(F.array(F.when(c("n") == 0, "empty"), F.when(c("n") > most, "too_many"), F.when((c("n") > 0) & ((c("f.path") != root) | (c("f.type_id") != 2)), "root")), lambda x: x.isNotNull())).alias("rule"), F.lit(root).alias("key"))
+    whole = first.select(F.explode(F.filter(F.array(F.when(c("n") == 0, "empty"), F.when(F.lit(False) if most is None else c("n") > most, "too_many"), F.when((c("n") > 0) & ((c("f.path") != root) | (c("f.type_id") != 2)), "root")), lambda x: x.isNotNull())).alias("rule"), F.lit(root).alias("key"))
     kinds = entries.groupBy(c("path").alias("_up")).agg(F.bool_or(c("type_id") == 2).alias("_dir"))
     # Each distinct ancestor is looked up once, whatever number of entries lie below it.
     up = entries.select("path", F.explode(ancestors("path")).alias("_up"))
