@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # Bytes of a transfer block and blocks that are indexed at most.
 BLOCK, MOST_BLOCKS = 512 << 10, 1 << 20
@@ -90,6 +90,63 @@ def apply_delta(deltas: DataFrame, base_blocks: DataFrame) -> DataFrame:
     return deltas.join(index, ["base", "block_no"], "left").select("id", "block_no", F.coalesce(content, lost.cast(deltas.schema["content"].dataType)).alias("content"))
 
 
+def packed(versions: DataFrame, bases: DataFrame, size: int = BLOCK, most: int = MOST_BLOCKS) -> DataFrame:
+    """id, base, pieces (place, copy, content in order): the references of each version (id, content: binary) in one row.
+
+    No block is a row: a version meets its base whole, so the versions are dealt out once by id, and those with a base once
+    more by it. Ids are keys; a base that is not there is copied from by nothing.
+    """
+    whole, based = _whole(versions), bases.where("id IS NOT NULL AND base IS NOT NULL").select("id", "base")
+    plain = whole.join(based.hint("merge"), "id", "left_anti").select("id", F.lit(None).cast(based.schema["base"].dataType).alias("base"), _pieces(F.col("content"), None, size, most).alias("pieces"))
+    mine = whole.join(based.hint("merge"), "id").select(F.col("id").alias("_id"), "base", F.col("content").alias("_own"))
+    beside = mine.join(whole.hint("merge"), F.col("base") == F.col("id"), "left")
+    return plain.unionByName(beside.select(F.col("_id").alias("id"), "base", _pieces(F.col("_own"), F.col("content"), size, most).alias("pieces")))
+
+
+def _whole(versions: DataFrame) -> DataFrame:
+    """The same columns and filter wherever versions are dealt out by id, so that it is done once."""
+    return versions.select("id", "content").where("id IS NOT NULL")
+
+
+def _pieces(content: Column, base: Column | None, size: int, most: int) -> Column:
+    def piece(i):
+        cut = lambda x: F.substr(x, (i * size + 1).cast("int"), F.lit(size))
+        same = F.lit(False) if base is None else F.coalesce((i < most) & (cut(content) == cut(base)), F.lit(False))
+        place = (i * size).cast("long")
+        copy = F.when(same, F.struct(place.alias("offset"), F.octet_length(cut(content)).cast("long").alias("len")))
+        return F.struct(place.alias("place"), copy.alias("copy"), F.when(~same, cut(content)).alias("content"))
+
+    n = F.ceil(F.octet_length(content) / F.lit(size)).cast("int")
+    # sequence(0, -1) counts down, so empty content is kept apart.
+    return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), piece)
+
+
+def unpacked(rows: DataFrame, versions: DataFrame) -> DataFrame:
+    """id, content: versions that packed rows stand for, with copies from the bases among versions. A copy of what a base has not raises."""
+    lost = F.raise_error(F.concat(F.lit("missing base block of "), F.col("_id").cast("string"))).cast("binary")
+
+    def joined(base):
+        def part(p):
+            offset, n = p["copy"]["offset"], p["copy"]["len"]
+            there = (offset >= 0) & (offset + n <= F.octet_length(base))
+            return F.hex(F.when(p["copy"].isNull(), p["content"]).when(there, F.substr(base, (offset + 1).cast("int"), n.cast("int"))).otherwise(lost))
+
+        return F.unhex(F.array_join(F.transform("pieces", part), "")).alias("content")
+
+    named = rows.select(F.col("id").alias("_id"), "base", "pieces")
+    copied = named.where("base IS NOT NULL").join(_whole(versions).hint("merge"), F.col("base") == F.col("id"), "left").select("_id", joined(F.col("content")))
+    return named.where("base IS NULL").select("_id", joined(F.lit(None).cast("binary"))).unionByName(copied).withColumnRenamed("_id", "id")
+
+
+def held_against(rebuilt: DataFrame, declared: DataFrame) -> DataFrame:
+    """id, len, sha256 of the versions declared (id, declared_size, declared_sha256), as rebuilt (id, content) has them; one that is lost or differs raises. Content is not moved."""
+    got = rebuilt.select("id", F.octet_length("content").cast("long").alias("len"), F.sha2("content", 256).alias("sha256"))
+    good = F.coalesce((F.col("len") == F.col("declared_size")) & (F.col("sha256") == F.col("declared_sha256")), F.lit(False))
+    differs = F.raise_error(F.concat(F.lit("rebuilt version differs from its declaration: "), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
+    joined = declared.select("id", "declared_size", "declared_sha256").join(got.hint("merge"), "id", "left")
+    return joined.select("id", F.when(good, F.col("len")).otherwise(differs.cast("long")).alias("len"), F.when(good, F.col("sha256")).otherwise(differs.cast("string")).alias("sha256"))
+
+
 def assembled(parts: DataFrame, declared: DataFrame | None = None, by: str = "block_no") -> DataFrame:
     """id, content: pieces in order of `by`, strings or bytes as they are.
 

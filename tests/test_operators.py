@@ -150,6 +150,28 @@ def test_copies_across_blocks(spark):
         delta.resolved(beyond, cut, 64).collect()
 
 
+def test_versions_packed_whole(spark):
+    """Packed rows hold the references that blocks as rows give, and come back as the versions."""
+    one = bytes(range(256)) * 3
+    data = [(1, "s", one), (2, "s", one[:300] + b"?" + one[301:] + b"\xff"), (3, "s", b""), (4, "s", one), (5, "t", b"\x00" * 100), (6, "", one), (7, "t", b"\x00" * 130)]
+    blobs = spark.createDataFrame([(i, s, bytearray(c)) for i, s, c in data], "id long, series string, content binary")
+    bases, cut = delta.choose_base(blobs), delta.blocks(blobs.select("id", "content"), 100)
+    plain = lambda rows: sorted(((r.id, r.place, tuple(r.copy) if r.copy else None, r.content and bytes(r.content), r.base) for r in rows), key=lambda x: x[:2])
+    for most in (delta.MOST_BLOCKS, 2):
+        sent = delta.packed(blobs, bases, 100, most)
+        want = plain(delta.references(delta.delta(cut, cut, bases, most), 100).collect())
+        assert plain(sent.select("id", "base", F.inline("pieces")).collect()) == want and {x[0] for x in want if x[2]} == {2, 7}
+        assert {r.id: bytes(r.content) for r in delta.unpacked(sent, blobs).collect()} == {i: c for i, _, c in data}
+    declared = blobs.select("id", F.octet_length("content").alias("declared_size"), F.sha2("content", 256).alias("declared_sha256"))
+    back = delta.unpacked(sent, blobs)
+    assert {(r.id, r.len) for r in delta.held_against(back, declared).collect()} == {(i, len(c)) for i, _, c in data}
+    for got, said in ((back, declared.withColumn("declared_sha256", F.lit("0"))), (back.where("id <> 3"), declared)):
+        with pytest.raises(Exception, match="differs from its declaration"):
+            delta.held_against(got, said).collect()
+    with pytest.raises(Exception, match="missing base block of 2"):
+        delta.unpacked(sent, blobs.where("id <> 1")).collect()
+
+
 def test_limits_are_errors(spark):
     rows = spark.createDataFrame([("a", f"{k:032x}", k) for k in range(5)] + [("b", f"{9:032x}", 1)], "account string, id string, timestamp long")
     names = rows.select("account", F.concat("id", F.lit(".meta")).alias("name"))
