@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by large-star and small-star rounds; nothing but counts reaches the driver."""
+"""Connected components of an edge table: of few edges in one task, of more by large-star and small-star rounds; nothing but counts reaches the driver."""
 
 from __future__ import annotations
 
@@ -10,19 +10,27 @@ from .common import discard, staged
 
 #: Rows of a large group, about, that all its blocks are compared with first.
 HUBS = 4
+#: Edges that one task joins up by itself (16 bytes each): a round over fewer is all start-up of tasks.
+FEW_EDGES = 1 << 20
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 64, few: int = FEW_EDGES) -> DataFrame:
     """id, component (the smallest id reachable) of every id in edges (a, b: long).
 
-    Each round points all larger neighbours of a node, then all smaller ones, at the smallest known;
+    Up to `few` edges are one task's; more go through rounds. Each round points all larger neighbours of a node, then all smaller ones, at the smallest known;
     the result is a star for each component. Degrees are summed within tasks before they are
     shuffled, and the joins back are split at run time where one node has most edges.
     """
     # Least neighbours are dealt out at random before they are joined back: the join then deals out
     # both sides by itself, and a node with most of the edges can be split.
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    given = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
+    if given.count() <= few:
+        out = staged(given.coalesce(1).mapInArrow(_united, "id long, component long"), "components")
+        discard(given)
+        return out
+    now = staged(given.distinct(), "edges")
+    discard(given)
     seen = _print(now)
     for _ in range(most_rounds):
         if not seen[0]:
@@ -43,6 +51,25 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _united(batches):
+    """id, component of all edges u, v at once: roots are hooked to the smallest root beside them until none are left to hook."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    ids, place = np.unique(np.concatenate([*(u for u, _ in held), *(v for _, v in held)]), return_inverse=True)
+    a, b = place.reshape(2, -1)
+    root = np.arange(len(ids))
+    while len(a):
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(over := root[root], root):
+            root = over
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    for k in range(0, len(ids), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + (1 << 16)]), pa.array(ids[root[k : k + (1 << 16)]])], names=["id", "component"])
+
+
 def _print(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "u", F.lit(1))).alias("y")).first()
     return row.n, row.x, row.y

@@ -180,6 +180,23 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_and_of_many(spark):
+    """Few edges are one task's, in a few jobs, however long a chain is; rounds, which take more of them, give the same."""
+    rng = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(k, k + 1) for k in range(1000, 1200)] + [(3000 - k, 3001 - k) for k in range(90)] + [(7, 7), (7, -2), (1 << 40, -(1 << 40))] + [(int(a), int(b)) for a, b in zip(rng.permutation(500) + 5000, rng.permutation(500) + 5000, strict=True)]
+    df = spark.createDataFrame(edges * 2, "a long, b long")
+    found, jobs = [], []
+    for few in (len(edges) * 2, 0):
+        spark.sparkContext.setJobGroup(f"components-{few}", "")
+        found.append(sorted((r.id, r.component) for r in graph.components(df, few=few).collect()))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{few}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1] and len(found[0]) == len({x for e in edges if e[0] != e[1] for x in e})
+    assert dict(found[0])[1200] == 1000 and dict(found[0])[1 << 40] == -(1 << 40)
+    assert jobs[0] <= 6 < jobs[1]
+    assert graph.components(df.where("a = b"), few=0).count() == 0
+
+
 # --- packing ------------------------------------------------------------------------------------
 @pytest.mark.parametrize("rows_of_shard", [1024, 9])
 def test_bins(spark, rows_of_shard):
